@@ -101,7 +101,7 @@ def try_splits(
     shuffled = hashed_rank(
         label_counts.select(
             series, hits, rows,
-            F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1))).cast("bigint").alias("seed"),
+            F.explode(F.sequence(F.lit(first_seed).cast("bigint"), F.lit(first_seed + seeds - 1).cast("bigint"))).alias("seed"),
         ),
         ["seed"], series, F.col("seed"), "_rank",
     )
