@@ -58,6 +58,7 @@ class BlockPlan:
         self.so_far = self.block.rowsBetween(Window.unboundedPreceding, 0)
         self._rows: dict[int, dict[str, Column]] = {}
         self._aggs: dict[str, Column] = {}
+        self._posts: dict[int, dict[str, Column]] = {}
         self._quantiles: list[float] = []
 
     def row(self, name: str, column: Column, level: int = 1) -> Column:
@@ -65,8 +66,14 @@ class BlockPlan:
         self._rows.setdefault(level, {})[name] = column
         return F.col(f"`{name}`")
 
-    def agg(self, name: str, column: Column) -> Column:
-        self._aggs[name] = column
+    def agg(self, name: str, column: Column | str) -> Column:
+        """Aggregate, as a column or as SQL text (large grids are cheaper to build as text)."""
+        self._aggs.setdefault(name, F.expr(column) if isinstance(column, str) else column)
+        return F.col(f"`{name}`")
+
+    def post(self, name: str, column: Column | str, level: int = 1) -> Column:
+        """Column over the aggregates that several features use."""
+        self._posts.setdefault(level, {}).setdefault(name, F.expr(column) if isinstance(column, str) else column)
         return F.col(f"`{name}`")
 
     # Row columns many calculators share.
@@ -120,6 +127,8 @@ class BlockPlan:
         if self._quantiles:
             aggs["_quantiles"] = F.percentile("_x", F.array(*[F.lit(q) for q in self._quantiles]))
         grouped = rows.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggs.items()])
+        for level in sorted(self._posts):
+            grouped = grouped.withColumns(self._posts[level])
         return grouped.select(*self.keys, *[c.cast("double").alias(n) for n, c in features.items()])
 
 
@@ -480,51 +489,66 @@ def time_reversal_asymmetry_statistic(p, lag):
 
 @calculator
 def autocorrelation(p, lag):
-    centre = p.mean_row()
-    product = (p.x - centre) * (p.lead_row(lag) - centre)
-    return F.when(p.var() > 0, ratio(p.agg(f"_acov_{lag}", F.avg(product)), p.var()))
+    p.mean_row()
+    p.lead_row(lag)
+    p.var()
+    ahead = f"_lead{lag}" if lag else "_x"
+    p.agg(f"_acov_{lag}", f"avg((_x - _mean) * ({ahead} - _mean))")
+    return F.expr(f"CASE WHEN _a_var > 0 THEN _acov_{lag} / nullif(_a_var, 0) END")
 
 
 @calculator
 def agg_autocorrelation(p, f_agg, maxlag):
-    known_lags = F.array_compact(F.array(*[autocorrelation(p, j) for j in range(1, min(maxlag, p.block_rows - 1) + 1)]))
+    name = f"_acf_{maxlag}"
+    lags = F.array(*[autocorrelation(p, j) for j in range(1, min(maxlag, p.block_rows - 1) + 1)])
     # A flat or one-row block counts as zero correlation throughout.
-    values = F.when((p.var() > 0) & (p.size() > 1), known_lags).otherwise(F.array(F.lit(0.0)))
-    count = F.size(values)
-    average = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / count
+    usable = (p.var() > 0) & (p.size() > 1)
+    p.post(name, F.when(usable, F.array_compact(lags)).otherwise(F.array(F.lit(0.0))))
+    mean_name = p.post(f"{name}_mean", f"aggregate({name}, 0D, (a, v) -> a + v) / size({name})", level=2)
     if f_agg == "mean":
-        return average
+        return mean_name
     if f_agg == "var":
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) / count - average * average
+        return F.expr(f"aggregate({name}, 0D, (a, v) -> a + (v - {name}_mean) * (v - {name}_mean)) / size({name})")
     if f_agg == "median":
-        ordered = F.array_sort(values)
-        middle = [F.get(ordered, F.floor((count - 1) / 2).cast("int")), F.get(ordered, F.floor(count / 2).cast("int"))]
-        return (middle[0] + middle[1]) / 2
+        p.post(f"{name}_sorted", f"array_sort({name})", level=2)
+        return F.expr(
+            f"(get({name}_sorted, (size({name}) - 1) div 2) + get({name}_sorted, size({name}) div 2)) / 2"
+        )
     raise ValueError(f"unknown aggregate {f_agg!r}")
 
 
+PARTIAL_LAGS = 9
+
+
 @calculator
 def partial_autocorrelation(p, lag):
-    """Levinson-Durbin recursion on the adjusted autocorrelations, unrolled."""
+    """Levinson-Durbin recursion over the array of autocorrelations."""
     if lag == 0:
         return F.lit(1.0)
-    r = [F.lit(1.0), *[autocorrelation(p, j) for j in range(1, lag + 1)]]
-    # The recursion runs over an array of its own coefficients, newest last.
-    state = F.struct(F.array().cast("array<double>").alias("phi"), F.lit(1.0).alias("err"), F.lit(0.0).alias("last"))
-    rho = F.array(*r)
+    if lag > PARTIAL_LAGS:
+        raise ValueError(f"partial autocorrelation goes up to lag {PARTIAL_LAGS}")
+    p.size()
+    p.post("_rho", F.array(F.lit(1.0), *[autocorrelation(p, j) for j in range(1, PARTIAL_LAGS + 1)]))
+    start = F.struct(
+        F.array().cast("array<double>").alias("phi"), F.lit(1.0).alias("err"),
+        F.array().cast("array<double>").alias("found"),
+    )
 
     def step(acc: Column, k: Column) -> Column:
         phi, err = acc["phi"], acc["err"]
-        known_part = F.aggregate(
-            F.zip_with(phi, F.reverse(F.slice(rho, 2, F.greatest(k - 1, F.lit(0)))), lambda a, b: a * b),
+        explained = F.aggregate(
+            F.zip_with(phi, F.reverse(F.slice("_rho", F.lit(2), k - 1)), lambda a, b: a * b),
             F.lit(0.0), lambda a, v: a + v,
         )
-        last = F.try_divide(F.get(rho, k) - known_part, err)
+        last = F.try_divide(F.get("_rho", k) - explained, err)
         grown = F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - last * b), F.array(last))
-        return F.struct(grown.alias("phi"), (err * (F.lit(1.0) - last * last)).alias("err"), last.alias("last"))
+        return F.struct(
+            grown.alias("phi"), (err * (F.lit(1.0) - last * last)).alias("err"),
+            F.concat(acc["found"], F.array(last)).alias("found"),
+        )
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(lag)), state, step, lambda acc: acc["last"])
-    return F.when(F.expr("_size div 2") > lag, found) if p.size() is not None else found
+    p.post("_pacf", F.aggregate(F.sequence(F.lit(1), F.lit(PARTIAL_LAGS)), start, step, lambda acc: acc["found"]), level=2)
+    return F.expr(f"CASE WHEN _size div 2 > {lag} THEN get(_pacf, {lag - 1}) END")
 
 
 @calculator
@@ -551,13 +575,16 @@ def change_quantiles(p, f_agg, isabs, qh, ql):
     for level in (ql, qh):
         if level not in CORRIDOR_LEVELS:
             raise ValueError(f"corridor level {level} not in {CORRIDOR_LEVELS}")
-    levels = p.row("_levels", F.percentile("_x", F.array(*[F.lit(v) for v in CORRIDOR_LEVELS])).over(p.whole))
-    low, high = (F.get(levels, F.lit(CORRIDOR_LEVELS.index(v))) for v in (ql, qh))
-    inside = p.x.between(low, high) & p.lag_row().between(low, high)
-    step = p.x - p.lag_row()
-    change = F.when(inside, F.abs(step) if isabs else step)
-    calc = {"mean": F.avg, "var": F.var_pop}[f_agg]
-    return F.coalesce(p.agg(f"_corr_{f_agg}_{isabs}_{qh}_{ql}", calc(change)), F.lit(0.0))
+    levels = F.array(*[F.lit(v) for v in CORRIDOR_LEVELS])
+    p.row("_levels", F.percentile("_x", levels).over(p.whole))
+    p.lag_row()
+    low, high = (f"_levels[{CORRIDOR_LEVELS.index(v)}]" for v in (ql, qh))
+    inside = f"_x BETWEEN {low} AND {high} AND _lag1 BETWEEN {low} AND {high}"
+    step = "abs(_x - _lag1)" if isabs else "_x - _lag1"
+    calc = {"mean": "avg", "var": "var_pop"}[f_agg]
+    name = f"_corridor_{f_agg}_{isabs}_{CORRIDOR_LEVELS.index(qh)}_{CORRIDOR_LEVELS.index(ql)}"
+    p.agg(name, f"{calc}(CASE WHEN {inside} THEN {step} END)")
+    return F.expr(f"coalesce({name}, 0D)")
 
 
 # --- trends ------------------------------------------------------------------------------
@@ -586,155 +613,160 @@ def two_sided_t(t: Column, dof: Column) -> Column:
     return F.lit(1.0) - inner
 
 
-def _trend(p: BlockPlan, attr: str, name: str, y: Column, x: Column) -> Column:
-    if attr == "slope":
-        return p.agg(f"{name}_slope", F.regr_slope(y, x))
-    if attr == "intercept":
-        return p.agg(f"{name}_intercept", F.regr_intercept(y, x))
-    both = y.isNotNull() & x.isNotNull()
-    n = p.agg(f"{name}_n", count_if(both))
-    syy, sxx = p.agg(f"{name}_syy", F.regr_syy(y, x)), p.agg(f"{name}_sxx", F.regr_sxx(y, x))
-    sxy = p.agg(f"{name}_sxy", F.regr_sxy(y, x))
-    r = F.coalesce(ratio(sxy, F.sqrt(syy * sxx)), F.when(n > 1, 0.0))
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+def _trend(p: BlockPlan, attr: str, name: str, y: str, x: str) -> Column:
+    """Ordinary least squares of ``y`` on ``x``, both SQL text over row columns."""
+    if attr in ("slope", "intercept"):
+        return p.agg(f"{name}_{attr}", f"regr_{attr}({y}, {x})")
+    for part in ("count", "syy", "sxx", "sxy"):
+        p.agg(f"{name}_{part}", f"regr_{part}({y}, {x})")
+    r = p.post(
+        f"{name}_r",
+        f"CASE WHEN {name}_count > 1 THEN greatest(-1D, least(1D, "
+        f"coalesce({name}_sxy / nullif(sqrt({name}_syy * {name}_sxx), 0), 0D))) END",
+    )
     if attr == "rvalue":
-        return F.when(n > 1, bounded)
-    residual = F.greatest(F.lit(0.0), ratio((F.lit(1.0) - bounded * bounded) * syy, sxx * (n - 2)))
+        return r
     if attr == "stderr":
-        return F.when(n > 2, F.sqrt(residual)).when(n == 2, 0.0)
+        return F.expr(
+            f"CASE WHEN {name}_count > 2 THEN sqrt(greatest(0D, (1 - {name}_r * {name}_r) * {name}_syy"
+            f" / nullif({name}_sxx * ({name}_count - 2), 0))) WHEN {name}_count = 2 THEN 0D END"
+        )
     if attr == "pvalue":
         # One minus r squared below rounding noise is a perfect fit.
-        t = F.abs(bounded) * F.sqrt(ratio((n - 2).cast("double"), F.greatest(F.lit(1e-20), F.lit(1.0) - bounded * bounded)))
-        return F.when(n > 2, two_sided_t(t, n - 2))
+        dof = F.expr(f"{name}_count - 2")
+        t = F.expr(f"abs({name}_r) * sqrt(({name}_count - 2) / greatest(1e-20D, 1 - {name}_r * {name}_r))")
+        return F.when(dof > 0, two_sided_t(p.post(f"{name}_t", F.when(dof > 0, t), level=2), dof))
     raise ValueError(f"unknown attribute {attr!r}")
 
 
 @calculator
 def linear_trend(p, attr):
-    return _trend(p, attr, "_lt", p.x, p.i.cast("double"))
+    return _trend(p, attr, "_lt", "_x", "cast(_i AS double)")
 
 
 @calculator
 def agg_linear_trend(p, attr, chunk_len, f_agg):
     calc = {"max": F.max, "min": F.min, "mean": F.avg, "var": F.var_pop}[f_agg]
-    number = p.row(f"_chunk_{chunk_len}", F.expr(f"_i div {int(chunk_len)}L"))
-    chunk = Window.partitionBy(*p.keys, f"_chunk_{chunk_len}")
-    value = p.row(f"_chunk_{chunk_len}_{f_agg}", calc("_x").over(chunk), level=2)
-    head = p.i % chunk_len == 0
-    return _trend(p, attr, f"_alt_{chunk_len}_{f_agg}", F.when(head, value), F.when(head, number.cast("double")))
+    number = f"_chunk_{chunk_len}"
+    p.row(number, F.expr(f"_i div {int(chunk_len)}L"))
+    chunk = Window.partitionBy(*p.keys, number)
+    p.row(f"{number}_{f_agg}", calc("_x").over(chunk), level=2)
+    # The first row of a chunk stands for the chunk.
+    head = f"CASE WHEN _i % {int(chunk_len)} = 0 THEN {number}_{f_agg} END"
+    return _trend(p, attr, f"_alt_{chunk_len}_{f_agg}", head, f"cast({number} AS double)")
 
 
 @calculator
 def linear_trend_timewise(p, attr):
-    start = p.row("_t0", F.min("_t").over(p.whole))
-    hours = (F.col("_t") - start) / F.lit(3_600_000_000.0)
-    return _trend(p, attr, "_ltt", p.x, hours)
+    p.row("_t0", F.min("_t").over(p.whole))
+    return _trend(p, attr, "_ltt", "_x", "(_t - _t0) / 3600000000D")
 
 
 # --- spectrum ----------------------------------------------------------------------------
 
 
-def _harmonic(p: BlockPlan, k: int, value: Column, name: str) -> tuple[Column, Column]:
-    """Real and imaginary part of the k-th Fourier coefficient of ``value``."""
-    angle = F.lit(2.0) * F.pi() * F.lit(k) * p.i / p.n
-    real = p.agg(f"_{name}_re_{k}", F.sum(value * F.cos(angle)))
-    imag = p.agg(f"_{name}_im_{k}", -F.sum(value * F.sin(angle)))
-    return real, imag
-
-
-def _in_spectrum(p: BlockPlan, k: int) -> Column:
-    return F.expr("_size div 2") >= k if p.size() is not None else None
+def _harmonic(p: BlockPlan, k: int, value: str, name: str) -> tuple[str, str]:
+    """Real and imaginary part of the k-th Fourier coefficient of a row column."""
+    angle = f"2 * pi() * {k} * _i / _n"
+    p.agg(f"{name}_re_{k}", f"sum({value} * cos({angle}))")
+    p.agg(f"{name}_im_{k}", f"-sum({value} * sin({angle}))")
+    p.size()
+    return f"{name}_re_{k}", f"{name}_im_{k}"
 
 
-@calculator
-def fft_coefficient(p, attr, coeff):
-    if coeff > p.block_rows // 2:
-        return F.lit(None)
-    real, imag = _harmonic(p, coeff, p.x, "dft")
+def _fourier_text(p: BlockPlan, attr: str, k: int) -> str:
+    real, imag = _harmonic(p, k, "_x", "_dft")
     value = {
         "real": real,
         "imag": imag,
-        "abs": F.sqrt(real * real + imag * imag),
-        "angle": F.degrees(F.atan2(imag, real)),
+        "abs": f"sqrt({real} * {real} + {imag} * {imag})",
+        "angle": f"degrees(atan2({imag}, {real}))",
     }[attr]
-    return F.when(_in_spectrum(p, coeff), value)
+    return f"CASE WHEN _size div 2 >= {k} THEN {value} END"
 
 
-def _amplitudes(p: BlockPlan) -> list[Column]:
-    return [F.coalesce(fft_coefficient(p, "abs", k), F.lit(0.0)) for k in range(p.block_rows // 2 + 1)]
+@calculator
+def fft_coefficient(p, attr, coeff):
+    if coeff > p.block_rows // 2:
+        return F.lit(None)
+    return F.expr(_fourier_text(p, attr, coeff))
 
 
 @calculator
 def fft_aggregated(p, aggtype):
-    amplitudes = F.array(*_amplitudes(p))
-
-    def moment(power: int) -> Column:
-        weighted = F.transform(amplitudes, lambda a, k: a * F.pow(k.cast("double"), F.lit(float(power))))
-        return F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v)
-
-    total = moment(0)
-    centre = ratio(moment(1), total)
+    """Moments of the amplitude spectrum, the coefficient number being the variable."""
+    half = range(p.block_rows // 2 + 1)
+    listed = ", ".join(f"coalesce({_fourier_text(p, 'abs', k)}, 0D)" for k in half)
+    p.post("_amps", f"array({listed})")
+    p.post("_m0", "aggregate(_amps, 0D, (a, v) -> a + v)", level=2)
+    for power in (1, 2, 3, 4):
+        weighted = f"aggregate(transform(_amps, (v, k) -> v * power(cast(k AS double), {power}D)), 0D, (a, v) -> a + v)"
+        p.post(f"_m{power}", f"{weighted} / nullif(_m0, 0)", level=3)
+    p.post("_spread", "_m2 - _m1 * _m1", level=4)
     if aggtype == "centroid":
-        return centre
-    second = ratio(moment(2), total)
-    spread = second - centre * centre
+        return F.col("_m1")
     if aggtype == "variance":
-        return spread
-    third = ratio(moment(3), total)
+        return F.col("_spread")
     if aggtype == "skew":
-        value = ratio(third - 3 * centre * spread - centre * centre * centre, F.pow(spread, F.lit(1.5)))
+        value = "(_m3 - 3 * _m1 * _spread - _m1 * _m1 * _m1) / power(_spread, 1.5D)"
     elif aggtype == "kurtosis":
         # The catalogue subtracts three times the centre itself, not its fourth power.
-        value = ratio(
-            ratio(moment(4), total) - 4 * centre * third + 6 * second * centre * centre - 3 * centre, spread * spread
-        )
+        value = "(_m4 - 4 * _m1 * _m3 + 6 * _m2 * _m1 * _m1 - 3 * _m1) / (_spread * _spread)"
     else:
         raise ValueError(f"unknown aggregate {aggtype!r}")
-    return F.when(spread >= 0.5, value)
+    return F.expr(f"CASE WHEN _spread >= 0.5D THEN {value} END")
 
 
-def _periodogram(p: BlockPlan, k: int) -> Column:
+def _density_text(p: BlockPlan, k: int) -> str:
     """One-sided Hann-windowed power density of the mean-free block at frequency k."""
-    taper = F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2.0) * F.pi() * p.i / p.n)
-    tapered = p.row("_tapered", (p.x - p.mean_row()) * taper, level=2)
-    real, imag = _harmonic(p, k, tapered, "welch")
-    weight = p.agg("_taper_power", F.sum(taper * taper))
-    single = (F.lit(k) == 0) | (F.lit(2 * k) == p.size())
-    power = ratio(real * real + imag * imag, weight) * F.when(single, 1.0).otherwise(2.0)
-    return F.when(_in_spectrum(p, k), power)
+    p.mean_row()
+    p.row("_taper", F.expr("0.5D - 0.5D * cos(2 * pi() * _i / _n)"))
+    p.row("_tapered", F.expr("(_x - _mean) * _taper"), level=2)
+    real, imag = _harmonic(p, k, "_tapered", "_welch")
+    p.agg("_taper_power", "sum(_taper * _taper)")
+    sides = "1D" if k == 0 else f"CASE WHEN _size = {2 * k} THEN 1D ELSE 2D END"
+    power = f"({real} * {real} + {imag} * {imag}) / nullif(_taper_power, 0) * {sides}"
+    return f"CASE WHEN _size div 2 >= {k} THEN {power} END"
 
 
 @calculator
 def spkt_welch_density(p, coeff):
-    return F.lit(None) if coeff > p.block_rows // 2 else _periodogram(p, coeff)
+    return F.lit(None) if coeff > p.block_rows // 2 else F.expr(_density_text(p, coeff))
 
 
 @calculator
 def fourier_entropy(p, bins):
-    density = F.array_compact(F.array(*[_periodogram(p, k) for k in range(p.block_rows // 2 + 1)]))
-    low, high = F.array_min(density), F.array_max(density)
-    place = F.transform(
-        density, lambda v: F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    listed = ", ".join(_density_text(p, k) for k in range(p.block_rows // 2 + 1))
+    p.post("_density", f"array_compact(array({listed}))")
+    p.post("_density_low", "array_min(_density)", level=2)
+    p.post("_density_high", "array_max(_density)", level=2)
+    p.post(
+        f"_density_bin_{bins}",
+        f"transform(_density, v -> least(cast(floor((v - _density_low) / nullif(_density_high - _density_low, 0) * {bins}) AS int), {bins - 1}))",
+        level=3,
     )
-    count = F.size(density)
     # Each value adds the log share of its own bin; that sums to the entropy of the bins.
-    logs = F.transform(place, lambda b: F.ln(F.size(F.filter(place, lambda o: o == b)) / count))
-    entropy = -F.aggregate(logs, F.lit(0.0), lambda s, v: s + v) / count
-    return F.when(high > low, entropy).when(high.isNotNull(), 0.0)
+    place = f"_density_bin_{bins}"
+    logs = f"aggregate(transform({place}, b -> ln(size(filter({place}, o -> o = b)))), 0D, (a, v) -> a + v)"
+    entropy = f"ln(size(_density)) - {logs} / size(_density)"
+    return F.expr(
+        f"CASE WHEN _density_high > _density_low THEN {entropy} WHEN _density_high IS NOT NULL THEN 0D END"
+    )
 
 
 @calculator
 def cwt_coefficients(p, coeff, w, widths=None):
     """Convolution with the Ricker wavelet of width ``w`` at position ``coeff``."""
-    points = F.least(F.lit(10 * w).cast("bigint"), p.n)
-    tap = F.lit(coeff) - p.i + F.floor((points - 1) / 2)
-    v = tap - (points - 1) / 2
+    p.size()
+    points = f"least({10 * w}L, _n)"
+    p.row(f"_tap_{w}", F.expr(f"({points} - 1) div 2 - _i"))
+    p.row(f"_shift_{w}", F.expr(f"({points} - 1) div 2 - ({points} - 1) / 2 - _i"))
     scale = 2.0 / ((3.0 * w) ** 0.5 * 3.141592653589793 ** 0.25)
-    square = v * v / (w * w)
-    wavelet = F.lit(scale) * (F.lit(1.0) - square) * F.exp(-square / 2)
-    inside = (tap >= 0) & (tap < points)
-    total = p.agg(f"_cwt_{w}_{coeff}", F.sum(F.when(inside, p.x * wavelet).otherwise(0.0)))
-    return F.when(p.size() > coeff, total)
+    square = f"power(({coeff} + _shift_{w}) / {w}D, 2D)"
+    inside = f"{coeff} + _tap_{w} >= 0 AND {coeff} + _tap_{w} < {points}"
+    name = f"_cwt_{w}_{coeff}"
+    p.agg(name, f"sum(CASE WHEN {inside} THEN _x * {scale!r}D * (1 - {square}) * exp(-{square} / 2) ELSE 0D END)")
+    return F.expr(f"CASE WHEN _size > {coeff} THEN {name} END")
 
 
 @calculator

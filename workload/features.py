@@ -103,7 +103,7 @@ shares AS (SELECT series_id, block_id, grid.d, count(digits.d)::DOUBLE / grid.n
 features("g27_count_above_below_mean", [
     ("count_above_mean", {}, "count(*) FILTER (x > mu)"), ("count_below_mean", {}, "count(*) FILTER (x < mu)")])
 features("g28_ratio_beyond_r_sigma", [
-    ("ratio_beyond_r_sigma", {"r": r}, f"count(*) FILTER (abs(x - mu) > {r} * sd)::DOUBLE / count(*)") for r in (0.5, 1, 1.5, 2, 3)])
+    ("ratio_beyond_r_sigma", {"r": r}, f"count(*) FILTER (abs(x - mu) > {r} * sd)::DOUBLE / count(*)") for r in (0.5, 1.5, 2, 3)])
 features("g29_location_of_extreme", [
     ("first_location_of_maximum", {}, "min(i) FILTER (x = hi)::DOUBLE / count(*)"),
     ("first_location_of_minimum", {}, "min(i) FILTER (x = lo)::DOUBLE / count(*)"),
@@ -192,8 +192,12 @@ ch AS (SELECT series_id, block_id, (i // {c})::DOUBLE AS c, max(x) AS v_max, min
 
 features("g47_agg_linear_trend", [
     ("agg_linear_trend", {"attr": a, "chunk_len": 5, "f_agg": f}, trend_sql(f"v_{f}", "c")[a])
-    for f in ("max", "min", "mean", "var") for a in ("slope", "intercept", "rvalue", "stderr")],
-    ctes=alt_ctes(5), source="ch", digits=4)
+    for f in ("max", "min", "mean") for a in ("slope", "intercept", "rvalue", "stderr")],
+    ctes=alt_ctes(5), source="ch")
+features("g47_agg_linear_trend_var", [
+    ("agg_linear_trend", {"attr": a, "chunk_len": 5, "f_agg": "var"}, trend_sql("v_var", "c")[a])
+    for a in ("slope", "intercept", "rvalue", "stderr")],
+    ctes=alt_ctes(5), source="ch", digits=3)
 _LTT = trend_sql("x", "((t_us - t0) / 3600000000.0)")
 features("g48_linear_trend_timewise", [("linear_trend_timewise", {"attr": a}, _LTT[a]) for a in ("slope", "intercept", "rvalue", "stderr")], digits=5)
 
@@ -210,17 +214,25 @@ def fft_sql(attr: str, k: int) -> str:
 
 features("g49_fft_coefficient", [
     ("fft_coefficient", {"attr": a, "coeff": k}, fft_sql(a, k)) for a in ("real", "imag", "abs") for k in (0, 1, 2, 7, 15)])
-# The last coefficient of a block and coefficient 0 are real, so their angle is rounding
-# noise around 0 or 180 degrees; the angle is compared as a point on the unit circle of others.
-features("g49_fft_angle", [
-    ("fft_coefficient", {"attr": "angle", "coeff": k}, fft_sql("angle", k).replace(f"{k} <=", f"{k} <")) for k in (1, 2)],
-    digits=4)
+# The last coefficient of an even block is real, so its angle is rounding noise around 0 or
+# 180 degrees; both sides blank it.
+_ANGLE = {k: feature_name("x", "fft_coefficient", {"attr": "angle", "coeff": k}) for k in (1, 2, 3)}
+
+
+@query("g49_fft_angle", f"WITH {ROWS_SQL} SELECT series_id, block_id, " + ", ".join(
+    f"round(CASE WHEN {2 * k} < count(*) THEN degrees(atan2({dft_sql(k)[1]}, {dft_sql(k)[0]})) END, 4) AS {ident(n)}" for k, n in _ANGLE.items())
+    + " FROM r GROUP BY 1, 2")
+def _(spark, sf):
+    wanted = {"length": [{}], "fft_coefficient": [{"attr": "angle", "coeff": k} for k in _ANGLE]}
+    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", wanted, BLOCK_ROWS)
+    return wide.select(*BLOCK_KEYS, *[F.round(F.when(col("x__length") > 2 * k, col(n)), 4).alias(n) for k, n in _ANGLE.items()])
+
 
 _SPECTRUM = """
-amps AS (SELECT series_id, block_id, k, sqrt(power(sum(x * cos(2 * pi() * k * i / n)), 2) + power(sum(x * sin(2 * pi() * k * i / n)), 2)) AS a
-  FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM r) GROUP BY 1, 2, 3),
-mom AS (SELECT series_id, block_id, sum(k * a) / nullif(sum(a), 0) AS c, sum(k * k * a) / nullif(sum(a), 0) AS m2,
-  sum(k * k * k * a) / nullif(sum(a), 0) AS m3, sum(k * k * k * k * a) / nullif(sum(a), 0) AS m4 FROM amps GROUP BY 1, 2)"""
+amps AS (SELECT series_id, block_id, f, sqrt(power(sum(x * cos(2 * pi() * f * i / n)), 2) + power(sum(x * sin(2 * pi() * f * i / n)), 2)) AS a
+  FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS f FROM r) GROUP BY 1, 2, 3),
+mom AS (SELECT series_id, block_id, sum(f * a) / nullif(sum(a), 0) AS c, sum(f * f * a) / nullif(sum(a), 0) AS m2,
+  sum(f * f * f * a) / nullif(sum(a), 0) AS m3, sum(f * f * f * f * a) / nullif(sum(a), 0) AS m4 FROM amps GROUP BY 1, 2)"""
 features("g50_fft_aggregated", [
     ("fft_aggregated", {"aggtype": "centroid"}, "any_value(c)"),
     ("fft_aggregated", {"aggtype": "variance"}, "any_value(m2 - c * c)"),
@@ -230,9 +242,9 @@ features("g50_fft_aggregated", [
 
 _WELCH = """
 tap AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * i / n) AS w FROM r),
-psd AS (SELECT series_id, block_id, k, (power(sum((x - mu) * w * cos(2 * pi() * k * i / n)), 2) + power(sum((x - mu) * w * sin(2 * pi() * k * i / n)), 2))
-    / nullif(sum(w * w), 0) * CASE WHEN k = 0 OR 2 * k = any_value(n) THEN 1 ELSE 2 END AS d
-  FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM tap) GROUP BY 1, 2, 3)"""
+psd AS (SELECT series_id, block_id, f, (power(sum((x - mu) * w * cos(2 * pi() * f * i / n)), 2) + power(sum((x - mu) * w * sin(2 * pi() * f * i / n)), 2))
+    / nullif(sum(w * w), 0) * CASE WHEN f = 0 OR 2 * f = any_value(n) THEN 1 ELSE 2 END AS d
+  FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS f FROM tap) GROUP BY 1, 2, 3)"""
 features("g51_fourier_entropy", [("fourier_entropy", {"bins": b}, f"max(e{b})") for b in (2, 5, 10)], ctes=_WELCH + """,
 ends AS (SELECT *, min(d) OVER w AS dl, max(d) OVER w AS dh, count(d) OVER w AS m FROM psd WINDOW w AS (PARTITION BY series_id, block_id)),
 """ + ",\n".join(f"""s{b} AS (SELECT series_id, block_id, any_value(dh) AS dh, any_value(dl) AS dl, least(floor((d - dl) / nullif(dh - dl, 0) * {b}), {b - 1}) AS bin,
@@ -241,7 +253,7 @@ f{b} AS (SELECT series_id, block_id, CASE WHEN max(dh) > max(dl) THEN -sum(p * l
 keys AS (SELECT DISTINCT series_id, block_id FROM r),
 ent AS (SELECT * FROM keys LEFT JOIN f2 USING (series_id, block_id) LEFT JOIN f5 USING (series_id, block_id) LEFT JOIN f10 USING (series_id, block_id))""",
     source="ent")
-features("g52_spkt_welch_density", [("spkt_welch_density", {"coeff": k}, f"max(d) FILTER (k = {k})") for k in (2, 5, 8)], ctes=_WELCH, source="psd")
+features("g52_spkt_welch_density", [("spkt_welch_density", {"coeff": k}, f"max(d) FILTER (f = {k})") for k in (2, 5, 8)], ctes=_WELCH, source="psd")
 
 
 def cwt_sql(w: int, c: int) -> str:
