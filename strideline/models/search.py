@@ -69,12 +69,14 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return df.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(self.getInputCol()))))
 
 
-def draw_parameters(model_type: str, draws: int, features: int, seed: int = 0) -> list[dict]:
-    """``draws`` random settings of one classifier type."""
+def draw_parameters(
+    model_type: str, draws: int, features: int, seed: int = 0, space: dict | None = None
+) -> list[dict]:
+    """``draws`` random settings of one classifier type; ``space`` narrows the usual ranges."""
     if model_type not in SEARCH_SPACE:
         raise ValueError(f"unknown model type {model_type!r}")
     rng = np.random.default_rng(seed)
-    space = SEARCH_SPACE[model_type]
+    space = {**SEARCH_SPACE[model_type], **(space or {})}
 
     def whole(low: int, high: int) -> int:
         return int(rng.integers(low, high + 1))
@@ -150,6 +152,7 @@ class SearchResult:
 def random_search(
     train: DataFrame, columns: list[str], label: str, row_key: str, model_type: str, draws: int = 50, folds: int = 5,
     classes: int = 2, seed: int = 0, parallelism: int = 4, save_to: str | None = None,
+    space: dict | None = None,
 ) -> SearchResult:
     """Best of ``draws`` random settings by stratified cross-validation, refitted on all rows.
 
@@ -163,7 +166,7 @@ def random_search(
     prepared = stratified_folds(named, "_label", "_row", folds, seed).persist()
     try:
         rows = prepared.count()
-        settings = draw_parameters(model_type, draws, len(columns), seed)
+        settings = draw_parameters(model_type, draws, len(columns), seed, space)
         assembler = VectorAssembler(inputCols=safe, outputCol="features")
         pipeline = Pipeline(stages=[assembler])
         grid = [

@@ -115,10 +115,17 @@ def _(spark, sf):
     return iso.isolation_filter(vectors(spark, sf), FEATURES, ["vec_id"], contamination=0.05).select("vec_id", "label")
 
 
+# Short searches: few iterations and shallow trees.
+SHORT = {
+    "svc": {"max_iter": (2, 5), "kernel": ["rbf", "linear"]}, "cart_tree": {"max_depth": (1, 4)},
+    "random_forrest": {"max_depth": (1, 4), "n_estimators": (2, 8)}, "mlp_classifier": {"max_iter": (2, 8)},
+}
+
+
 def search(spark, sf, model_type):
     parts = stratified_split(vectors(spark, sf), "label", "vec_id", 0.3, seed=1)
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    found = se.random_search(train, FEATURES, "label", "vec_id", model_type, draws=2, folds=2)
+    found = se.random_search(train, FEATURES, "label", "vec_id", model_type, draws=2, folds=2, space=SHORT[model_type])
     return se.predict(found.model, test, FEATURES, ["vec_id", "label"])
 
 
@@ -179,7 +186,7 @@ def _(spark, sf):
     names = [f"s{i}" for i in range(64)]
     wide = e.select("vec_id", "label", *[F.col("series")[i].alias(n) for i, n in enumerate(names)])
     parts = stratified_split(wide, "label", "vec_id", 0.3, seed=1)
-    found = se.random_search(parts.where("part = 'train'"), names, "label", "vec_id", "svc", draws=1, folds=2, seed=4)
+    found = se.random_search(parts.where("part = 'train'"), names, "label", "vec_id", "svc", draws=1, folds=2, space=SHORT["svc"])
     return se.predict(found.model, parts.where("part = 'test'"), names, ["vec_id", "label"])
 
 
