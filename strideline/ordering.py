@@ -38,7 +38,7 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     packed = stats.select(F.struct(*names)).scalar()
     return (
         df.withColumn("_stats", packed)
-        .select(*df.columns, *[F.col("_stats")[n].alias(n) for n in names])
+        .select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_stats")[n].alias(n) for n in names])
     )
 
 

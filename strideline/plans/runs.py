@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions.features import extract_features
 from strideline.functions.motifs import MOTIF_COLUMNS, infer_motifs, sweep_motifs
+from strideline.functions.scalar import known
 from strideline.functions.relevance import melt_features, relevance_table, replay_catalogue
 from strideline.materialise import cut
 from strideline.models.isolation import isolation_filter
@@ -63,20 +64,27 @@ def motif_tables(signal: DataFrame, settings: Settings) -> DataFrame:
     return cut(encode(found, ["label"]))
 
 
-def _fill(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Classifiers take no missing values; a feature that is undefined for a block counts as zero."""
-    safe = {c: F.coalesce(F.nanvl(F.col(f"`{c}`"), F.lit(None)), F.lit(0.0)) for c in columns}
-    return df.withColumns(safe)
+def _fill(df: DataFrame, columns: list[str], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """``keep`` and the features under plain names ``c0, c1, ..``.
+
+    Classifiers take no missing values; a feature that is undefined for a block counts as zero.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    filled = [
+        F.coalesce(known(F.col(f"`{c}`")), F.lit(0.0)).alias(n) for c, n in zip(columns, names)
+    ]
+    return df.select(*keep, *filled), names
 
 
 def _search(
     combo: int, table: DataFrame, columns: list[str], row_keys: list[str], settings: Settings
 ) -> tuple[list[dict], dict, dict[str, SearchResult]]:
     """Filter, gate and search one feature table; returns scores, shares and models."""
-    filled = _fill(table, columns).withColumn("_row", F.abs(F.xxhash64(*row_keys)) % F.lit(1 << 40))
+    filled, names = _fill(table, columns, [*dict.fromkeys(["part", *row_keys, "label"])])
+    filled = filled.withColumn("_row", F.abs(F.xxhash64(*row_keys)) % F.lit(1 << 40))
     parts = [
         isolation_filter(
-            filled.where(F.col("part") == p), columns, row_keys, settings.contamination, settings.trees,
+            filled.where(F.col("part") == p), names, row_keys, settings.contamination, settings.trees,
             settings.tree_rows, settings.seed,
         ) for p in ("train", "test")
     ]
@@ -89,7 +97,7 @@ def _search(
     scores, models = [], {}
     for name in settings.models:
         found = random_search(
-            train, columns, "label", "_row", name, settings.draws, settings.folds, seed=settings.seed,
+            train, names, "label", "_row", name, settings.draws, settings.folds, seed=settings.seed,
             space=settings.space.get(name),
         )
         scores.append({"combo": combo, "model": name, "score": score(found, test, "label")})
@@ -122,7 +130,7 @@ def train_run(
             continue
         found, gate, trained = _search(number, rows, columns, row_keys, settings)
         scores += found
-        gates.append({"combo": number, "radius": radius, "length": length, **{k: gate[k] for k in ("train_share", "test_share", "distribution_ok")}})
+        gates.append({"combo": number, "radius": None if radius is None else float(radius), "length": length, **{k: gate[k] for k in ("train_share", "test_share", "distribution_ok")}})
         models.update({(number, name): result for name, result in trained.items()})
         tables[number] = (rows, columns, row_keys, radius, length)
     if not scores:
@@ -131,19 +139,16 @@ def train_run(
     score_table = spark.createDataFrame(scores, "combo int, model string, score double")
     gate_table = spark.createDataFrame(
         gates, "combo int, radius double, length int, train_share double, test_share double, distribution_ok boolean"
-    ) if settings.extractor == "statistical" else spark.createDataFrame(
-        [{**g, "radius": float(g["radius"])} for g in gates],
-        "combo int, radius double, length int, train_share double, test_share double, distribution_ok boolean",
     )
     best = best_model(score_table).first()
     chosen = models[(best["combo"], best["model"])]
     rows, columns, row_keys, radius, length = tables[best["combo"]]
 
+    held, names = _fill(rows.where("part = 'valid'"), columns, [*row_keys, "label"])
     valid = isolation_filter(
-        _fill(rows.where("part = 'valid'"), columns), columns, row_keys, settings.contamination, settings.trees,
-        settings.tree_rows, settings.seed,
+        held, names, row_keys, settings.contamination, settings.trees, settings.tree_rows, settings.seed
     )
-    said = cut(predict(chosen.model, valid, columns, [*row_keys, "label"]).withColumn("label", F.col("label").cast("double")))
+    said = cut(predict(chosen.model, valid, names, [*row_keys, "label"]).withColumn("label", F.col("label").cast("double")))
     report = [r.asDict() for r in classification_report(said, "label", "prediction").collect()]
     matrix = [r.asDict() for r in confusion_matrix(said, "label", "prediction").collect()]
 
@@ -180,7 +185,8 @@ def inference_run(spark: SparkSession, readings: DataFrame, settings: Settings,
         wanted = replay_catalogue(notes["selected"])[REDUCED]
         table = extract_features(blocks, ["block_id"], "i", REDUCED, wanted, settings.block_rows)
         keys = ["block_id"]
-    said = predict(model, _fill(table, notes["features"]), notes["features"], keys)
+    filled, names = _fill(table, notes["features"], keys)
+    said = predict(model, filled, names, keys)
     store.write_table(said, root, "predictions", tag)
     return store.read_table(spark, root, "predictions", tag)
 

@@ -76,7 +76,7 @@ CATALOGUE = {"mean": [{}], "median": [{}], "maximum": [{}], "abs_energy": [{}],
 
 
 def quick(**changes) -> Settings:
-    base = dict(axes=AXES, freq="6h", block_rows=15, catalogue=CATALOGUE, fdr_level=0.05, models=["cart_tree", "random_forrest"],
+    base = dict(axes=AXES, freq="1D", block_rows=10, catalogue=CATALOGUE, fdr_level=0.05, models=["cart_tree", "random_forrest"],
                 space=SHORT, draws=1, folds=2, trees=100, radii=[2], lengths=[8], class_bounds=(0.1, 0.9))
     return Settings(**{**base, **changes})
 
@@ -98,12 +98,12 @@ def _(spark, sf):
 @query("j5_experiment_grid")
 def _(spark, sf):
     readings, labels = run_frames(spark, sf)
-    grid = [quick(models=["cart_tree"], block_rows=b, reduction=r) for b, r in ((15, "euclidean"), (30, "pca"))]
+    grid = [quick(models=["cart_tree"], block_rows=b, reduction=r) for b, r in ((10, "euclidean"), (15, "euclidean"))]
     return experiment_grid(spark, readings, labels, grid, scratch(spark))
 
 
 @query("j3_motif_training_run")
 def _(spark, sf):
     readings, labels = run_frames(spark, sf)
-    settings = quick(models=["cart_tree"], extractor="motif", freq="12h", radii=[3])
+    settings = quick(models=["cart_tree"], extractor="motif", radii=[5], class_bounds=(-0.01, 1.01))
     return train_run(spark, readings, labels, settings, scratch(spark)).drop("run_tag")
