@@ -75,6 +75,7 @@ def matrix_profile(
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            made: list[pd.DataFrame] = []
             for row in batch.itertuples(index=False):
                 record = dict(zip(batch.columns, row))
                 a, b = record["_slice"], record["_other"]
@@ -90,7 +91,9 @@ def matrix_profile(
                 for starts, best, partner in found:
                     ok = np.isfinite(best)
                     out = {k: np.full(ok.sum(), record[k]) for k in keys}
-                    yield pd.DataFrame({**out, "pos": starts[ok], "distance": best[ok], "partner": partner[ok]})
+                    made.append(pd.DataFrame({**out, "pos": starts[ok], "distance": best[ok], "partner": partner[ok]}))
+            if made:
+                yield pd.concat(made, ignore_index=True)
 
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_types + ', ' if keys else ''}pos bigint, distance double, partner bigint"

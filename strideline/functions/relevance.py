@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions.features import parse_feature_names
 from strideline.functions.scalar import known, ln_factorial, ratio, two_sided_normal
+from strideline.materialise import cut
 from strideline.operators.signal import exact_quantiles
 from strideline.ordering import attach_stats, hierarchical_offsets
 
@@ -177,7 +178,7 @@ def relevance_table(long: DataFrame, label: str, fdr_level: float = 0.01) -> Dat
 
     Constant features are irrelevant and do not take part in the selection.
     """
-    counts = class_counts(long, label)
+    counts = cut(class_counts(long, label))
     kinds = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("_values"))
     kind = F.when(F.col("_values") == 1, "constant").when(F.col("_values") == 2, "binary").otherwise("real")
     kinds = kinds.select("feature", kind.alias("kind"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.scalar import known
+from strideline.materialise import cut
 from strideline.ordering import (
     SLICE_ROWS,
     attach_stats,
@@ -54,7 +55,7 @@ def segment_by_label(
     if not wanted:
         raise ValueError("no labels to segment by")
     chosen = df.where(F.col(label).isin(list(wanted))).withColumn(rank, label_rank(label, list(wanted)))
-    return run_starts(chosen, keys, pos, label, start, slice_rows)
+    return run_starts(chosen, keys, pos, {start: [label]}, slice_rows)
 
 
 def segment_nested(
@@ -67,12 +68,12 @@ def segment_nested(
     segments (not chronological inside an outer run).  An inner run never leaves its outer
     run because both need consecutive positions.
     """
-    outer_runs = segment_by_label(df, keys, pos, outer, outer_wanted, "outer_start", "outer_rank", slice_rows)
-    chosen = outer_runs.where(F.col(inner).isin(list(inner_wanted))).withColumn(
-        "inner_rank", label_rank(inner, list(inner_wanted))
-    )
-    both = chosen.withColumn("_both", F.struct("outer_start", inner))
-    return run_starts(both, keys, pos, "_both", "inner_start", slice_rows).drop("_both")
+    if not outer_wanted or not inner_wanted:
+        raise ValueError("no labels to segment by")
+    chosen = df.where(F.col(outer).isin(list(outer_wanted)))
+    both = run_starts(chosen, keys, pos, {"outer_start": [outer], "inner_start": [outer, inner]}, slice_rows)
+    ranks = {"outer_rank": label_rank(outer, list(outer_wanted)), "inner_rank": label_rank(inner, list(inner_wanted))}
+    return both.where(F.col(inner).isin(list(inner_wanted))).withColumns(ranks)
 
 
 SEGMENT_ORDER = ["outer_rank", "outer_start", "inner_rank", "inner_start"]
@@ -173,7 +174,8 @@ def desegment(
     sizes = df.groupBy(*within, *segment).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(row).alias("_first")
     )
-    offsets = hierarchical_offsets(sizes, levels, "_rows", "_offset", within=within)
+    # One row per segment; every level reads it again.
+    offsets = hierarchical_offsets(cut(sizes), levels, "_rows", "_offset", within=within)
     place = offsets.select(*within, *segment, "_offset", "_first")
     kept = list(dict.fromkeys([*within, *segment, *columns]))
     return (

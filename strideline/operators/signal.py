@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.scalar import known, ratio
+from strideline.materialise import cut
 from strideline.operators.cleaning import require_columns
-from strideline.ordering import SLICE_ROWS, attach_stats, dense_index, int_div, with_halo
+from strideline.ordering import SLICE_ROWS, attach_stats, int_div, with_halo
 
 REDUCED = "acceleration_abs"
 
@@ -247,7 +248,9 @@ def trim_quantile(df: DataFrame, columns: list[str], quantile: float = 0.99, key
     require_columns(df, columns)
     keys = list(keys)
     kept = df
-    for c in columns:
+    for place, c in enumerate(columns):
+        if place:
+            kept = cut(kept)
         stats = exact_quantiles(kept, c, [1.0 - quantile, quantile], keys)
         kept = attach_stats(kept, stats, keys).where(known(c).between(F.col("q0"), F.col("q1"))).select(*df.columns)
     return kept

@@ -9,7 +9,7 @@ from strideline.functions.scalar import count_if, ratio
 from strideline.operators.cleaning import portable_hash
 from strideline.ordering import SLICE_FANOUT, attach_stats, dense_index, hierarchical_offsets, int_div
 
-HASH_SLICE = 1 << 21
+HASH_SLICE = 1 << 11
 
 
 def global_index(df: DataFrame, series: str, index: str, out: str = "row") -> DataFrame:

@@ -162,30 +162,31 @@ def run_starts(
     df: DataFrame,
     keys: list[str],
     pos: str,
-    label: str,
-    out: str = "run_start",
+    runs: dict[str, list[str]],
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Position of the first row of the run each row belongs to.
 
-    A run ends where the label changes or a position is missing.  Starts are found with
-    one halo row; a run that began in an earlier slice is carried in by a table with one
-    row per slice.
+    ``runs`` maps an output column to the labels that make up a run: it ends where one of
+    them changes or a position is missing.  Starts are found with one halo row; a run that
+    began in an earlier slice is carried in by a table with one row per slice.
     """
     keys = list(keys)
     halo = with_halo(df, pos, before=1, slice_rows=slice_rows)
     w = Window.partitionBy(*keys, "_slice").orderBy(pos)
-    follows = (F.lag(pos).over(w) == F.col(pos) - 1) & F.lag(label).over(w).eqNullSafe(F.col(label))
-    marked = halo.withColumn(
-        "_start", F.when(F.coalesce(follows, F.lit(False)), F.lit(None)).otherwise(F.col(pos))
-    ).where("_core")
-    last = marked.groupBy(*keys, "_slice").agg(F.max("_start").alias("_last"))
+    adjacent = F.coalesce(F.lag(pos).over(w) == F.col(pos) - 1, F.lit(False))
+    starts = {}
+    for out, labels in runs.items():
+        follows = reduce(lambda a, b: a & b, [F.lag(c).over(w).eqNullSafe(F.col(c)) for c in labels], adjacent)
+        starts[f"_start_{out}"] = F.when(~follows, F.col(pos))
+    marked = halo.withColumns(starts).where("_core")
+    last = marked.groupBy(*keys, "_slice").agg(*[F.max(f"_start_{o}").alias(f"_last_{o}") for o in runs])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*keys, "_slice", F.max("_last").over(earlier).alias("_carry"))
-    running = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    carry = last.select(*keys, "_slice", *[F.max(f"_last_{o}").over(earlier).alias(f"_carry_{o}") for o in runs])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        marked.withColumn("_run", running)
+        marked.withColumns({f"_run_{o}": F.max(f"_start_{o}").over(so_far) for o in runs})
         .join(carry, on=keys + ["_slice"], how="inner")
-        .withColumn(out, F.coalesce("_run", "_carry"))
-        .select(*df.columns, out)
+        .withColumns({o: F.coalesce(f"_run_{o}", f"_carry_{o}") for o in runs})
+        .select(*df.columns, *runs)
     )

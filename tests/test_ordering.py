@@ -63,13 +63,13 @@ def brute_runs(frame):
 
 @pytest.mark.parametrize("slice_rows", [2, 5, 64, 1 << 20])
 def test_run_starts(spark, rows, slice_rows):
-    got = local(od.run_starts(spark.createDataFrame(rows), ["s"], "p", "label", "start", slice_rows), ["s", "p"])
+    got = local(od.run_starts(spark.createDataFrame(rows), ["s"], "p", {"start": ["label"]}, slice_rows), ["s", "p"])
     assert list(got.start) == brute_runs(rows)
 
 
 def test_long_run_over_many_slices(spark):
     one = spark.range(0, 100).select(F.lit(1).alias("s"), F.col("id").alias("p"), F.lit(5.0).alias("label"))
-    assert od.run_starts(one, ["s"], "p", "label", "start", 4).select("start").distinct().count() == 1
+    assert od.run_starts(one, ["s"], "p", {"start": ["label"]}, 4).select("start").distinct().count() == 1
 
 
 def test_head_and_tail(spark, rows):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideline.functions.manual import manual_features
+from strideline.materialise import cut
 from strideline.operators import segments as sm
 from strideline.operators import signal as sg
 from strideline.ordering import int_div
@@ -25,10 +26,10 @@ SELECT series_id, block_id, round(mean, 6) AS mean, round(std, 6) AS std, round(
 FROM f JOIN y USING (series_id, block_id)""")
 def block_features(spark, sf):
     s = events_series(spark, sf).select("series_id", "t_us", F.col("value").alias("x"), "road_label")
-    bins = sm.resample(s, ["series_id"], "t_us", "1h", ["x", "road_label"], fill=False)
+    bins = cut(sm.resample(s, ["series_id"], "t_us", "1h", ["x", "road_label"], fill=False))
     normal, _stats = sg.znormalize(bins, ["x"])
-    kept = sg.trim_quantile(normal, ["x"], 0.99).withColumn("hour", int_div("bin_us", HOUR_US))
-    blocks = sm.number_blocks(kept, ["series_id"], "hour", ROWS)
+    kept = cut(sg.trim_quantile(normal, ["x"], 0.99)).withColumn("hour", int_div("bin_us", HOUR_US))
+    blocks = cut(sm.number_blocks(kept, ["series_id"], "hour", ROWS))
     keys = ["series_id", "block_id"]
     described = manual_features(blocks, keys, "x")
     labels = sm.majority_label(blocks, keys, "road_label", "idx")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideline.functions.manual import manual_features
+from strideline.materialise import cut
 from strideline.operators import combine as cb
 from strideline.operators import segments as sm
 from strideline.operators import splits as sp
@@ -158,7 +159,7 @@ def _(spark, sf):
 @query("e6_desegment", f"""WITH {NESTED_SQL} SELECT series_id, row_number() OVER (PARTITION BY series_id
 ORDER BY outer_start, inner_rank, inner_start, pos) - 1 AS new_pos, value, road_label FROM nested""")
 def _(spark, sf):
-    out = sm.desegment(nested(spark, sf), ["series_id"], [["outer_start"], ["inner_rank"], ["inner_start"]], "pos", ["value", "road_label"], "new_pos")
+    out = sm.desegment(cut(nested(spark, sf)), ["series_id"], [["outer_start"], ["inner_rank"], ["inner_start"]], "pos", ["value", "road_label"], "new_pos")
     return out.select("series_id", "new_pos", "value", "road_label")
 
 
