@@ -160,6 +160,13 @@ def project_to_global(df: DataFrame, mode: str, axes: list[str], args: list[str]
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def first_of_equal_names(df: DataFrame) -> DataFrame:
+    """Keep the first of several columns with the same name."""
+    places = [i for i, c in enumerate(df.columns) if c not in df.columns[:i]]
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(f"_{i}").alias(df.columns[i]) for i in places])
+
+
 def with_series_id(df: DataFrame, series_id: int, name: str = "series_id") -> DataFrame:
     return df.withColumn(name, F.lit(series_id))
 

@@ -103,6 +103,13 @@ def _(spark, sf):
     return out.select("series_id", "pos", r6("value"))
 
 
+@query("b12_first_of_equal_names", "SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return cl.first_of_equal_names(o.join(c, o.o_custkey == c.o_custkey, "inner"))
+
+
 @query("b13_constant_id", "SELECT event_id, CAST(7 AS INTEGER) AS series_id FROM events")
 def _(spark, sf):
     return cl.with_series_id(table(spark, sf, "events").select("event_id"), 7)
