@@ -43,5 +43,5 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     Later reads prune columns and push filters down, which a checkpoint can't.
     """
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
