@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import exact_dedup, quality_rules
+from strideline.llm import exact_dedup, packing, quality_rules, token_blocks, token_counts
+from strideline.materialise import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +80,27 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM t""")
 def _(spark, sf):
     return exact_dedup.decide(documents(spark, sf))
+
+
+# --- tokens ------------------------------------------------------------------------------
+
+
+@query("op3_token_counts")
+def _(spark, sf):
+    return token_counts.token_counts(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_pack_sequences")
+def _(spark, sf):
+    packed = packing.pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "piece", "start", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op9_token_blocks")
+def _(spark, sf):
+    folder = new_folder(spark, "token-blocks")
+    token_blocks.write_blocks(documents(spark, sf), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_blocks.read_blocks(spark, folder).select(
+        "doc_id", "start", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
