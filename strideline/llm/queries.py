@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import exact_dedup, packing, quality_rules, token_blocks, token_counts
+from strideline.llm import exact_dedup, ngram_join, packing, quality_rules, token_blocks, token_counts
 from strideline.materialise import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,11 @@ def _(spark, sf):
     token_blocks.write_blocks(documents(spark, sf), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return token_blocks.read_blocks(spark, folder).select(
         "doc_id", "start", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+# --- near duplicates ---------------------------------------------------------------------
+
+
+@query("op4_ngram_join")
+def _(spark, sf):
+    return ngram_join.join(documents(spark, sf))
