@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import exact_dedup, ngram_join, packing, quality_rules, token_blocks, token_counts
+from strideline.llm import exact_dedup, fm_quality, ngram_join, packing, quality_rules, token_blocks, token_counts, toxicity
 from strideline.materialise import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,22 @@ def _(spark, sf):
 @query("op4_ngram_join")
 def _(spark, sf):
     return ngram_join.join(documents(spark, sf))
+
+
+# --- classifiers -------------------------------------------------------------------------
+
+
+def _id_class(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op2_fm_quality")
+def _(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return fm_quality.quality_scores(documents(spark, sf), labels, _id_class(3) == 1)
+
+
+@query("op8_toxicity")
+def _(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return toxicity.toxicity_scores(documents(spark, sf), labels, _id_class(5) == 0)

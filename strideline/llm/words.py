@@ -42,14 +42,35 @@ def spans(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mixed((sums[stop] - sums[start]) * _powers(len(sums))[0][start] + (stop - start).astype(np.uint64))
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes in order, and for each text its bounds in them (one more than texts)."""
+def _located(texts: list[str | None], between: np.ndarray):
+    """Running sums over the joined bytes, and start, stop and bounds of the words in them."""
     parts = [(t or "").encode().lower() for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    edge = np.diff(np.concatenate(([True], _SPACE[data])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], between[data])).astype(np.int8))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return spans(running(data), start, stop), np.searchsorted(start, firsts)
+    return running(data), start, stop, np.searchsorted(start, firsts)
+
+
+def hashed_words(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes in order, and for each text its bounds in them (one more than texts).
+
+    ``between`` marks the bytes that separate words.
+    """
+    sums, start, stop, bounds = _located(texts, between)
+    return spans(sums, start, stop), bounds
+
+
+def words_and_stems(texts: list[str | None], between: np.ndarray, sizes: range) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of their first bytes, and the number of the text of each."""
+    sums, start, stop, bounds = _located(texts, between)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    hashes, of = [spans(sums, start, stop)], [doc]
+    for n in sizes:
+        longer = stop - start > n
+        hashes.append(spans(sums, start[longer], start[longer] + n) + np.uint64(1))
+        of.append(doc[longer])
+    return np.concatenate(hashes), np.concatenate(of)
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
