@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import exact_dedup, fm_quality, ngram_join, packing, quality_rules, token_blocks, token_counts, toxicity
+from strideline.llm import exact_dedup, fm_quality, ngram_join, packing, quality_rules, repeats, token_blocks, token_counts, toxicity
 from strideline.materialise import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,13 @@ def _(spark, sf):
 def _(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     return toxicity.toxicity_scores(documents(spark, sf), labels, _id_class(5) == 0)
+
+
+# --- repeats -----------------------------------------------------------------------------
+
+
+@query("op7_remove_repeats")
+def _(spark, sf):
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return repeats.remove_repeats(documents(spark, sf)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
