@@ -18,6 +18,12 @@ SURE = "!-~À-ɏ"
 _UNSURE = re.compile(rf" (?![{SURE}])|(?<![{SURE}])\n|\n(?![{SURE}])")
 _BORDER = re.compile(rf"(?= [{SURE}])|(?<=[{SURE}])(?=\n[{SURE}])|(?<=[{SURE}]\n)(?=[{SURE}])")
 
+#: Letters in every Unicode version, which normalisation leaves as they are.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
+#: The characters by which byte-level vocabularies show bytes above ASCII and a space.
+_SHOWN, _SHOWN_SPACE = {b: 162 + b for b in range(127, 161)} | {173: 323}, chr(288)
+
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -29,6 +35,7 @@ class PieceEncoder(dict):
     def __init__(self, path: str, split: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {m: self.library(m) for m in ".,!?"}
         self.marks |= {m.encode(): ids for m, ids in self.marks.items()}
@@ -55,6 +62,14 @@ class PieceEncoder(dict):
     def _spaces(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
 
+    def _word(self, lead: str, word: str) -> bytes:
+        """Ids of a piece; one of letters alone is a single token of the pre-tokeniser."""
+        if _LETTERS(word) is None:
+            return self.library(lead + word)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(_SHOWN_SPACE + word if lead else word)]).tobytes()
+
     def __missing__(self, key: str | bytes) -> bytes:
         base, mark = key[:-1], key[-1:]
         if mark in self.marks and base[-1:].isalpha() and base[-1:].isascii():
@@ -64,12 +79,13 @@ class PieceEncoder(dict):
             if not known:
                 return ids
         elif isinstance(key, bytes):
-            low = key.lower()
-            ids = self.library(key.decode()) if low == key else self[low]
+            word = key.decode()
+            low = word.lower()
+            ids = self._word("", low) if _LETTERS(low) else self.library(word)
         elif key[:1] == "\0":
-            ids = self.library(key[1:])
+            ids = self._word("", key[1:])
         else:
-            ids = self.library(key if key == "\n" else " " + key)
+            ids = self.library(key) if key == "\n" else self._word(" ", key)
         if len(key) <= self.LONGEST_KEPT:
             self[key] = ids
         return ids
