@@ -33,6 +33,30 @@ _ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.in
                     ("lengths", pa.list_(pa.int64())), ("block_starts", pa.list_(pa.int32())), ("payload", pa.binary())])
 
 
+def _shift(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) if by >= 0 else x >> np.uint64(-by)
+
+
+def packed_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values below ``2 ** width`` as rows of bytes; eight values fill ``width`` bytes."""
+    v = values.reshape(len(values), -1, 8).astype(np.uint64)
+    out = np.empty((*v.shape[:2], width), np.uint8)
+    for k in range(width):
+        first, last = 8 * k // width, min(7, (8 * k + 7) // width)
+        out[:, :, k] = np.bitwise_or.reduce([_shift(v[:, :, j], j * width - 8 * k) for j in range(first, last + 1)]).astype(np.uint8)
+    return out.reshape(len(values), -1)
+
+
+def unpacked_bits(data: np.ndarray, width: int) -> np.ndarray:
+    """The values of :func:`packed_bits`."""
+    b = data.reshape(len(data), -1, width).astype(np.uint64)
+    out = np.empty((*b.shape[:2], 8), np.uint64)
+    for j in range(8):
+        first, last = j * width // 8, (j * width + width - 1) // 8
+        out[:, :, j] = np.bitwise_or.reduce([_shift(b[:, :, k], 8 * k - j * width) for k in range(first, last + 1)])
+    return (out & np.uint64((1 << width) - 1)).reshape(len(data), -1).astype("<u4")
+
+
 def encode_blocks(ids: np.ndarray, share: int = 90) -> tuple[np.ndarray, bytes]:
     """Starts of the blocks and their bytes; the last block is filled up with its last id."""
     n_blocks = -(-len(ids) // BLOCK)
@@ -45,8 +69,7 @@ def encode_blocks(ids: np.ndarray, share: int = 90) -> tuple[np.ndarray, bytes]:
     packed: list[bytes] = [b""] * n_blocks
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(rest[rows].view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-        for row, low in zip(rows, np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little"), strict=True):
+        for row, low in zip(rows, packed_bits(rest[rows] & np.uint32((1 << int(w)) - 1), int(w)), strict=True):
             packed[row] = low.tobytes()
     out = []
     for i in range(n_blocks):
@@ -67,10 +90,7 @@ def decode_blocks(starts: np.ndarray, payload: bytes, n_ids: int) -> np.ndarray:
     x = np.zeros((len(starts), BLOCK), "<u4")
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        low = np.unpackbits(take(starts[rows] + HEAD, BLOCK * w // 8), axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
-        bits[:, :, :w] = low
-        x[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+        x[rows] = unpacked_bits(take(starts[rows] + HEAD, BLOCK * w // 8), int(w))
     for i in np.flatnonzero(n_patches):
         n, at = int(n_patches[i]), int(starts[i] + HEAD + BLOCK * width[i] // 8)
         places = data[at : at + n]
@@ -132,4 +152,5 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     docs = files.mapInArrow(_decoded, "part int, doc_id long, at long, ids binary")
-    return docs.join(offsets, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "ids")
+    # One row per task that wrote: a few MB for 100,000 tasks.
+    return docs.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "ids")
