@@ -13,9 +13,10 @@ and are all returned, one of them as kept.  Other columns are never looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideline.llm.ids import by_ids
 from strideline.materialise import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,11 +82,16 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns; ids are expected to name one text each.
 
-    Both sides of the join carry the id as two keys, so that a null id finds its row and
-    the numbering of repeated rows needs no further shuffle.
+    Ids that go and ids with repeated rows are the short lists here, so the texts of all other
+    rows stay where they are.  Ids are compared as two keys, which lets a null find its row.
     """
     keys = lambda c: (F.coalesce(c, F.lit(0)).alias("k"), c.isNull().alias("missing"))
-    kept = decide(docs, id_col, text_col).filter("kept").select(*keys(F.col("doc_id"))).distinct()
+    ids = stored(
+        decide(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+        .filter("NOT stays OR n > 1").select(*keys(F.col("doc_id")), "stays"), "odd-ids")
     rows = docs.select(*keys(F.col(id_col)), F.struct("*").alias("row"))
-    nth = F.row_number().over(Window.partitionBy("k", "missing").orderBy("k"))
-    return rows.join(kept, ["k", "missing"], "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")
+    once = by_ids(rows, ids, ["k", "missing"], "left_anti").select("row.*")
+    repeated = ids.filter("stays")
+    if repeated.isEmpty():
+        return once
+    return once.union(by_ids(rows, repeated, ["k", "missing"], "left_semi").dropDuplicates(["k", "missing"]).select("row.*"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import exact_dedup, fm_quality, ngram_join, packing, quality_rules, repeats, token_blocks, token_counts, toxicity
+from strideline.llm import exact_dedup, fm_quality, mixing, ngram_join, packing, quality_rules, repeats, token_blocks, token_counts, toxicity
 from strideline.materialise import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,59 @@ def _(spark, sf):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return repeats.remove_repeats(documents(spark, sf)).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- mixture -----------------------------------------------------------------------------
+
+DOMAINS = ["web", "books", "code", "talk"]
+#: Targets: relative weights of nodes; sources without one weigh the same.
+TARGETS = {("web",): 40, ("books",): 30, ("code",): 20, ("talk",): 10} | {
+    (d, lang): w for d in DOMAINS for lang, w in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))} | {("web", "en", "src0"): 2}
+PERCENT, EPOCHS, SEED = 90, 2, 11
+
+
+def mixture_path() -> list:
+    """Domain, language and source; the domain is told by the number of the source."""
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) AS int)"), F.lit(0)) % len(DOMAINS)
+    return [F.get(F.array(*map(F.lit, DOMAINS)), number), F.col("lang"), F.col("source")]
+
+
+_TARGET_ROWS = ", ".join("(" + ", ".join([*(f"'{x}'" for x in p), *["NULL"] * (3 - len(p)), str(w)]) + ")" for p, w in TARGETS.items())
+
+
+def _level_sql(depth: int) -> str:
+    path = [f"p{i}" for i in range(depth)]
+    above, key = path[:-1], ", ".join(path)
+    on = " AND ".join([f"t.{c} = n.{c}" for c in path] + [f"t.p{i} IS NULL" for i in range(depth, 3)])
+    part = f"PARTITION BY {', '.join(above)} " if above else ""
+    join = f"JOIN b{depth - 1} USING ({', '.join(above)})" if above else "CROSS JOIN b0"
+    return f"""
+n{depth} AS (SELECT {key}, CAST(sum(tokens) * {EPOCHS} AS BIGINT) AS cap FROM leaves GROUP BY ALL),
+w{depth} AS (SELECT n.*, coalesce(t.w, 1) AS w FROM n{depth} n LEFT JOIN targets t ON {on}),
+v{depth} AS (SELECT *, CASE WHEN sum(w) OVER o2 > 0 THEN (budget - coalesce(sum(cap) OVER o1, 0))::DOUBLE / (sum(w) OVER o2)::DOUBLE END AS level
+  FROM w{depth} {join}
+  WINDOW o1 AS ({part}ORDER BY w = 0, cap / nullif(w, 0), p{depth - 1} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         o2 AS ({part}ORDER BY w = 0, cap / nullif(w, 0), p{depth - 1} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+x{depth} AS (SELECT * EXCLUDE (level), max(level) OVER ({part}) AS level FROM v{depth}),
+b{depth} AS (SELECT {key}, CAST(least(cap, CASE WHEN w * level >= cap - 1e-6 THEN cap ELSE floor(w * greatest(coalesce(level, 0), 0)) END) AS BIGINT) AS budget FROM x{depth})"""
+
+
+MIXTURE_SQL = rf"""
+targets(p0, p1, p2, w) AS (VALUES {_TARGET_ROWS}),
+d AS (SELECT doc_id, (['web', 'books', 'code', 'talk'])[1 + coalesce(TRY_CAST(regexp_extract(source, '[0-9]+') AS INTEGER), 0) % 4] AS p0,
+      coalesce(lang, '(null)') AS p1, coalesce(source, '(null)') AS p2, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS own FROM documents),
+leaves AS (SELECT p0, p1, p2, sum(own) AS tokens FROM d GROUP BY ALL),
+b0 AS (SELECT CAST(least(coalesce(floor(sum(tokens) * {PERCENT} / 100), 0), coalesce(sum(tokens) * {EPOCHS}, 0)) AS BIGINT) AS budget FROM leaves),
+{_level_sql(1)},{_level_sql(2)},{_level_sql(3)},
+f AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS f FROM leaves JOIN b3 USING (p0, p1, p2)),
+s AS (SELECT d.*, f.f, budget - f.f * tokens AS rest, sum(own) OVER (PARTITION BY p0, p1, p2
+      ORDER BY md5(concat_ws('|', '{SEED}', CAST(f.f + 1 AS BIGINT), coalesce(CAST(doc_id AS VARCHAR), '')))) AS upto FROM d JOIN f USING (p0, p1, p2)),
+e AS (SELECT *, f + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM s)"""
+
+
+@query("op1_mix_sources", f"""WITH {MIXTURE_SQL}
+SELECT doc_id, p0 AS domain, p1 AS lang, p2 AS source, CAST(unnest(range(1, CAST(times AS BIGINT) + 1)) AS INTEGER) AS epoch, own AS n_tokens FROM e""")
+def _(spark, sf):
+    mixed = mixing.mix(documents(spark, sf), mixture_path(), TARGETS, PERCENT, EPOCHS, SEED)
+    return mixed.select("row.doc_id", F.col("path.p0").alias("domain"), F.col("path.p1").alias("lang"), F.col("path.p2").alias("source"),
+                        "epoch", F.col("tokens").alias("n_tokens"))
