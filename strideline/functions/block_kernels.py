@@ -1,6 +1,6 @@
-"""Features that compare every row of a block with every other, or solve a small system.
+"""Features of whole blocks: spectra, comparisons of every row with every other, small systems.
 
-A block is gathered into one bounded array; the kernels then work on whole Arrow batches
+A block is gathered into one array; the kernels then work on whole Arrow batches
 of such arrays.  Pairs are compared inside the kernel and never become rows.
 """
 
@@ -107,8 +107,68 @@ def query_similarity_count(x: np.ndarray, query: tuple, threshold: float) -> flo
     return float(np.sum(d <= threshold))
 
 
+@kernel
+def fft_aggregated(x: np.ndarray, aggtype: str) -> float:
+    """Moments of the amplitude spectrum, the coefficient number being the variable."""
+    amplitude = np.abs(np.fft.rfft(x))
+    total = amplitude.sum()
+    if total == 0:
+        return np.nan
+    k = np.arange(len(amplitude), dtype=float)
+    m1, m2, m3, m4 = ((amplitude * k**p).sum() / total for p in (1, 2, 3, 4))
+    spread = m2 - m1 * m1
+    if aggtype == "centroid":
+        return m1
+    if aggtype == "variance":
+        return spread
+    if aggtype not in ("skew", "kurtosis"):
+        raise ValueError(f"unknown aggregate {aggtype!r}")
+    if spread < 0.5:
+        return np.nan
+    if aggtype == "skew":
+        return (m3 - 3 * m1 * spread - m1**3) / spread**1.5
+    # The catalogue subtracts three times the centre itself, not its fourth power.
+    return (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1) / (spread * spread)
+
+
+#: Rows of a segment of the power density; longer blocks average half-overlapping segments.
+SEGMENT = 256
+
+
+def _density(x: np.ndarray) -> np.ndarray:
+    """One-sided Hann-windowed power density of the mean-free block."""
+    size = min(len(x), SEGMENT)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    if not (taper**2).sum():
+        return np.zeros(0)
+    parts = _windows(x, size)[:: size - size // 2]
+    power = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * taper)) ** 2).mean(axis=0) / (taper**2).sum()
+    power[1 : (size + 1) // 2] *= 2
+    return power
+
+
+@kernel
+def spkt_welch_density(x: np.ndarray, coeff: int) -> float:
+    power = _density(x)
+    return float(power[coeff]) if coeff < len(power) else np.nan
+
+
+@kernel
+def fourier_entropy(x: np.ndarray, bins: int) -> float:
+    """Entropy of the binned power density."""
+    power = _density(x)
+    if not len(power):
+        return np.nan
+    low, high = power.min(), power.max()
+    if high <= low:
+        return 0.0
+    counts = np.bincount(np.minimum(((power - low) / (high - low) * bins).astype(int), bins - 1))
+    share = counts[counts > 0] / len(power)
+    return float(-(share * np.log(share)).sum())
+
+
 def array_features(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, dict]]) -> DataFrame:
-    """Gather each block (bounded, ordered by ``_i``) and run the wanted kernels on it."""
+    """Gather each block (ordered by ``_i``) and run the wanted kernels on it."""
     calls = [(ARRAY_CALCULATORS[name], params) for name, params in wanted.values()]
 
     @F.pandas_udf("array<double>")

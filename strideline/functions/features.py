@@ -1,7 +1,7 @@
 """Statistical features of bounded blocks.
 
-A block is a run of at most a few hundred rows (15 to 90 in practice), so a window over
-one block is always small.  All requested calculators share one plan:
+A block is a run of rows, 15 to 90 in practice; its length is read from the data and has no
+limit but that a block fits into a task.  All requested calculators share one plan:
 
 1. one shuffle by block key,
 2. row columns - lags, leads, block statistics - from windows over the block,
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from strideline.functions.scalar import count_if, known, ratio
 
-MAX_BLOCK_ROWS = 256
-
 CALCULATORS: dict[str, Callable[..., Column]] = {}
 
 
@@ -47,11 +45,12 @@ def _total(columns: list[Column]) -> Column:
 class BlockPlan:
     """Collects the row columns and aggregates that the calculators ask for."""
 
-    def __init__(self, keys: list[str], block_rows: int):
-        if block_rows > MAX_BLOCK_ROWS:
-            raise ValueError(f"blocks of more than {MAX_BLOCK_ROWS} rows are not supported")
+    def __init__(self, keys: list[str], catalogue: dict[str, list[dict]] | None = None):
+        wanted = catalogue or {}
         self.keys = keys
-        self.block_rows = block_rows
+        # What several parameter sets of one calculator share.
+        self.corridor_levels = sorted({float(g[k]) for g in wanted.get("change_quantiles", []) for k in ("ql", "qh")})
+        self.partial_lags = max((g["lag"] for g in wanted.get("partial_autocorrelation", [])), default=0)
         self.x, self.i, self.n = F.col("_x"), F.col("_i"), F.col("_n")
         self.block = Window.partitionBy(*keys).orderBy("_i")
         self.whole = self.block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -500,7 +499,7 @@ def autocorrelation(p, lag):
 @calculator
 def agg_autocorrelation(p, f_agg, maxlag):
     name = f"_acf_{maxlag}"
-    lags = F.array(*[autocorrelation(p, j) for j in range(1, min(maxlag, p.block_rows - 1) + 1)])
+    lags = F.array(*[autocorrelation(p, j) for j in range(1, maxlag + 1)])
     # A flat or one-row block counts as zero correlation throughout.
     usable = (p.var() > 0) & (p.size() > 1)
     p.post(name, F.when(usable, F.array_compact(lags)).otherwise(F.array(F.lit(0.0))))
@@ -517,18 +516,13 @@ def agg_autocorrelation(p, f_agg, maxlag):
     raise ValueError(f"unknown aggregate {f_agg!r}")
 
 
-PARTIAL_LAGS = 9
-
-
 @calculator
 def partial_autocorrelation(p, lag):
     """Levinson-Durbin recursion over the array of autocorrelations."""
     if lag == 0:
         return F.lit(1.0)
-    if lag > PARTIAL_LAGS:
-        raise ValueError(f"partial autocorrelation goes up to lag {PARTIAL_LAGS}")
     p.size()
-    p.post("_rho", F.array(F.lit(1.0), *[autocorrelation(p, j) for j in range(1, PARTIAL_LAGS + 1)]))
+    p.post("_rho", F.array(F.lit(1.0), *[autocorrelation(p, j) for j in range(1, p.partial_lags + 1)]))
     start = F.struct(
         F.array().cast("array<double>").alias("phi"), F.lit(1.0).alias("err"),
         F.array().cast("array<double>").alias("found"),
@@ -547,7 +541,7 @@ def partial_autocorrelation(p, lag):
             F.concat(acc["found"], F.array(last)).alias("found"),
         )
 
-    p.post("_pacf", F.aggregate(F.sequence(F.lit(1), F.lit(PARTIAL_LAGS)), start, step, lambda acc: acc["found"]), level=2)
+    p.post("_pacf", F.aggregate(F.sequence(F.lit(1), F.lit(p.partial_lags)), start, step, lambda acc: acc["found"]), level=2)
     return F.expr(f"CASE WHEN _size div 2 > {lag} THEN get(_pacf, {lag - 1}) END")
 
 
@@ -565,24 +559,18 @@ def number_peaks(p, n):
     return p.agg(f"_peaks_{n}", count_if(peak))
 
 
-CORRIDOR_LEVELS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-
-
 @calculator
 def change_quantiles(p, f_agg, isabs, qh, ql):
     if ql >= qh:
         return F.lit(0.0)
-    for level in (ql, qh):
-        if level not in CORRIDOR_LEVELS:
-            raise ValueError(f"corridor level {level} not in {CORRIDOR_LEVELS}")
-    levels = F.array(*[F.lit(v) for v in CORRIDOR_LEVELS])
+    levels = F.array(*[F.lit(v) for v in p.corridor_levels])
     p.row("_levels", F.percentile("_x", levels).over(p.whole))
     p.lag_row()
-    low, high = (f"_levels[{CORRIDOR_LEVELS.index(v)}]" for v in (ql, qh))
+    low, high = (f"_levels[{p.corridor_levels.index(v)}]" for v in (ql, qh))
     inside = f"_x BETWEEN {low} AND {high} AND _lag1 BETWEEN {low} AND {high}"
     step = "abs(_x - _lag1)" if isabs else "_x - _lag1"
     calc = {"mean": "avg", "var": "var_pop"}[f_agg]
-    name = f"_corridor_{f_agg}_{isabs}_{CORRIDOR_LEVELS.index(qh)}_{CORRIDOR_LEVELS.index(ql)}"
+    name = f"_corridor_{f_agg}_{isabs}_{p.corridor_levels.index(qh)}_{p.corridor_levels.index(ql)}"
     p.agg(name, f"{calc}(CASE WHEN {inside} THEN {step} END)")
     return F.expr(f"coalesce({name}, 0D)")
 
@@ -687,73 +675,9 @@ def _fourier_text(p: BlockPlan, attr: str, k: int) -> str:
 
 @calculator
 def fft_coefficient(p, attr, coeff):
-    if coeff > p.block_rows // 2:
-        return F.lit(None)
     return F.expr(_fourier_text(p, attr, coeff))
 
 
-@calculator
-def fft_aggregated(p, aggtype):
-    """Moments of the amplitude spectrum, the coefficient number being the variable."""
-    half = range(p.block_rows // 2 + 1)
-    listed = ", ".join(f"coalesce({_fourier_text(p, 'abs', k)}, 0D)" for k in half)
-    p.post("_amps", f"array({listed})")
-    p.post("_m0", "aggregate(_amps, 0D, (a, v) -> a + v)", level=2)
-    for power in (1, 2, 3, 4):
-        weighted = f"aggregate(transform(_amps, (v, k) -> v * power(cast(k AS double), {power}D)), 0D, (a, v) -> a + v)"
-        p.post(f"_m{power}", f"{weighted} / nullif(_m0, 0)", level=3)
-    p.post("_spread", "_m2 - _m1 * _m1", level=4)
-    if aggtype == "centroid":
-        return F.col("_m1")
-    if aggtype == "variance":
-        return F.col("_spread")
-    if aggtype == "skew":
-        value = "(_m3 - 3 * _m1 * _spread - _m1 * _m1 * _m1) / power(_spread, 1.5D)"
-    elif aggtype == "kurtosis":
-        # The catalogue subtracts three times the centre itself, not its fourth power.
-        value = "(_m4 - 4 * _m1 * _m3 + 6 * _m2 * _m1 * _m1 - 3 * _m1) / (_spread * _spread)"
-    else:
-        raise ValueError(f"unknown aggregate {aggtype!r}")
-    return F.expr(f"CASE WHEN _spread >= 0.5D THEN {value} END")
-
-
-def _density_text(p: BlockPlan, k: int) -> str:
-    """One-sided Hann-windowed power density of the mean-free block at frequency k."""
-    p.mean_row()
-    p.row("_taper", F.expr("0.5D - 0.5D * cos(2 * pi() * _i / _n)"))
-    p.row("_tapered", F.expr("(_x - _mean) * _taper"), level=2)
-    real, imag = _harmonic(p, k, "_tapered", "_welch")
-    p.agg("_taper_power", "sum(_taper * _taper)")
-    sides = "1D" if k == 0 else f"CASE WHEN _size = {2 * k} THEN 1D ELSE 2D END"
-    power = f"({real} * {real} + {imag} * {imag}) / nullif(_taper_power, 0) * {sides}"
-    return f"CASE WHEN _size div 2 >= {k} THEN {power} END"
-
-
-@calculator
-def spkt_welch_density(p, coeff):
-    return F.lit(None) if coeff > p.block_rows // 2 else F.expr(_density_text(p, coeff))
-
-
-@calculator
-def fourier_entropy(p, bins):
-    listed = ", ".join(_density_text(p, k) for k in range(p.block_rows // 2 + 1))
-    p.post("_density", f"array_compact(array({listed}))")
-    p.post("_density_low", "array_min(_density)", level=2)
-    p.post("_density_high", "array_max(_density)", level=2)
-    p.post(
-        f"_density_bin_{bins}",
-        f"transform(_density, v -> least(cast(floor((v - _density_low) / nullif(_density_high - _density_low, 0) * {bins}) AS int), {bins - 1}))",
-        level=3,
-    )
-    # Each value adds the log share of its own bin; that sums to the entropy of the bins.
-    place = f"_density_bin_{bins}"
-    logs = f"aggregate(transform({place}, b -> ln(size(filter({place}, o -> o = b)))), 0D, (a, v) -> a + v)"
-    entropy = f"ln(size(_density)) - {logs} / size(_density)"
-    return F.expr(
-        f"CASE WHEN _density_high > _density_low THEN {entropy} WHEN _density_high IS NOT NULL THEN 0D END"
-    )
-
-
 @calculator
 def cwt_coefficients(p, coeff, w, widths=None):
     """Convolution with the Ricker wavelet of width ``w`` at position ``coeff``."""
@@ -785,7 +709,7 @@ def permutation_entropy(p, dimension, tau):
     return F.ln(rows) - mean_log
 
 
-# --- pairwise kernels, see block_kernels ---------------------------------------------------
+# --- spectra of whole blocks and pairwise kernels, see block_kernels ---------------------------------------------------
 
 from strideline.functions.block_kernels import ARRAY_CALCULATORS, array_features  # noqa: E402
 
@@ -806,14 +730,13 @@ def prepare_blocks(df: DataFrame, keys: list[str], index: str, value: str, time:
 
 def extract_features(
     df: DataFrame, keys: list[str], index: str, value: str, catalogue: dict[str, list[dict]],
-    block_rows: int = 90, time: str | None = None,
+    time: str | None = None,
 ) -> DataFrame:
     """One row per block, one column per requested feature.
 
-    ``catalogue`` maps a calculator to the parameter sets wanted from it; ``block_rows``
-    is the largest number of rows a block may have.
+    ``catalogue`` maps a calculator to the parameter sets wanted from it.
     """
-    plan = BlockPlan(list(keys), block_rows)
+    plan = BlockPlan(list(keys), catalogue)
     relational, kernels = {}, {}
     for name, grid in catalogue.items():
         if name == "linear_trend_timewise" and time is None:

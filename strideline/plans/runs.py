@@ -41,7 +41,7 @@ def statistical_tables(signal: DataFrame, settings: Settings) -> tuple[DataFrame
     blocks = cut(training_blocks(signal, settings))
     labels = majority_label(blocks, BLOCK, "road_label", "i").select(*BLOCK, F.col("label").cast("int").alias("label"))
     train = blocks.where("part = 'train'")
-    everything = extract_features(train, BLOCK, "i", REDUCED, settings.catalogue, settings.block_rows)
+    everything = extract_features(train, BLOCK, "i", REDUCED, settings.catalogue)
     labelled = everything.join(labels, on=BLOCK, how="inner")
     long = melt_features(labelled, [*BLOCK, "label"])
     relevance = cut(relevance_table(cut(long), "label", settings.fdr_level))
@@ -50,7 +50,7 @@ def statistical_tables(signal: DataFrame, settings: Settings) -> tuple[DataFrame
     if not selected:
         raise ValueError("no feature passed the relevance test")
     wanted = replay_catalogue(selected)[REDUCED]
-    wide = extract_features(blocks, BLOCK, "i", REDUCED, wanted, settings.block_rows)
+    wide = extract_features(blocks, BLOCK, "i", REDUCED, wanted)
     features = wide.join(labels, on=BLOCK, how="inner")
     return cut(features.select(*BLOCK, "label", *[f"`{s}`" for s in selected])), selected, relevance
 
@@ -183,7 +183,7 @@ def inference_run(spark: SparkSession, readings: DataFrame, settings: Settings,
             int_div("idx", settings.block_rows).alias("block_id"), (F.col("idx") % settings.block_rows).alias("i"), REDUCED
         )
         wanted = replay_catalogue(notes["selected"])[REDUCED]
-        table = extract_features(blocks, ["block_id"], "i", REDUCED, wanted, settings.block_rows)
+        table = extract_features(blocks, ["block_id"], "i", REDUCED, wanted)
         keys = ["block_id"]
     filled, names = _fill(table, notes["features"], keys)
     said = predict(model, filled, names, keys)

@@ -16,7 +16,7 @@ def blocks(spark):
 
 
 def extract(df, catalogue):
-    return {r["b"]: r for r in ft.extract_features(df, ["b"], "i", "x", catalogue, 30).collect()}
+    return {r["b"]: r for r in ft.extract_features(df, ["b"], "i", "x", catalogue).collect()}
 
 
 def test_fourier_matches_numpy(blocks):
@@ -98,7 +98,7 @@ def test_one_row_block(spark):
 
 def test_feature_plan_shuffles_once(blocks):
     _data, df = blocks
-    plan = ft.extract_features(df, ["b"], "i", "x", {"mean": [{}], "autocorrelation": [{"lag": 2}], "has_duplicate": [{}], "number_peaks": [{"n": 3}]}, 30)
+    plan = ft.extract_features(df, ["b"], "i", "x", {"mean": [{}], "autocorrelation": [{"lag": 2}], "has_duplicate": [{}], "number_peaks": [{"n": 3}]})
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
 
@@ -129,3 +129,40 @@ def test_impute(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("a", inf), ("a", -inf), ("b", None)], "feature string, value double")
     got = sorted((r["feature"], r["value"]) for r in rl.impute(df).collect())
     assert got == [("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 3.0), ("b", 0.0)]
+
+
+def test_blocks_of_any_length(spark):
+    """Short, usual and long blocks in one call; nothing is cut at a size given beforehand."""
+    rng = np.random.default_rng(8)
+    data = {b: rng.normal(0, 1, n) for b, n in enumerate((20, 120, 600))}
+    df = spark.createDataFrame([(b, i, float(v)) for b, x in data.items() for i, v in enumerate(x)], "b int, i int, x double")
+    got = extract(df, {
+        "fft_coefficient": [{"attr": "real", "coeff": 50}], "fft_aggregated": [{"aggtype": "centroid"}],
+        "spkt_welch_density": [{"coeff": 8}], "fourier_entropy": [{"bins": 10}], "agg_autocorrelation": [{"f_agg": "mean", "maxlag": 150}],
+        "partial_autocorrelation": [{"lag": 12}], "change_quantiles": [{"f_agg": "mean", "isabs": True, "qh": 0.7, "ql": 0.1}]})
+    for b, x in data.items():
+        n, c = len(x), x - x.mean()
+        f, r = np.fft.rfft(x), got[b]
+        amplitude = np.abs(f)
+        size = min(n, 256)
+        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        starts = range(0, n - size + 1, size - size // 2)
+        density = np.mean([np.abs(np.fft.rfft((x[s : s + size] - x[s : s + size].mean()) * taper)) ** 2 for s in starts], axis=0) / (taper**2).sum()
+        density[1:-1] *= 2
+        share = np.histogram(density, bins=10, range=(density.min(), density.max()))[0] / len(density)
+        acf = [(c[: n - j] * c[j:]).mean() / x.var() for j in range(1, min(150, n - 1) + 1)]
+        low, high = np.quantile(x, 0.1), np.quantile(x, 0.7)
+        inside = (x >= low) & (x <= high)
+        assert (r['x__fft_coefficient__attr_"real"__coeff_50'] is None) == (n < 100)
+        if n >= 100:
+            assert np.isclose(r['x__fft_coefficient__attr_"real"__coeff_50'], f[50].real)
+        want = {
+            'x__fft_aggregated__aggtype_"centroid"': (amplitude * np.arange(len(f))).sum() / amplitude.sum(),
+            "x__spkt_welch_density__coeff_8": density[8], "x__fourier_entropy__bins_10": -(share[share > 0] * np.log(share[share > 0])).sum(),
+            'x__agg_autocorrelation__f_agg_"mean"__maxlag_150': np.mean(acf),
+            'x__change_quantiles__f_agg_"mean"__isabs_True__qh_0.7__ql_0.1': np.abs(np.diff(x))[inside[1:] & inside[:-1]].mean(),
+        }
+        for name, value in want.items():
+            assert np.isclose(r[name], value), (n, name)
+        if n // 2 > 12:
+            assert np.isclose(r["x__partial_autocorrelation__lag_12"], levinson(x, 12)[-1])

@@ -7,7 +7,7 @@ calculators need.
 from pyspark.sql import functions as F
 
 from strideline.functions.features import extract_features, feature_name
-from workload.base import BLOCK_KEYS, BLOCK_ROWS, BLOCKS_SQL, event_blocks, query
+from workload.base import BLOCK_KEYS, BLOCKS_SQL, event_blocks, query
 
 LEADS = ",\n  ".join(f"lead(x, {j}) OVER o AS lead{j}" for j in range(1, 30))
 ROWS_SQL = BLOCKS_SQL + f""",
@@ -47,7 +47,7 @@ def features(name: str, wanted: list[tuple[str, dict, str | None]], ctes: str =
 
     def run(spark, sf):
         blocks = event_blocks(spark, sf)
-        wide = extract_features(blocks, BLOCK_KEYS, "i", "x", catalogue, BLOCK_ROWS, time="t_us")
+        wide = extract_features(blocks, BLOCK_KEYS, "i", "x", catalogue, time="t_us")
         return wide.select(*BLOCK_KEYS, *[F.round(col(c), digits).alias(c) for c in wide.columns if c not in BLOCK_KEYS])
 
     query(name, sql_text)(run)
@@ -224,7 +224,7 @@ _ANGLE = {k: feature_name("x", "fft_coefficient", {"attr": "angle", "coeff": k})
     + " FROM r GROUP BY 1, 2")
 def _(spark, sf):
     wanted = {"length": [{}], "fft_coefficient": [{"attr": "angle", "coeff": k} for k in _ANGLE]}
-    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", wanted, BLOCK_ROWS)
+    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", wanted)
     return wide.select(*BLOCK_KEYS, *[F.round(F.when(col("x__length") > 2 * k, col(n)), 4).alias(n) for k, n in _ANGLE.items()])
 
 
@@ -342,4 +342,4 @@ def _(spark, sf):
     from strideline.functions.features import default_catalogue
 
     blocks = event_blocks(spark, sf)
-    return extract_features(blocks, BLOCK_KEYS, "i", "x", default_catalogue(True), BLOCK_ROWS, time="t_us")
+    return extract_features(blocks, BLOCK_KEYS, "i", "x", default_catalogue(True), time="t_us")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from strideline.functions import relevance as rl
 from strideline.functions.features import extract_features
 from strideline.functions.scalar import ERFC_FIT
-from workload.base import BLOCK_KEYS, BLOCK_ROWS, BLOCKS_SQL, event_blocks, query, r6, table
+from workload.base import BLOCK_KEYS, BLOCKS_SQL, event_blocks, query, r6, table
 
 LONG_SQL = """
 lng AS (SELECT vec_id, feature, value, CAST(label >= 5 AS INTEGER) AS y FROM (
@@ -107,7 +107,7 @@ count(*) FILTER (x >= -1 AND x < 1)::DOUBLE AS "x__range_count__max_1__min_-1",
 def _(spark, sf):
     names = ["x__quantile__q_0.9", "x__range_count__max_1__min_-1", "x__abs_energy"]
     wanted = rl.replay_catalogue(names)["x"]
-    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", wanted, BLOCK_ROWS)
+    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", wanted)
     return wide.select(*BLOCK_KEYS, *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in names])
 
 
@@ -121,5 +121,5 @@ def _(spark, sf):
 @query("g65_melt_features", f"""WITH {BLOCKS_SQL} SELECT series_id, block_id, 'x__maximum' AS feature, max(x) AS value FROM b GROUP BY 1, 2
 UNION ALL SELECT series_id, block_id, 'x__minimum', min(x) FROM b GROUP BY 1, 2""")
 def _(spark, sf):
-    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", {"maximum": [{}], "minimum": [{}]}, BLOCK_ROWS)
+    wide = extract_features(event_blocks(spark, sf), BLOCK_KEYS, "i", "x", {"maximum": [{}], "minimum": [{}]})
     return rl.melt_features(wide, BLOCK_KEYS)
