@@ -34,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.components import components
+from strideline.llm.ids import by_ids
 from strideline.llm.words import hashed_words, mixed, slices, windows
 from strideline.materialise import stored
 
 SKETCH, SLICES = 1 << 20, 256
-#: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
-MOST_IDS = 1_000_000
 LEAF, BLOCK = 64, 1024
 
 
@@ -210,17 +209,11 @@ def _verified(percent: int):
     return run
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of some ids; a list of bounded length is broadcast."""
-    ids = stored(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
-
-
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link, checked on the whole sets."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = _of_ids(docs, ids).mapInArrow(_whole_sets(size), "doc_id long, hashes binary")
+    sets = by_ids(docs, ids, ["doc_id"], "left_semi").mapInArrow(_whole_sets(size), "doc_id long, hashes binary")
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -247,9 +240,10 @@ def _shared(batches):
 
     last_before = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if not len(cols[0]):
+        token, doc, packed = (batch.column(i).to_numpy() for i in range(3))
+        if not len(token):
             continue
+        cols = [token, doc, packed >> 1, (packed & 1).astype(bool)]
         if held is not None:
             cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
         again = cols[0][1:] == cols[0][:-1]
@@ -267,71 +261,94 @@ def _shared(batches):
             [*(pa.array(c) for c in held), pa.array([last_before[0]], pa.int64()), pa.array([last_before[1]], pa.int64())], schema=schema)
 
 
-def _candidates(percent: int):
-    """Pairs of different components from blocks of shards, sorted by (token, low, high)."""
-    def pairs_of(t: pa.Table):
-        doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
-        leads, left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("leads", "is_low", "is_high"))
-        points = t.column("point").to_pylist()
-        keys = np.stack([t.column(c).to_numpy() for c in ("token", "low", "high")])
-        cuts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True])))
-        small, large = [], set()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = np.arange(a, b)
-            if b - a <= LEAF:
-                i, j = np.meshgrid(rows[left[a:b]], rows[right[a:b]], indexing="ij")
-                small.append((i.ravel(), j.ravel()))
-            else:
-                own = np.unique(rows)
-                i, j = tree_join([points[k] for k in own], n[own], np.flatnonzero(left[a:b]), np.flatnonzero(right[a:b]), percent)
-                i, j = i + a, j + a
-                keep = comp[i] != comp[j]
-                large |= set(zip(np.minimum(doc[i], doc[j])[keep].tolist(), np.maximum(doc[i], doc[j])[keep].tolist(), strict=True))
-        if small:
-            i, j = (np.concatenate([s[k] for s in small]) for k in (0, 1))
-            swap = (n[i] > n[j]) | ((n[i] == n[j]) & (doc[i] > doc[j]))
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            # The smaller of two documents over the threshold meets the other early.
-            keep = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & leads[i]
-            i, j = i[keep], j[keep]
-            _, once = np.unique(np.stack((doc[i], doc[j])), axis=1, return_index=True)
-            large |= {(min(doc[p], doc[q]), max(doc[p], doc[q])) for p, q in zip(i[once], j[once], strict=True)
-                      if bound(points[p], points[q]) >= needed(n[p], n[q], percent)}
-        rows = sorted(large)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([int(r[1]) for r in rows], pa.int64())], ["a", "b"])
+def _whole_groups(batches, keys: list[str]):
+    """Tables of sorted rows in which no group of equal keys is cut."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in keys])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        held = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
+    if held is not None:
+        yield held
+
+
+def _groups(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Bounds of the groups of equal keys."""
+    k = np.stack([t.column(c).to_numpy() for c in keys])
+    return np.flatnonzero(np.concatenate(([True], (k[:, 1:] != k[:, :-1]).any(axis=0), [True])))
 
+
+def _pair_batch(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def _from_small(percent: int):
+    """Pairs of different components in shards of one leaf, sorted by token."""
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            last = [t.column(c)[-1].as_py() for c in ("token", "low", "high")]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("token", "low", "high"), last, strict=True)])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
-            held = t.slice(cut)
-            if cut:
-                yield pairs_of(t.slice(0, cut))
-        if held is not None:
-            yield pairs_of(held)
+        for t in _whole_groups(batches, ["token"]):
+            doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
+            leads = t.column("leads").to_numpy(zero_copy_only=False)
+            cuts = _groups(t, ["token"])
+            size = np.diff(cuts)
+            found = []
+            for s in np.unique(size[size > 1]):
+                at = cuts[:-1][size == s]
+                i, j = np.triu_indices(s, 1)
+                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                swap = (n[i] > n[j]) | ((n[i] == n[j]) & (doc[i] > doc[j]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                # The smaller of two documents over the threshold meets the other early.
+                keep = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & leads[i]
+                found.append(np.stack((doc[i[keep]], doc[j[keep]])))
+            if found:
+                yield _pair_batch(*np.unique(np.concatenate(found, axis=1), axis=1))
 
     return run
 
 
-def _blocked(shared: DataFrame) -> DataFrame:
-    """Rows of shards with several components, once for each pair of blocks they belong to.
+def _from_large(percent: int):
+    """Pairs of different components from the trees of pairs of blocks, sorted by (token, low, high)."""
+    keys = ["token", "low", "high"]
 
-    Components of more than a block get blocks of their own, which are not compared among
-    themselves; the others are dealt to blocks by component.  Nearly all shards are one block.
-    """
+    def run(batches):
+        for t in _whole_groups(batches, keys):
+            doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
+            left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("is_low", "is_high"))
+            points, cuts = t.column("point").to_pylist(), _groups(t, keys)
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                i, j = tree_join(points[a:b], n[a:b], np.flatnonzero(left[a:b]), np.flatnonzero(right[a:b]), percent)
+                keep = comp[a + i] != comp[a + j]
+                found.append(np.stack((doc[a + i[keep]], doc[a + j[keep]])))
+            low, high = np.sort(np.concatenate(found, axis=1), axis=0)
+            yield _pair_batch(*np.unique(np.stack((low, high)), axis=1))
+
+    return run
+
+
+def _open_shards(shared: DataFrame) -> DataFrame:
+    """Shards with several components: their rows, blocks, and components that fill blocks."""
     per = shared.groupBy("token", "component").agg(F.count("*").alias("c"))
     big = F.col("c") > BLOCK
-    shards = per.groupBy("token").agg(
-        F.count("*").alias("n_components"),
+    return stored(per.groupBy("token").agg(
+        F.count("*").alias("n_components"), F.sum("c").alias("n_rows"),
         F.ceil(F.coalesce(F.sum(F.when(~big, F.col("c"))), F.lit(0)) / BLOCK).cast("int").alias("n_mixed"),
         F.sort_array(F.collect_list(F.when(big, F.struct("component", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))))).alias("big"),
-    ).filter("n_components > 1")
+    ).filter("n_components > 1"), "shards")
+
+
+def _blocked(shared: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows of shards, once for each pair of blocks they belong to.
+
+    Components of more than a block get blocks of their own, which are not compared among
+    themselves; the others are dealt to blocks by component.
+    """
     rows = shared.join(shards, "token")
     place = F.array_position(F.transform("big", lambda b: b["component"]), F.col("component")).cast("int")
     before = lambda k: F.col("n_mixed") + F.aggregate(F.slice("big", F.lit(1), k), F.lit(0), lambda s, b: s + b["blocks"])
@@ -345,7 +362,7 @@ def _blocked(shared: DataFrame) -> DataFrame:
     return rows.filter(apart).select(
         "token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
         (F.col("mine") <= F.col("other")).alias("is_low"), (F.col("mine") >= F.col("other")).alias("is_high"),
-        "doc_id", "n", "leads", "component")
+        "doc_id", "n", "component")
 
 
 # --- the join ----------------------------------------------------------------------------
@@ -364,12 +381,13 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     nodes = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
     copies = stored(nodes.join(copies, "digest").filter("doc_id <> first").select("doc_id", "first").distinct(), "copies")
-    firsts = nodes.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    firsts = by_ids(nodes, copies, ["doc_id"], "left_anti")
 
     leads = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    # Size and lead share a column, which makes the largest shuffle a fifth smaller.
     tokens = firsts.select("doc_id", "n", leads.alias("lead"), F.posexplode("shards").alias("at", "token")).select(
-        "token", "doc_id", "n", (F.col("at") < F.col("lead")).alias("leads"))
-    shared = stored(tokens.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_shared, _SHARED), "shared")
+        "token", "doc_id", (2 * F.col("n") + F.when(F.col("at") < F.col("lead"), 1).otherwise(0)).alias("n_and_lead"))
+    shared = stored(tokens.repartition("token").sortWithinPartitions("token", "n_and_lead", "doc_id").mapInArrow(_shared, _SHARED), "shared")
 
     points = firsts.select("doc_id", "n", "point")
     near = (
@@ -386,12 +404,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     found = components(links)
     shared = shared.select("token", "doc_id", "n", "leads").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     shared = shared.withColumn("component", F.coalesce("component", "doc_id"))
-    blocks = _blocked(shared).join(points.select("doc_id", "point"), "doc_id").select(
-        "token", "low", "high", "is_low", "is_high", "doc_id", "n", "leads", "component", "point")
-    pairs = (
-        blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-        .mapInArrow(_candidates(percent), "a long, b long").distinct()
-    )
+    shards = _open_shards(shared)
+    small = shared.join(shards.filter(F.col("n_rows") <= LEAF).select("token"), "token", "left_semi")
+    small = small.repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), "a long, b long").distinct()
+    with_points = lambda pairs: pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
+    blocks = _blocked(shared, shards.filter(F.col("n_rows") > LEAF)).join(points.select("doc_id", "point"), "doc_id").select(
+        "token", "low", "high", "is_low", "is_high", "doc_id", "n", "component", "point")
+    large = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_from_large(percent), "a long, b long")
+    pairs = with_points(small).mapInArrow(_bounded(percent), "a long, b long").union(large).distinct()
     more = _links(docs, pairs, size, percent)
 
     whole = components(
@@ -407,5 +427,6 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
 
     Rows with a null id stay; so do all rows of an id that stays.
     """
-    gone = join(docs, size, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = join(docs, size, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    rows = docs.select(F.col(id_col).cast("long").alias("gone"), F.struct("*").alias("row"))
+    return by_ids(rows, gone, ["gone"], "left_anti").select("row.*")
