@@ -46,25 +46,42 @@ def _finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
+def imputation_values(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Median, maximum and minimum of the finite values of each feature: one row per feature."""
+    finite = long.where(_finite(F.col(value)))
+    ends = finite.groupBy(feature).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    middle = exact_quantiles(finite, value, [0.5], [feature]).select(feature, F.col("q0").alias("middle"))
+    return ends.join(middle, on=feature, how="left")
+
+
+def _imputed(v: Column, middle: Column, low: Column, high: Column) -> Column:
+    filled = (
+        F.when(v.isNull() | F.isnan(v), middle)
+        .when(v == float("inf"), high)
+        .when(v == float("-inf"), low)
+        .otherwise(v)
+    )
+    return F.coalesce(filled, F.lit(0.0))
+
+
 def impute(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Missing to the median, +inf to the maximum and -inf to the minimum of the feature.
 
     A feature without a finite value becomes zero.
     """
-    v = F.col(value)
-    finite = long.where(_finite(v))
-    ends = finite.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    middle = exact_quantiles(finite, value, [0.5], [feature])
-    stats = ends.join(middle, on=feature, how="left")
-    filled = (
-        F.when(v.isNull() | F.isnan(v), F.col("q0"))
-        .when(v == float("inf"), F.col("_hi"))
-        .when(v == float("-inf"), F.col("_lo"))
-        .otherwise(v)
-    )
     # One row per feature of the catalogue.
-    joined = long.join(F.broadcast(stats), on=feature, how="left")
-    return joined.withColumn(value, F.coalesce(filled, F.lit(0.0))).select(*long.columns)
+    joined = long.join(F.broadcast(imputation_values(long, feature, value)), on=feature, how="left")
+    filled = _imputed(F.col(value), F.col("middle"), F.col("low"), F.col("high"))
+    return joined.withColumn(value, filled).select(*long.columns)
+
+
+def impute_wide(wide: DataFrame, values: dict[str, dict[str, float]]) -> DataFrame:
+    """The same for a wide table, with values found before, for example in the training part."""
+    def column(name: str) -> Column:
+        known = values.get(name, {})
+        return _imputed(quoted(name).cast("double"), *(F.lit(known.get(k)).cast("double") for k in ("middle", "low", "high"))).alias(name)
+
+    return wide.select(*[column(c) if c in values else quoted(c) for c in wide.columns])
 
 
 def value_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, out: str = "below") -> DataFrame:

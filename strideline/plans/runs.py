@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strideline.functions.features import extract_features
 from strideline.functions.motifs import MOTIF_COLUMNS, infer_motifs, sweep_motifs
 from strideline.functions.scalar import known
-from strideline.functions.relevance import melt_features, relevance_table, replay_catalogue
+from strideline.functions.relevance import imputation_values, impute, impute_wide, melt_features, relevance_table, replay_catalogue
 from strideline.materialise import cut
 from strideline.models.isolation import isolation_filter
 from strideline.models.metrics import best_model, classification_report, confusion_matrix, enough_rows, representative
@@ -36,23 +36,30 @@ def training_blocks(signal: DataFrame, settings: Settings) -> DataFrame:
     return blocks.withColumn("i", F.col("row") % settings.block_rows)
 
 
-def statistical_tables(signal: DataFrame, settings: Settings) -> tuple[DataFrame, list[str], DataFrame]:
-    """Feature table ``part, block_id, label, selected features``, the selected names, the p-values."""
+def statistical_tables(signal: DataFrame, settings: Settings) -> tuple[DataFrame, list[str], DataFrame, dict]:
+    """Feature table ``part, block_id, label, selected features``, the selected names, the p-values.
+
+    Missing and infinite values are imputed before the relevance test, and in all parts, from
+    the training part; the last result has these values, for inference.
+    """
     blocks = cut(training_blocks(signal, settings))
     labels = majority_label(blocks, BLOCK, "road_label", "i").select(*BLOCK, F.col("label").cast("int").alias("label"))
     train = blocks.where("part = 'train'")
     everything = extract_features(train, BLOCK, "i", REDUCED, settings.catalogue)
     labelled = everything.join(labels, on=BLOCK, how="inner")
-    long = melt_features(labelled, [*BLOCK, "label"])
-    relevance = cut(relevance_table(cut(long), "label", settings.fdr_level))
+    long = cut(melt_features(labelled, [*BLOCK, "label"]))
+    relevance = cut(relevance_table(cut(impute(long)), "label", settings.fdr_level))
     # One row per feature of the catalogue.
     selected = [r["feature"] for r in relevance.where("relevant").select("feature").orderBy("feature").collect()]
     if not selected:
         raise ValueError("no feature passed the relevance test")
     wanted = replay_catalogue(selected)[REDUCED]
     wide = extract_features(blocks, BLOCK, "i", REDUCED, wanted)
-    features = wide.join(labels, on=BLOCK, how="inner")
-    return cut(features.select(*BLOCK, "label", *[f"`{s}`" for s in selected])), selected, relevance
+    features = wide.join(labels, on=BLOCK, how="inner").select(*BLOCK, "label", *[f"`{s}`" for s in selected])
+    known_values = imputation_values(long.where(F.col("feature").isin(selected))).collect()
+    found = {r["feature"]: {k: r[k] for k in ("middle", "low", "high")} for r in known_values}
+    values = {s: found.get(s, {}) for s in selected}
+    return cut(impute_wide(features, values)), selected, relevance, values
 
 
 def motif_tables(signal: DataFrame, settings: Settings) -> DataFrame:
@@ -67,7 +74,8 @@ def motif_tables(signal: DataFrame, settings: Settings) -> DataFrame:
 def _fill(df: DataFrame, columns: list[str], keep: list[str]) -> tuple[DataFrame, list[str]]:
     """``keep`` and the features under plain names ``c0, c1, ..``.
 
-    Classifiers take no missing values; a feature that is undefined for a block counts as zero.
+    Classifiers take no missing values; statistical features are imputed before, and what is
+    still undefined counts as zero.
     """
     names = [f"c{i}" for i in range(len(columns))]
     filled = [
@@ -90,7 +98,8 @@ def _search(
     ]
     kept = cut(union_all(parts)).withColumn("combo", F.lit(combo))
     low, high = settings.class_bounds
-    gate = representative(kept, ["combo"], "part", "label", 1, low, high).first().asDict()
+    # The gate is on the share of city, which the encoding makes 0.
+    gate = representative(kept, ["combo"], "part", "label", 0, low, high).first().asDict()
     if not gate["distribution_ok"] or enough_rows(kept, ["combo"], "part", settings.folds).isEmpty():
         return [], gate, {}
     train, test = kept.where("part = 'train'"), kept.where("part = 'test'")
@@ -111,9 +120,9 @@ def train_run(
     """Prepare, extract, search, validate and store; returns the run summary."""
     tag = store.run_tag(settings.extractor, settings.freq, settings.reduction, settings.block_rows)
     signal, stats = prepare_training(readings, labels, settings)
-    selected, combos = [], []
+    selected, values, combos = [], {}, []
     if settings.extractor == "statistical":
-        table, selected, _p = statistical_tables(signal, settings)
+        table, selected, _p, values = statistical_tables(signal, settings)
         combos.append((None, None, table, selected, BLOCK))
     elif settings.extractor == "motif":
         table = motif_tables(signal, settings)
@@ -159,7 +168,7 @@ def train_run(
     notes = {
         "stats": stats, "features": columns, "radius": radius, "length": length, "model": best["model"],
         "params": chosen.params, "score": best["score"], "report": report, "confusion": matrix,
-        "selected": selected, "settings": {k: v for k, v in asdict(settings).items() if k != "catalogue"},
+        "selected": selected, "imputation": values, "settings": {k: v for k, v in asdict(settings).items() if k != "catalogue"},
     }
     store.write_notes(spark, notes, root, tag)
     summary = gate_table.join(score_table, on="combo", how="left").withColumn("run_tag", F.lit(tag)).withColumn(
@@ -183,7 +192,7 @@ def inference_run(spark: SparkSession, readings: DataFrame, settings: Settings,
             int_div("idx", settings.block_rows).alias("block_id"), (F.col("idx") % settings.block_rows).alias("i"), REDUCED
         )
         wanted = replay_catalogue(notes["selected"])[REDUCED]
-        table = extract_features(blocks, ["block_id"], "i", REDUCED, wanted)
+        table = impute_wide(extract_features(blocks, ["block_id"], "i", REDUCED, wanted), notes["imputation"])
         keys = ["block_id"]
     filled, names = _fill(table, notes["features"], keys)
     said = predict(model, filled, names, keys)

@@ -34,24 +34,24 @@ def _(spark, sf):
     return cb.join_complete(peak, top, BLOCK_KEYS)
 
 
-# Radii and lengths come from the data: the supplier codes below seven.
+# Radii and lengths come from the data: the nations of all suppliers.
 GRID_SQL = """SELECT a.radius, b.length FROM
-(SELECT DISTINCT s_suppkey + 1 AS radius FROM supplier WHERE s_suppkey < 6) a,
-(SELECT DISTINCT (s_suppkey + 1) * 10 AS length FROM supplier WHERE s_suppkey < 6) b"""
+(SELECT DISTINCT s_nationkey + 1 AS radius FROM supplier) a,
+(SELECT DISTINCT (s_nationkey + 1) * 10 AS length FROM supplier) b"""
 
 
 @query("d3_parameter_grid", GRID_SQL)
 def _(spark, sf):
-    codes = table(spark, sf, "supplier").where("s_suppkey < 6").select((F.col("s_suppkey") + 1).alias("radius")).distinct()
+    codes = table(spark, sf, "supplier").select((F.col("s_nationkey") + 1).alias("radius")).distinct()
     return cb.parameter_grid(codes, codes.select((F.col("radius") * 10).alias("length")))
 
 
 @query("d4_match_results", """
-WITH tr AS (SELECT l_suppkey AS radius, l_linenumber AS length, count(*) AS train_rows FROM lineitem WHERE l_returnflag = 'A' AND l_tax < 0.02 GROUP BY 1, 2),
-te AS (SELECT l_suppkey AS radius, l_linenumber AS length, count(*) AS test_rows FROM lineitem WHERE l_returnflag = 'R' AND l_tax < 0.02 GROUP BY 1, 2)
+WITH tr AS (SELECT l_suppkey AS radius, l_linenumber AS length, count(*) AS train_rows FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
+te AS (SELECT l_suppkey AS radius, l_linenumber AS length, count(*) AS test_rows FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
 SELECT radius, length, train_rows, test_rows FROM tr JOIN te USING (radius, length)""")
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_tax < 0.02").select(F.col("l_suppkey").alias("radius"), F.col("l_linenumber").alias("length"), "l_returnflag")
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("radius"), F.col("l_linenumber").alias("length"), "l_returnflag")
     side = lambda flag, name: li.where(F.col("l_returnflag") == flag).groupBy("radius", "length").agg(F.count(F.lit(1)).alias(name))
     return cb.match_results(side("A", "train_rows"), side("R", "test_rows"))
 
@@ -75,16 +75,16 @@ def _(spark, sf):
     return cb.union_all([s.where(c).select(*cols) for c in ("road_label = 1", "coarse_label = 5", "pos < 3")])
 
 
-@query("d8_head_rows", f"""WITH {SERIES_SQL} SELECT series_id, pos, value FROM s WHERE road_label = 1
+@query("d8_head_rows", f"""WITH {SERIES_SQL} SELECT series_id, pos, value FROM s
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY pos) <= 10""")
 def _(spark, sf):
-    return cb.head_rows(labelled(spark, sf).where("road_label = 1").select("series_id", "pos", "value"), ["series_id"], "pos", 10)
+    return cb.head_rows(labelled(spark, sf).select("series_id", "pos", "value"), ["series_id"], "pos", 10)
 
 
-@query("d8_tail_rows", f"""WITH {SERIES_SQL} SELECT series_id, pos, value FROM s WHERE road_label = 1
+@query("d8_tail_rows", f"""WITH {SERIES_SQL} SELECT series_id, pos, value FROM s
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) <= 10""")
 def _(spark, sf):
-    return cb.tail_rows(labelled(spark, sf).where("road_label = 1").select("series_id", "pos", "value"), ["series_id"], "pos", 10)
+    return cb.tail_rows(labelled(spark, sf).select("series_id", "pos", "value"), ["series_id"], "pos", 10)
 
 
 # --- segments --------------------------------------------------------------------------

@@ -1,9 +1,8 @@
 """Queries that write the given data in the formats of the recordings and read it back."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from strideline.materialise import new_folder
 from strideline.models.search import predict, random_search
 from strideline.operators import segments as sm
 from strideline.sources import store, text
@@ -12,11 +11,8 @@ from workload.models import FEATURES, SHORT, vectors
 
 
 def scratch(spark) -> str:
-    """A new folder next to the checkpoints, or a local one when there are none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{shared}/{next(tempfile._get_candidate_names())}"
+    """A new folder next to the checkpoints."""
+    return new_folder(spark, "query")
 
 
 def write_trips(spark, sf) -> str:
