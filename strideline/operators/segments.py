@@ -152,6 +152,8 @@ def resample(
             .withColumn("_from", F.greatest(F.col("_lo"), F.col("_block") * size))
             .withColumn("_to", F.least(F.col("_hi"), F.col("_block") * size + (size - 1)))
             .where(F.col("_from") <= F.col("_to"))
+            # The blocks of one group spread over the tasks before they become rows.
+            .repartition(*keys, "_block")
             .select(*keys, F.explode(F.sequence("_from", "_to")).alias("_bin"))
         )
         values = spine.join(values, on=keys + ["_bin"], how="left")
@@ -160,6 +162,9 @@ def resample(
     return values.select(*keys, (F.col("_bin") * micros).alias(out), *columns)
 
 
+LEVEL_RANGE = 1 << 16
+
+
 def desegment(
     df: DataFrame, within: list[str], levels: list[list[str]], row: str, columns: list[str], out: str = "pos",
 ) -> DataFrame:
@@ -174,8 +179,16 @@ def desegment(
     sizes = df.groupBy(*within, *segment).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(row).alias("_first")
     )
+    # A level told by a number, such as the start of a run, may have as many segments as the
+    # series has rows; ranges of the number become a level of their own.
+    kinds, spread = dict(sizes.dtypes), []
+    for level in levels:
+        if len(level) == 1 and kinds[level[0]] in ("int", "bigint"):
+            sizes = sizes.withColumn(f"_range_{level[0]}", int_div(level[0], LEVEL_RANGE))
+            spread.append([f"_range_{level[0]}"])
+        spread.append(level)
     # One row per segment; every level reads it again.
-    offsets = hierarchical_offsets(cut(sizes), levels, "_rows", "_offset", within=within)
+    offsets = hierarchical_offsets(cut(sizes), spread, "_rows", "_offset", within=within)
     place = offsets.select(*within, *segment, "_offset", "_first")
     kept = list(dict.fromkeys([*within, *segment, *columns]))
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strideline.functions.scalar import known, ratio
 from strideline.materialise import cut
 from strideline.operators.cleaning import require_columns
-from strideline.ordering import SLICE_ROWS, attach_stats, int_div, with_halo
+from strideline.ordering import SLICE_ROWS, attach_stats, dense_index, int_div, with_halo
 
 REDUCED = "acceleration_abs"
 
@@ -285,9 +285,13 @@ def gaussian_rolling_sum(
     df: DataFrame, keys: list[str], pos: str, column: str, out: str,
     window: int = 5, std: float = 3.0, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Weighted sum of the last ``window`` values with Gaussian weights, fewer at the start."""
-    halo = with_halo(df, pos, before=window - 1, slice_rows=slice_rows)
-    w = Window.partitionBy(*keys, "_slice").orderBy(pos)
+    """Weighted sum of the last ``window`` values with Gaussian weights, fewer at the start.
+
+    Rows are counted, not positions: holes in ``pos`` are closed first, so that slice borders
+    don't show in the result.
+    """
+    halo = with_halo(dense_index(df, keys, pos, "_dense", slice_rows), "_dense", before=window - 1, slice_rows=slice_rows)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_dense")
     centre = (window - 1) / 2
     terms = []
     for j in range(window):

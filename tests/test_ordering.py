@@ -106,3 +106,30 @@ def test_nested_segments_keep_the_requested_order(spark):
     out = sm.segment_nested(df, ["s"], "p", "coarse", [5.0], "road", [1.0, 3.0], slice_rows=2)
     laid = sm.desegment(out, ["s"], [["outer_start"], ["inner_rank"], ["inner_start"]], "p", ["x"], "new")
     assert list(local(laid, ["new"]).x) == [2.0, 3.0, 0.0, 1.0, 4.0]
+
+
+@pytest.mark.parametrize("slice_rows", [4, 7, 1 << 20])
+def test_rolling_sum_over_holes_does_not_show_slices(spark, rows, slice_rows):
+    df = spark.createDataFrame(rows)
+    got = local(sg.gaussian_rolling_sum(df, ["s"], "p", "x", "sum", window=5, slice_rows=slice_rows), ["s", "p"])
+    want = local(sg.gaussian_rolling_sum(df.withColumn("p", F.col("p").cast("bigint")), ["s"], "p", "x", "sum", window=5), ["s", "p"])
+    assert got["sum"].round(9).tolist() == want["sum"].round(9).tolist()
+
+
+def test_desegment_of_many_short_runs_uses_small_windows(spark, monkeypatch):
+    """One series of 4,000 one-row runs: no window of the plan gets more than a range of starts."""
+    monkeypatch.setattr(sm, "LEVEL_RANGE", 64)
+    seen = []
+    whole = sm.hierarchical_offsets
+
+    def spy(sizes, levels, size, out, within=()):
+        seen.append((sizes, levels))
+        return whole(sizes, levels, size, out, within=within)
+
+    monkeypatch.setattr(sm, "hierarchical_offsets", spy)
+    df = spark.range(4000).selectExpr("1 AS s", "id AS start", "id AS p", "id * 2.0 AS x")
+    got = sm.desegment(df, ["s"], [["start"]], "p", ["x"]).orderBy("start").toPandas()
+    assert got.pos.tolist() == list(range(4000))
+    sizes, levels = seen[0]
+    assert len(levels) == 2
+    assert sizes.groupBy("s", *levels[0]).count().agg(F.max("count")).first()[0] <= 64
