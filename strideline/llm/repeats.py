@@ -36,6 +36,8 @@ from strideline.materialise import stored
 GRAM = 16
 #: Bytes of a text that are handled at once, and stretches of a core that are gathered.
 PART, MOST_GATHERED = 2_000_000, 2000
+#: Bytes of stretches that are ranked at once.
+RANKED = 1_000_000
 KEY = ["id", "hash"]
 _KEY_SQL = "id long, hash long"
 
@@ -205,22 +207,32 @@ def _ordered(length: int):
         return _spans_of(ids, hashes, lo + at, length)
 
     def run(batches):
-        held, size = None, 0
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            size += batch.nbytes
-            if size >= PART:
-                core = held.column("core").to_numpy()
-                cut = int(np.flatnonzero(core != core[-1])[-1]) + 1 if (core != core[-1]).any() else 0
-                if cut:
-                    yield resolve(held.slice(0, cut))
-                held = held.slice(cut)
-                size = held.nbytes
-        if held is not None and held.num_rows:
-            yield resolve(held)
+            core = held.column("core").to_numpy()
+            other = np.flatnonzero(core != core[-1])
+            whole = int(other[-1]) + 1 if len(other) else 0
+            yield from map(resolve, loads(held.slice(0, whole)))
+            held = held.slice(whole)
+        if held is not None:
+            yield from map(resolve, loads(held))
+
+    def loads(t: pa.Table):
+        """Tables of whole groups with about a million bytes each."""
+        if not t.num_rows:
+            return
+        core = t.column("core").to_numpy()
+        bounds = np.flatnonzero(np.concatenate((core[1:] != core[:-1], [True]))) + 1
+        size = np.cumsum(np.fromiter((len(b) for b in t.column("bytes").to_pylist()), np.int64, t.num_rows))
+        first, before = 0, 0
+        for stop in bounds:
+            if size[stop - 1] - before >= RANKED or stop == t.num_rows:
+                yield t.slice(first, stop - first)
+                first, before = stop, size[stop - 1]
 
     return run
 
