@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.materialise import stored
 
+#: Links that one task merges, about 100 MB of memory.
+SHARE = 500_000
+
 
 def _forests(batches):
     """Links of a partition, shortened: every node points to the smallest of its tree."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    parent: dict[int, int] = {}
 
-        def root(x):
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             parent[max(a, b)] = parent.setdefault(min(a, b), min(a, b))
-        nodes = [x for x in parent if root(x) != x]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(np.array([root(x) for x in nodes], np.int64))], ["a", "b"])
+    nodes = [x for x in parent if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
 def _starred(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -44,13 +45,18 @@ def _starred(links: DataFrame, both_ways: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for all nodes of links ``(a, b)``; a component is its smallest node.
 
-    Alternates the two star steps until nothing changes, which takes a number of rounds in the
-    order of the logarithm of the longest path; links of a batch are merged beforehand.  No
-    node's neighbours are gathered, only their minimum is.
+    Tasks merge bounded shares of the links; if that was one share, it is the result.  Else the
+    two star steps alternate until nothing changes, which takes a number of rounds in the order
+    of the logarithm of the longest path.  No node's neighbours are gathered, only their
+    minimum is.
     """
     schema = "a long, b long"
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    now = stored(ordered.mapInArrow(_forests, schema).distinct(), "links")
+    ordered = stored(ordered, "links")
+    shares = max(1, -(-ordered.count() // SHARE))
+    now = stored(ordered.repartition(shares).mapInArrow(_forests, schema), "links")
+    if shares == 1:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strideline.materialise import stored
 
-#: Lists up to this length are broadcast (16 MB); longer ones are joined by a shuffle.
-MOST_IDS = 1_000_000
+#: Lists up to this length are broadcast, about 100 bytes a row; longer ones are joined by a shuffle.
+MOST_IDS = 200_000
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -15,9 +15,11 @@ in a sketch of fixed size.
 1. Documents with equal sets are represented by the smallest id.
 2. Each document is tested with the neighbour it shares most shards with; links found so are
    contracted to components.  A large group of near copies ends here, in linear work.
-3. Shards that still hold several components go through their trees; pairs of different
-   components over the bound are verified on the whole sets.  Large shards are dealt out in
-   blocks, and blocks of one component are not compared with each other.
+3. Pairs of different components in shards of one leaf are verified, then, in rounds, for each
+   document of a larger shard a neighbour from another component; links are contracted.
+4. Larger shards that still hold several components go through their trees; pairs of different
+   components over the bound are verified on the whole sets.  Very large shards are dealt out
+   in blocks, and blocks of one component are not compared with each other.
 
 Cases: a null text counts as empty; an empty document has no windows and links with nothing;
 fewer words than a window give one window; rows with equal ids are one node and rows with a
@@ -40,6 +42,8 @@ from strideline.materialise import stored
 
 SKETCH, SLICES = 1 << 20, 256
 LEAF, BLOCK = 64, 1024
+#: Rounds of contraction in larger shards before their trees are joined.
+ROUNDS = 4
 
 
 # --- sets of windows ---------------------------------------------------------------------
@@ -212,6 +216,8 @@ def _verified(percent: int):
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link, checked on the whole sets."""
     pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = by_ids(docs, ids, ["doc_id"], "left_semi").mapInArrow(_whole_sets(size), "doc_id long, hashes binary")
     both = (
@@ -312,6 +318,17 @@ def _from_small(percent: int):
     return run
 
 
+def _neighbours(percent: int):
+    """Pairs of rows next to each other in shards sorted by size, if of different components."""
+    def run(batches):
+        for t in _whole_groups(batches, ["token"]):
+            token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc_id", "n", "component"))
+            i = np.flatnonzero((token[1:] == token[:-1]) & (comp[1:] != comp[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+            yield _pair_batch(doc[i], doc[i + 1])
+
+    return run
+
+
 def _from_large(percent: int):
     """Pairs of different components from the trees of pairs of blocks, sorted by (token, low, high)."""
     keys = ["token", "low", "high"]
@@ -401,22 +418,48 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     )
     links = _links(docs, both.mapInArrow(_bounded(percent), "a long, b long"), size, percent)
 
-    found = components(links)
-    shared = shared.select("token", "doc_id", "n", "leads").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    shared = shared.withColumn("component", F.coalesce("component", "doc_id"))
-    shards = _open_shards(shared)
-    small = shared.join(shards.filter(F.col("n_rows") <= LEAF).select("token"), "token", "left_semi")
-    small = small.repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), "a long, b long").distinct()
     with_points = lambda pairs: pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
-    blocks = _blocked(shared, shards.filter(F.col("n_rows") > LEAF)).join(points.select("doc_id", "point"), "doc_id").select(
-        "token", "low", "high", "is_low", "is_high", "doc_id", "n", "component", "point")
-    large = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_from_large(percent), "a long, b long")
-    pairs = with_points(small).mapInArrow(_bounded(percent), "a long, b long").union(large).distinct()
-    more = _links(docs, pairs, size, percent)
-
-    whole = components(
-        found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        .union(more).union(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+    pair, known = "a long, b long", ["token", "doc_id", "n", "leads"]
+
+    def contracted(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of shards that hold several components, and these shards."""
+        rows = rows.select(*known).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id"))
+        shards = _open_shards(rows)
+        return stored(rows.join(shards.select("token", "n_rows"), "token"), "shared"), shards
+
+    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+    found = components(links)
+    shared, _ = contracted(shared, found)
+    small = shared.filter(F.col("n_rows") <= LEAF).repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), pair).distinct()
+    found = merged(found, _links(docs, with_points(small).mapInArrow(_bounded(percent), pair), size, percent))
+
+    large, shards = contracted(shared.filter(F.col("n_rows") > LEAF), found)
+    tested = None
+    for _ in range(ROUNDS):
+        if shards.isEmpty():
+            break
+        near = large.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_neighbours(percent), pair)
+        near = near.groupBy("a", "b").agg(F.count("*").alias("c"))
+        near = near if tested is None else near.join(tested, ["a", "b"], "left_anti")
+        ends = near.select("a", "b", "c", F.explode(F.array("a", "b")).alias("doc_id"))
+        picked = stored(
+            ends.groupBy("doc_id").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.*").distinct(), "picked")
+        if picked.isEmpty():
+            break
+        found = merged(found, _links(docs, with_points(picked).mapInArrow(_bounded(percent), pair), size, percent))
+        tested = picked if tested is None else tested.union(picked)
+        large, shards = contracted(large, found)
+    if not shards.isEmpty():
+        blocks = _blocked(large.drop("n_rows"), shards).join(points.select("doc_id", "point"), "doc_id").select(
+            "token", "low", "high", "is_low", "is_high", "doc_id", "n", "component", "point")
+        pairs = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_from_large(percent), pair).distinct()
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        found = merged(found, _links(docs, pairs, size, percent))
+
+    whole = merged(found, copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     return profiles.select("doc_id", F.col("n").alias("n_shingles")).join(
         whole.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left",
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -92,7 +92,9 @@ def test_tree_join_loses_no_pair():
                 assert (i, j) in got
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [500_000, 40])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr("strideline.llm.components.SHARE", share)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (2000, 1001), (7000, 7000)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000, 2000: 1000}
