@@ -20,6 +20,7 @@ looked at.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from strideline.llm.fm_quality import labelled_sample
 from strideline.llm.words import slices, words_and_stems
+from strideline.materialise import stored
 
 #: Labelled rows of each class that become examples at most, and terms at most.
 EXAMPLES, TERMS = 6000, 512
@@ -189,15 +191,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     """An index of at most ``most`` examples of each label, with frequencies over all documents."""
     is_one = F.col(label) == 1
     sample = labelled_sample(docs, labels, usable & is_one, label, most).union(labelled_sample(docs, labels, usable & ~is_one, label, most))
-    rows = sample.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).collect()
-    ids, texts, y = np.array([r.doc_id for r in rows], np.int64), [r.text for r in rows], np.array([r.label for r in rows], float)
-    names = vocabulary(texts, y)
+    sample = stored(sample.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most), "examples")
+    examples = sample.coalesce(1)
+    names = np.frombuffer(examples.mapInArrow(_in_task(lambda ids, texts, y: vocabulary(texts, y).tobytes()), "made binary").first()[0], np.uint64)
     counts = {r.term: r.n for r in docs.select("text").mapInArrow(_document_counts(names), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = counts.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([counts.get(i, 0) for i in range(len(names))], float))) + 1
     shares = {r.y: r.n for r in labels.filter(usable & F.col(label).isNotNull()).groupBy((is_one).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    weight = np.array([shares.get(int(v), 1) / max((y == v).sum(), 1) for v in y])
-    return build(ids, texts, y, names, idf, weight / weight.mean() if len(weight) else weight)
+
+    def indexed(ids: np.ndarray, texts: list, y: np.ndarray) -> bytes:
+        weight = np.array([shares.get(int(v), 1) / max((y == v).sum(), 1) for v in y])
+        return pickle.dumps(build(ids, texts, y, names, idf, weight / weight.mean() if len(weight) else weight))
+
+    return pickle.loads(examples.mapInArrow(_in_task(indexed), "made binary").first()[0])
+
+
+def _in_task(make):
+    """Runs ``make(ids, texts, labels)`` on all rows of the only partition, in the order of ids."""
+    def run(batches):
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0], r[1] or ""))
+        made = make(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], float))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+
+    return run
 
 
 _SCORES = "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>"
