@@ -1,16 +1,21 @@
 """Toxicity from the nearest labelled examples by TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows.  The vocabulary is made of terms whose
-occurrence in the sample depends strongly on the label (likelihood ratio, odds); document frequencies of
-these terms are counted over all documents.  Examples are sorted by their heaviest term and
-cut into blocks; each term keeps its largest weight per block, so the sum of query weight
-times block weight bounds the cosine with every example of a block.  Blocks whose bound does
-not exceed the k-th best cosine so far are skipped, which loses nothing.
+Examples are a bounded sample of labelled rows.  Every word of an example is a term; document
+frequencies of the terms are counted over all documents.  A text is the sparse vector of all
+its words that some example has.
+
+The examples stand in an inverted index: a list of (example, weight) per term.  The lists of
+the most frequent terms have full length, one matrix, and are summed first.  The others are cut
+at blocks of examples that use the frequent terms alike, and keep the largest weight of each
+block.  What the frequent terms give plus the sum of query weight times block weight over the
+query's own terms bounds the cosine with every example of a block.  Blocks whose bound is
+below the k-th best sum over the frequent terms are skipped, which loses nothing.
 
 The k nearest vote with weights that fall with the distance.  A logistic curve, fitted on the
-examples' own votes without themselves, turns votes into calibrated scores.  A text without
-any vocabulary term has no neighbours and gets the calibrated score of the example share
-among such texts.  Neighbours with equal cosine count in the order of the index.
+examples' own votes without themselves, turns votes into calibrated scores.  A text that
+shares no term with any example has no neighbours and gets the calibrated score of the example
+share among texts without words, or among all examples if all have words.  Neighbours with
+equal cosine count in the order of the index.
 
 Cases: a null or empty text has no terms; repeated rows are scored alike; labels that are
 null or of unknown ids are left out, of several labels of an id the largest counts; without
@@ -21,6 +26,7 @@ looked at.
 from __future__ import annotations
 
 import pickle
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,110 +35,232 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.fm_quality import labelled_sample
-from strideline.llm.words import slices, words_and_stems
+from strideline.llm.words import hashed_words, slices
 from strideline.materialise import stored
 
-#: Labelled rows of each class that become examples at most, and terms at most.
-EXAMPLES, TERMS = 6000, 512
-#: Least likelihood ratio (also as a share of the best term's), number of examples and change
-#: of the odds of a term.
-RATIO, OF_BEST, OCCURRENCES, ODDS = 12.0, 0.05, 5, 3.0
+#: Labelled rows of each class that become examples at most.
+EXAMPLES = 6000
 BLOCK, NEIGHBOURS = 64, 16
-#: Bytes of a word that make a stem.
-STEMS = range(3, 9)
+#: Terms whose lists have full length, and queries that are compared with these at once.
+FREQUENT, QUERIES_AT_ONCE = 256, 256
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = False
 _BETWEEN[128:] = False
 
 
-def terms(texts: list, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``(text, term hash, count)``, of the terms in ``names`` if given.
-
-    Terms are runs of letters, digits and non-ASCII characters, and the stems of such words.
-    """
-    term, doc = words_and_stems(texts, _BETWEEN, STEMS)
-    if names is not None:
-        likely = np.zeros(1 << 16, bool)
-        likely[(names & np.uint64(65535)).astype(np.int64)] = True
-        maybe = likely[(term & np.uint64(65535)).astype(np.int64)]
-        term, doc = term[maybe], doc[maybe]
-        known = np.isin(term, names)
-        term, doc = term[known], doc[known]
-    order = np.lexsort((term, doc))
-    term, doc = term[order], doc[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))))
-    return doc[first], term[first], np.diff(np.concatenate((first, [len(term)])))
-
-
-def _ratio(a, b, n1, n0):
-    """Likelihood ratio of term and label: a of n1 and b of n0 texts have the term."""
-    def part(k, n, p):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(k / (n * p)), 0.0)
-
-    p = (a + b) / (n1 + n0)
-    return 2 * (part(a, n1, p) + part(b, n0, p) + part(n1 - a, n1, 1 - p) + part(n0 - b, n0, 1 - p))
-
-
-def vocabulary(texts: list, labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms that tell the labels apart best."""
-    doc, term = (np.concatenate(x) for x in zip(*((d + a, t) for a, b in slices(texts) for d, t, _ in [terms(texts[a:b])]), strict=True)) if texts else (np.zeros(0, int), np.zeros(0, np.uint64))
-    names, place = np.unique(term, return_inverse=True)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    a = np.bincount(place, weights=labels[doc], minlength=len(names))
-    b = np.bincount(place, minlength=len(names)) - a
-    odds = np.abs(np.log((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))))
-    ratio = np.where((a + b >= OCCURRENCES) & (odds >= np.log(ODDS)), _ratio(a, b, n1, n0), 0) if n1 and n0 else np.zeros(len(names))
-    best = np.lexsort((names, -ratio))[:TERMS]
-    return np.sort(names[best[ratio[best] >= max(RATIO, OF_BEST * ratio.max(initial=0))]])
-
-
-def vectors(texts: list, names: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows over the vocabulary; zero rows for texts without its terms."""
-    x = np.zeros((len(texts), len(names)))
-    if len(names):
-        for a, b in slices(texts):
-            doc, term, count = terms(texts[a:b], names)
-            at = np.searchsorted(names, term)
-            x[a + doc, at] = (1 + np.log(count)) * idf[at]
-    norm = np.sqrt((x**2).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=x, where=norm > 0)
+@dataclass
+class Rows:
+    """Sparse rows: ``term[bounds[i]:bounds[i + 1]]`` and the weights of row ``i``, and the counts behind them."""
+
+    bounds: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    width: int
+    count: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def taken(self, rows: np.ndarray) -> Rows:
+        at, n = _ranges(self.bounds, rows)
+        return Rows(np.concatenate(([0], np.cumsum(n))), self.term[at], self.weight[at], self.width, None if self.count is None else self.count[at])
+
+    def of(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
+
+    def dense(self, terms: np.ndarray) -> np.ndarray:
+        """The columns of ``terms``."""
+        column = np.full(self.width, -1)
+        column[terms] = np.arange(len(terms))
+        at = np.flatnonzero(column[self.term] >= 0)
+        x = np.zeros((len(self), len(terms)))
+        x[self.of()[at], column[self.term[at]]] = self.weight[at]
+        return x
+
+
+def sparse(x: np.ndarray) -> Rows:
+    row, term = np.nonzero(x)
+    return Rows(np.searchsorted(row, np.arange(len(x) + 1)), term, x[row, term], x.shape[1])
+
+
+def _ranges(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places in the given ranges of bounds, one range after the other, and their lengths."""
+    first = bounds[which]
+    n = bounds[which + 1] - first
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
+
+
+def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, which are runs of letters, digits and non-ASCII characters, and their texts."""
+    h, bounds = hashed_words(texts, _BETWEEN)
+    return h, np.repeat(np.arange(len(texts)), np.diff(bounds))
+
+
+def vocabulary(texts: list) -> np.ndarray:
+    """Sorted hashes of all words of the texts."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(words(texts[a:b])[0]) for a, b in slices(texts))]))
+
+
+class Finder:
+    """Places of hashes in sorted names, by a table of where each leading bit pattern begins."""
+
+    def __init__(self, names: np.ndarray):
+        bits = max(1, int(len(names)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.names = np.append(names, np.uint64(2**64 - 1))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places, and which hashes are names."""
+        place = self.first[(h >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.names[place] < h)
+        while len(todo):
+            place[todo] += 1
+            todo = todo[self.names[place[todo]] < h[todo]]
+        return place, (self.names[place] == h) & (place < len(self.names) - 1)
+
+
+def terms(texts: list, find: Finder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(text, term, count)`` of the words that are names, sorted."""
+    h, doc = words(texts)
+    term, known = find(h)
+    width = len(find.names)
+    key = np.sort(doc[known] * width + term[known])
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[first] // width, key[first] % width, np.diff(np.append(first, len(key)))
+
+
+def vectors(texts: list, find: Finder, idf: np.ndarray) -> Rows:
+    """Unit TF-IDF rows over all terms; empty rows for texts without any."""
+    parts = [(a, *terms(texts[a:b], find)) for a, b in slices(texts)]
+    none = np.zeros(0, np.int64)
+    doc, term, count = (np.concatenate([none, *x]) for x in ([a + d for a, d, _, _ in parts], [t for _, _, t, _ in parts], [c for _, _, _, c in parts]))
+    return weighted(np.searchsorted(doc, np.arange(len(texts) + 1)), term.astype(np.int32), count.astype(np.uint32), idf)
+
+
+def weighted(bounds: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> Rows:
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    weight = (1 + np.log(count)) * idf[term]
+    norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=len(bounds) - 1))
+    return Rows(bounds, term, weight / norm[doc], len(idf), count)
+
+
+class Lists:
+    """The inverted index over rows: full lists of frequent terms, lists in blocks of the others."""
+
+    def __init__(self, x: Rows):
+        self.size, self.width, self.blocks = len(x), x.width, -(-len(x) // BLOCK)
+        self.frequent = _frequent(x)
+        self.full = np.ascontiguousarray(x.dense(self.frequent).T)
+        self.rare = np.ones(x.width, bool)
+        self.rare[self.frequent] = False
+        at = np.flatnonzero(self.rare[x.term])
+        at = at[np.argsort(x.term[at], kind="stable")]
+        term, self.place, self.weight = x.term[at].astype(np.int64), x.of()[at].astype(np.int32), x.weight[at]
+        key = term * max(self.blocks, 1) + self.place // BLOCK
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        #: Entries are pairs of term and block: their bounds in the lists, block and largest weight.
+        self.bounds, self.block = np.append(first, len(key)), self.place[first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(term[first], np.arange(x.width + 1))
+
+    def cosines(self, q: Rows, k: int, own: np.ndarray | None):
+        """For each query the places of the blocks that can't be skipped and the cosines there."""
+        for a in range(0, len(q), QUERIES_AT_ONCE):
+            part = q.taken(np.arange(a, min(a + QUERIES_AT_ONCE, len(q))))
+            some = part.dense(self.frequent) @ self.full
+            if own is not None:
+                some[np.arange(len(part)), own[a : a + len(part)]] = -2
+            least = np.partition(some, -k, axis=1)[:, -k] if self.size > k else np.zeros(len(part))
+            above = np.maximum.reduceat(some, np.arange(0, self.size, BLOCK), axis=1)
+            for i in range(len(part)):
+                term, weight = (v[part.bounds[i] : part.bounds[i + 1]] for v in (part.term, part.weight))
+                rare = self.rare[term]
+                at, n = _ranges(self.entries, term[rare])
+                weight, block = np.repeat(weight[rare], n), self.block[at]
+                live = above[i] + np.bincount(block, weights=weight * self.most[at], minlength=self.blocks) > least[i] - 1e-9
+                use = live[block]
+                lists, n = _ranges(self.bounds, at[use])
+                cosine = some[i] + np.bincount(self.place[lists], weights=np.repeat(weight[use], n) * self.weight[lists], minlength=self.size)
+                if own is not None:
+                    cosine[own[a + i]] = 0
+                places = np.flatnonzero(np.repeat(live, BLOCK)[: self.size])
+                yield places, np.round(cosine[places], 10)
+
+
+def _frequent(x: Rows) -> np.ndarray:
+    n = np.bincount(x.term, minlength=x.width)
+    return np.sort(np.lexsort((np.arange(len(n)), -n))[:FREQUENT])
+
+
+def _alike(x: Rows) -> np.ndarray:
+    """An order in which neighbours use the frequent terms alike: halves along the widest direction."""
+    dense, todo, out = x.dense(_frequent(x)), [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BLOCK:
+            out.append(rows)
+            continue
+        part = dense[rows] - dense[rows].mean(axis=0)
+        way = 1 + np.arange(part.shape[1]) / part.shape[1]
+        for _ in range(8):
+            way = part.T @ (part @ way)
+            way /= np.sqrt((way**2).sum()) + 1e-30
+        rows = rows[np.argsort(np.round(part @ way, 8), kind="stable")]
+        half = max(1, round(len(rows) / 2 / BLOCK)) * BLOCK
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate([np.zeros(0, np.int64), *out])
 
 
 @dataclass
 class Index:
-    """Examples in blocks, the largest weight of each term per block, and the calibration."""
+    """Examples with their terms and labels, and the calibration; the lists are made when first used."""
 
     names: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    x: np.ndarray
-    most: np.ndarray
+    x: Rows
     share: float
     curve: tuple[float, float]
+    made: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        """Counts go instead of weights, packed to less than half of the rows."""
+        x = self.x
+        return self.__dict__ | {"made": None, "x": zlib.compress(pickle.dumps((x.bounds, x.term, x.count)), 1)}
 
-    def nearest(self, q: np.ndarray, k: int = NEIGHBOURS, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state)
+        self.x = weighted(*pickle.loads(zlib.decompress(state["x"])), self.idf)
+
+    def lists(self) -> tuple[Lists, Finder]:
+        if self.made is None or self.made[0] is not self.x:
+            self.made = self.x, Lists(self.x if isinstance(self.x, Rows) else sparse(self.x)), Finder(self.names)
+        return self.made[1:]
+
+    def vectors(self, texts: list) -> Rows:
+        return vectors(texts, self.lists()[1], self.idf)
+
+    def nearest(self, q: Rows | np.ndarray, k: int = NEIGHBOURS, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine (else -1, 0).
 
         ``own`` names for each query an example to leave out.
         """
+        q, lists = q if isinstance(q, Rows) else sparse(q), self.lists()[0]
         place, best = np.full((len(q), k), -1), np.zeros((len(q), k))
-        bounds = q @ self.most.T if len(self.most) else np.zeros((len(q), 0))
-        for block in range(bounds.shape[1]):
-            rows = np.flatnonzero(bounds[:, block] > best[:, -1] + 1e-9)
-            if not len(rows):
-                continue
-            at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.x)))
-            cosine = np.round(q[rows] @ self.x[at].T, 10)
-            if own is not None:
-                cosine[own[rows][:, None] == at] = 0
-            both = np.concatenate((best[rows], cosine), axis=1)
-            where = np.concatenate((place[rows], np.broadcast_to(at, cosine.shape)), axis=1)
-            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            best[rows] = np.take_along_axis(both, order, axis=1)
-            place[rows] = np.where(best[rows] > 0, np.take_along_axis(where, order, axis=1), -1)
+        if not lists.size:
+            return place, best
+        for i, (at, cosine) in enumerate(lists.cosines(q, k, own)):
+            if len(at) > k:
+                near = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k])
+                at, cosine = at[near], cosine[near]
+            order = np.argsort(-cosine, kind="stable")[:k]
+            best[i, : len(order)] = np.maximum(cosine[order], 0)
+            place[i, : len(order)] = np.where(cosine[order] > 0, at[order], -1)
         return place, best
 
     def votes(self, place: np.ndarray, cosine: np.ndarray) -> np.ndarray:
@@ -147,19 +275,18 @@ class Index:
 
 def build(ids: np.ndarray, texts: list, labels: np.ndarray, names: np.ndarray, idf: np.ndarray, seen: np.ndarray | None = None) -> Index:
     """An index over the examples; ``seen`` weighs classes back to their shares in the data."""
-    x = vectors(texts, names, idf)
+    x = vectors(texts, Finder(names), idf)
     seen = np.ones(len(texts)) if seen is None else seen
-    filled = x.any(axis=1)
+    filled = np.diff(x.bounds) > 0
     empty = ~filled
-    share = float((labels * seen)[empty].sum() / seen[empty].sum()) if seen[empty].sum() else 0.5
+    of = empty if seen[empty].sum() else filled
+    share = float((labels * seen)[of].sum() / seen[of].sum()) if seen[of].sum() else 0.5
     order = np.flatnonzero(filled)
-    order = order[np.lexsort((ids[order], -x[order].max(axis=1, initial=0), x[order].argmax(axis=1) if len(names) else order))]
-    x_in = x[order]
-    most = np.stack([x_in[i : i + BLOCK].max(axis=0) for i in range(0, len(order), BLOCK)]) if len(order) else np.zeros((0, len(names)))
-    index = Index(names, idf, ids[order], labels[order].astype(float), x_in, most, share, (4.0, 0.0))
+    order = order[_alike(x.taken(order))]
+    x_in = x.taken(order)
+    index = Index(names, idf, ids[order], labels[order].astype(float), x_in, share, (4.0, 0.0))
     if len(np.unique(labels)) == 2:
-        own = np.arange(len(order))
-        votes = np.concatenate([index.votes(*index.nearest(x_in[a : a + 1024], own=own[a : a + 1024])) for a in range(0, len(own), 1024)] or [np.zeros(0)])
+        votes = index.votes(*index.nearest(x_in, own=np.arange(len(order))))
         z, y, w = np.concatenate((votes, np.full(empty.sum(), share))) - 0.5, np.concatenate((labels[order], labels[empty])), np.concatenate((seen[order], seen[empty]))
         a, b = 4.0, 0.0
         for _ in range(25):  # Newton steps on the logistic loss with a weak prior
@@ -175,14 +302,14 @@ def build(ids: np.ndarray, texts: list, labels: np.ndarray, names: np.ndarray, i
 def _document_counts(names: np.ndarray):
     """Documents of a partition that have each term, and their number under -1."""
     def run(batches):
-        total, count = 0, np.zeros(len(names), np.int64)
+        total, count, find = 0, np.zeros(len(names), np.int64), Finder(names)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             total += len(texts)
             for a, b in slices(texts):
-                _, term, _ = terms(texts[a:b], names)
-                count += np.bincount(np.searchsorted(names, term), minlength=len(names))[: len(names)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(names))], pa.int32()), pa.array([total, *count], pa.int64())], ["term", "n"])
+                count += np.bincount(terms(texts[a:b], find)[1], minlength=len(names))
+        met = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, met), pa.int32()), pa.array(np.append(total, count[met]), pa.int64())], ["term", "n"])
 
     return run
 
@@ -193,10 +320,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     sample = labelled_sample(docs, labels, usable & is_one, label, most).union(labelled_sample(docs, labels, usable & ~is_one, label, most))
     sample = stored(sample.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most), "examples")
     examples = sample.coalesce(1)
-    names = np.frombuffer(examples.mapInArrow(_in_task(lambda ids, texts, y: vocabulary(texts, y).tobytes()), "made binary").first()[0], np.uint64)
-    counts = {r.term: r.n for r in docs.select("text").mapInArrow(_document_counts(names), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = counts.get(-1, 0)
-    idf = np.log((1 + n) / (1 + np.array([counts.get(i, 0) for i in range(len(names))], float))) + 1
+    names = np.frombuffer(examples.mapInArrow(_in_task(lambda ids, texts, y: vocabulary(texts).tobytes()), "made binary").first()[0], np.uint64)
+    # At most one row per word of the examples.
+    counts = docs.select("text").mapInArrow(_document_counts(names), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    having = np.zeros(len(names) + 1)
+    having[counts.column("term").to_numpy() + 1] = counts.column("n").to_numpy()
+    idf = np.log((1 + having[0]) / (1 + having[1:])) + 1
     shares = {r.y: r.n for r in labels.filter(usable & F.col(label).isNotNull()).groupBy((is_one).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
 
     def indexed(ids: np.ndarray, texts: list, y: np.ndarray) -> bytes:
@@ -229,8 +358,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = vectors(part.column(1).to_pylist(), model.names, model.idf)
-                place, cosine = model.nearest(x)
+                place, cosine = model.nearest(model.vectors(part.column(1).to_pylist()))
                 proof = [[{"doc_id": int(model.ids[p]), "cosine": float(c), "label": int(model.labels[p])} for p, c in zip(ps, cs, strict=True) if p >= 0]
                          for ps, cs in zip(place[:, :evidence], cosine[:, :evidence], strict=True)]
                 yield pa.RecordBatch.from_arrays(

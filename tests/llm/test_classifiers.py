@@ -80,3 +80,48 @@ def test_nearest_equals_brute_force():
     order = np.argsort(-cosine, axis=1, kind="stable")[:, :7]
     want = np.take_along_axis(cosine, order, axis=1)
     assert np.array_equal(best, want) and np.array_equal(place, np.where(want > 0, order, -1))
+
+
+def test_every_word_of_an_example_is_a_term(spark):
+    # No word tells the labels apart; the neighbour is the example with the same rare words.
+    common = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, f"{common} only{i} also{i}") for i in range(60)] + [(100 + i, f"also{i} other only{i}") for i in range(60)] + [(200, "unseen words"), (201, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(df, labels, F.lit(False)).collect()}
+    for i in range(60):
+        assert [(e.doc_id, e.label) for e in got[100 + i].evidence] == [(i, i % 2)]
+    assert got[200].evidence == got[201].evidence == [] and got[200].score == got[201].score
+
+    n = len(docs)
+    bags = {i: (t or "").split() for i, t in docs}
+    idf = {w: np.log((1 + n) / (1 + sum(w in set(b) for b in bags.values()))) + 1 for b in [bags[i] for i in range(60)] for w in b}
+
+    def unit(i):
+        v = {w: idf[w] * (1 + np.log(bags[i].count(w))) for w in bags[i] if w in idf}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    for i in (0, 7, 107):
+        a = unit(i)
+        want = sorted((round(sum(a[w] * b.get(w, 0) for w in a), 9) for b in map(unit, range(60))), reverse=True)[: len(got[i].evidence)]
+        assert [round(e.cosine, 9) for e in got[i].evidence] == want
+
+
+def test_lists_skip_no_neighbour(monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT", 6)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    topic = rng.integers(0, 5, 300)
+    x = rng.integers(1, 4, (300, 120)) * (rng.random((300, 120)) < np.where(np.arange(120) < 12, 0.6, np.where(np.arange(120) % 5 == topic[:, None], 0.3, 0.01)))
+    x = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
+    rows = toxicity.sparse(x)
+    rows = rows.taken(toxicity._alike(rows))
+    x = rows.dense(np.arange(120))
+    index = toxicity.Index(np.arange(120, dtype=np.uint64), np.ones(120), np.arange(300), np.ones(300), rows, 0.5, (4.0, 0.0))
+    place, best = index.nearest(rows, k=5, own=np.arange(300))
+    cosine = np.round(x @ x.T, 10)
+    np.fill_diagonal(cosine, 0)
+    order = np.argsort(-cosine, axis=1, kind="stable")[:, :5]
+    want = np.take_along_axis(cosine, order, axis=1)
+    assert np.allclose(best, want, atol=2e-10) and np.mean(place == np.where(want > 0, order, -1)) > 0.99
+    assert any(len(at) < 300 for at, _ in index.lists()[0].cosines(rows, 5, None))
