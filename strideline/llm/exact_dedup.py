@@ -28,6 +28,10 @@ def folded(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def chunked(text: Column, least: int = 256, most: int = 4096) -> Column:
     """Cuts after the first sentence or line end beyond ``least`` characters, at ``most``."""
     pattern = rf"(?s).{{{least},{most - 2}}}?(?:[.!?]\x20|\n|\z)|.{{1,{most}}}"
@@ -42,7 +46,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     texts = docs.select(F.col(id_col).alias("doc_id"), folded(F.col(text_col)).alias("text"))
     recipes = stored(texts.select(
-        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        "doc_id", sha256(F.col("text")).alias("text_sha256"),
         F.transform(chunked(F.col("text")), lambda c: _hash(c, hash_bits)).alias("recipe"),
     ), "recipes")
 
@@ -80,18 +84,21 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns; ids are expected to name one text each.
+    """The rows that stay, with their columns.
 
-    Ids that go and ids with repeated rows are the short lists here, so the texts of all other
-    rows stay where they are.  Ids are compared as two keys, which lets a null find its row.
+    Pairs of id and text that go or have repeated rows are the short list here, so the texts of
+    all other rows stay where they are.  Ids are compared as two keys, which lets a null find its
+    row; the text is compared by the hash of its folded bytes, so rows of one id, or of none,
+    with different texts are judged one by one.
     """
+    pair = ["k", "missing", "text_sha256"]
     keys = lambda c: (F.coalesce(c, F.lit(0)).alias("k"), c.isNull().alias("missing"))
-    ids = stored(
-        decide(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-        .filter("NOT stays OR n > 1").select(*keys(F.col("doc_id")), "stays"), "odd-ids")
-    rows = docs.select(*keys(F.col(id_col)), F.struct("*").alias("row"))
-    once = by_ids(rows, ids, ["k", "missing"], "left_anti").select("row.*")
-    repeated = ids.filter("stays")
+    odd = stored(
+        decide(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+        .filter("NOT stays OR n > 1").select(*keys(F.col("doc_id")), "text_sha256", "stays"), "odd-rows")
+    rows = docs.select(*keys(F.col(id_col)), sha256(folded(F.col(text_col))).alias("text_sha256"), F.struct("*").alias("row"))
+    once = by_ids(rows, odd, pair, "left_anti").select("row.*")
+    repeated = odd.filter("stays")
     if repeated.isEmpty():
         return once
-    return once.union(by_ids(rows, repeated, ["k", "missing"], "left_semi").dropDuplicates(["k", "missing"]).select("row.*"))
+    return once.union(by_ids(rows, repeated, pair, "left_semi").dropDuplicates(pair).select("row.*"))

@@ -75,6 +75,17 @@ def test_exact_dedup_of_odd_rows(spark):
     assert exact_dedup.decide(df.filter("false")).count() == 0 and exact_dedup.keep_one(df.filter("false")).count() == 0
 
 
+def test_keep_one_keeps_every_text_of_an_id(spark):
+    rows = [(None, "a"), (None, "A"), (None, "b"), (None, "B"), (None, "c"), (None, None), (1, "a"), (1, "a"), (2, "d"), (2, "e"), (2, "E"), (3, "d"), (0, "f"), (0, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    best = {}
+    for i, t in rows:
+        best[fold(t)] = max(best.get(fold(t), -1), -1 if i is None else i)
+    for part in (df, df.repartition(1).orderBy(F.desc("text"))):
+        got = [(-1 if r.doc_id is None else r.doc_id, fold(r.text)) for r in exact_dedup.keep_one(part).collect()]
+        assert sorted(got) == sorted((i, t) for t, i in best.items())
+
+
 # --- mixing ------------------------------------------------------------------------------
 
 
