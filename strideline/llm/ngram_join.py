@@ -7,8 +7,9 @@ coordinates of two nodes bounds it for all documents below them.
 
 One tree over everything would compare nearly all nodes, because points of many coordinates
 lie about equally far from each other.  So there is a tree per shard: a document goes to the
-shards of the first quarter of its windows in an order that puts frequent ones last.  Two
-documents over the threshold must meet in one of these (prefix filter), so nothing is lost.
+shards of its first windows in an order that puts frequent ones last: as many as may miss from
+the other document, and one more, which at 75 percent is a quarter.  Two documents over the
+threshold must meet in one of these (prefix filter), so nothing is lost.
 What the order is decides the cost alone; it rests on counts of all windows of all documents
 in a sketch of fixed size.
 
@@ -92,7 +93,7 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / (1.5 * mean)) + 1), 0, 250).astype(np.uint8)
 
 
-def _profiles(size: int, classes):
+def _profiles(size: int, percent: int, classes):
     """Set size, digest, point and shards of each document."""
     def run(batches):
         rank = classes.value
@@ -103,7 +104,8 @@ def _profiles(size: int, classes):
             points = np.bincount(base[doc] + ((h >> np.uint64(20)).astype(np.int64) & (groups[doc] - 1)), minlength=base[-1])
             token = mixed(h)
             order = np.lexsort((token, rank[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))
-            keep = np.arange(len(h)) - at[doc] < n[doc] // 4 + 1
+            prefix = n + (-percent * n) // 100 + 1
+            keep = np.arange(len(h)) - at[doc] < prefix[doc]
             shards, lengths = token[order][keep].view(np.int64), np.bincount(doc[keep], minlength=len(n))
             digests = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             # A count beyond 16 bits can't be stored; the empty point bounds nothing.
@@ -393,7 +395,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, size))
     profiles = stored(docs.mapInArrow(
-        _profiles(size, classes), "doc_id long, n long, digest binary, point binary, shards array<long>"), "profiles")
+        _profiles(size, percent, classes), "doc_id long, n long, digest binary, point binary, shards array<long>"), "profiles")
 
     nodes = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")

@@ -67,6 +67,23 @@ def test_equals_all_pairs(spark, seed, leaf, block, monkeypatch):
     assert result(ngram_join.join(df)) == brute(docs)
 
 
+@pytest.mark.parametrize("percent", [50, 90])
+def test_other_thresholds(spark, percent):
+    # Sets of 100 that share 70 frequent windows, which stand behind the 30 rare ones of each.
+    passage = [f"p{i}" for i in range(74)]
+    texts = [" ".join(passage + [f"d{k}x{i}" for i in range(30)]) for k in range(6)] + [t for _, t in made(3, 6, 5)]
+    docs = list(enumerate(texts))
+    s = {d: sets(t) for d, t in docs}
+    want = {d: d for d in s}
+    for a in sorted(s):
+        for b in range(a + 1, len(docs)):
+            if s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {d: low if c == high else c for d, c in want.items()}
+    got = result(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent))
+    assert got == {d: (len(s[d]), want[d]) for d in s}
+
+
 def test_cases(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (5, None), (6, None)], "doc_id long, text string")
     got = sorted(map(tuple, ngram_join.join(df).collect()), key=str)
