@@ -323,8 +323,13 @@ def _from_small(percent: int):
 def _neighbours(percent: int):
     """Pairs of rows next to each other in shards sorted by size, if of different components."""
     def run(batches):
-        for t in _whole_groups(batches, ["token"]):
-            token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc_id", "n", "component"))
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("token", "doc_id", "n", "component")]
+            token, doc, n, comp = rows if held is None else (np.concatenate(x) for x in zip(held, rows, strict=True))
+            held = [x[-1:] for x in (token, doc, n, comp)]
             i = np.flatnonzero((token[1:] == token[:-1]) & (comp[1:] != comp[:-1]) & (100 * n[:-1] >= percent * n[1:]))
             yield _pair_batch(doc[i], doc[i + 1])
 

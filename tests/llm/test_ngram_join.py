@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strideline.llm import ngram_join
@@ -84,6 +85,23 @@ def test_other_thresholds(spark, percent):
     assert got == {d: (len(s[d]), want[d]) for d in s}
 
 
+def test_neighbours_stream_a_shard():
+    rows = [(token, 10 * token + i, 100 + i, i % 3) for token in (1, 2) for i in range(9)]
+    names, read = ["token", "doc_id", "n", "component"], []
+
+    def batches():
+        for a in range(0, len(rows), 2):
+            read.append(a)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 2], strict=True)], names)
+
+    out, got = ngram_join._neighbours(75)(batches()), []
+    got += next(out).to_pylist()
+    assert read == [0]
+    for batch in out:
+        got += batch.to_pylist()
+    assert [(r["a"], r["b"]) for r in got] == [(x[1], y[1]) for x, y in zip(rows, rows[1:]) if x[0] == y[0]]
+
+
 def test_cases(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (5, None), (6, None)], "doc_id long, text string")
     got = sorted(map(tuple, ngram_join.join(df).collect()), key=str)
