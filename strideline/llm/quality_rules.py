@@ -118,5 +118,10 @@ def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with their columns."""
-    return judged(docs, text_col, rules).filter("kept").select("row.*")
+    """The rows that pass, with their columns.
+
+    A generator drops the others.  A filter on ``kept`` would be pushed below the projections
+    of the measures and would put the split of the text inside the loop over its words.
+    """
+    passed = F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")
+    return judged(docs, text_col, rules).select(passed).select("row.*")
