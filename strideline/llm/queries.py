@@ -222,7 +222,7 @@ _OPEN, _SHUT = "chr(57344)", "chr(57345)"
 def _proposed_sql(kind: personal_data.Kind) -> str:
     """Matches of a kind with their places: each is marked in the text, which is cut at the marks."""
     pattern = kind.pattern.replace("'", "''")
-    return f"""SELECT doc_id, t, '{kind.name}' AS kind, unnest(p) AS part, unnest(range(0, len(p))) AS i
+    return rf"""SELECT doc_id, t, '{kind.name}' AS kind, unnest(p) AS part, unnest(range(0, len(p))) AS i
   FROM (SELECT doc_id, t, string_split(regexp_replace(t, '({pattern})', {_OPEN} || '\1' || {_SHUT}, 'g'), {_OPEN}) AS p FROM d)"""
 
 
