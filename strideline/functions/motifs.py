@@ -1,9 +1,10 @@
 """Matrix profile and motifs of a series.
 
-The profile of n windows compares all of them.  The series is cut into tiles of bounded
-length; one task compares one tile with one other as a matrix product and returns only
-the best partner of each window, so the traffic grows with the number of tile pairs and
-never with the number of window pairs.
+The profile of n windows compares all of them, diagonal by diagonal: along a diagonal the dot
+product of two windows is a running sum, so a comparison costs the same for any window
+length.  A task takes a band of diagonals over one slice of the series.  It needs that slice and the two
+slices the band reaches, so a slice travels to as many tasks as the series has slices, twelve bytes
+a row and slice; a series of one slice travels once.  Only the best partner of each window comes back.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.functions.scalar import known
-from strideline.materialise import cut
-from strideline.ordering import SLICE_ROWS, with_halo
+from strideline.materialise import cut, stored
+from strideline.ordering import SLICE_ROWS, attach_stats, with_halo
 
-TILE_ROWS = 1024
+TILE_ROWS = 8192
+#: Cells that are compared at once, so that they stay in the cache of a core.
+CELLS = 1 << 16
 
 
 def profile_zone(m: int) -> int:
@@ -32,22 +35,105 @@ def motif_zone(m: int) -> int:
     return m // 2
 
 
-def _standard_windows(positions: np.ndarray, values: np.ndarray, m: int, core_end: int):
-    """z-normalised complete windows that start inside the tile, and their starts."""
-    if len(values) < m:
-        return np.empty(0, dtype=np.int64), np.empty((0, m))
-    w = np.lib.stride_tricks.sliding_window_view(values, m)
-    starts = positions[: len(w)]
-    complete = (positions[m - 1 :] - starts == m - 1) & (starts < core_end)
-    std = w.std(axis=1)
-    keep = complete & (std > 0)
-    w, starts, std = w[keep], starts[keep], std[keep]
-    return starts, (w - w.mean(axis=1, keepdims=True)) / std[:, None]
+# --- slices ------------------------------------------------------------------------------
+
+
+def series_slices(df: DataFrame, keys: list[str], pos: str, value: str, m: int, slice_rows: int = TILE_ROWS) -> DataFrame:
+    """``(keys, _slice, _from, _ps, _vs)``: the values of a slice and the m - 1 behind it.
+
+    ``_ps`` holds the positions where some are missing, else it is empty and the values stand at ``_from`` and on.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(pos).cast("bigint").alias("_p"), known(value).alias("_v")).where("_v IS NOT NULL")
+    packed = (
+        with_halo(rows, "_p", after=m - 1, slice_rows=slice_rows)
+        .groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_t"))
+        .select(*keys, "_slice", F.col("_t._p").alias("_ps"), F.col("_t._v").alias("_vs"))
+    )
+    first = F.element_at("_ps", 1)
+    whole = F.size("_ps") == F.element_at("_ps", -1) - first + 1
+    return packed.select(*keys, "_slice", first.alias("_from"), F.when(whole, F.array().cast("array<bigint>")).otherwise(F.col("_ps")).alias("_ps"), "_vs")
+
+
+def _laid_out(start: int, size: int, parts) -> np.ndarray:
+    """Values at ``start`` and on, NaN where there is none; parts are (first position, positions, values)."""
+    out = np.full(size, np.nan)
+    for first, places, values in parts:
+        at = (np.arange(first, first + len(values)) if not len(places) else places) - start
+        inside = (at >= 0) & (at < size)
+        out[at[inside]] = values[inside]
+    return out
+
+
+class _Windows:
+    """Windows of m values: shifted values, means, and scales that are zero where a window takes no part."""
+
+    def __init__(self, values: np.ndarray, m: int, shift: float):
+        view = np.lib.stride_tricks.sliding_window_view(values, m) if len(values) >= m else np.empty((0, m))
+        std = view.std(axis=1)
+        self.ok = std > 0
+        self.x = np.nan_to_num(values - shift)
+        self.mean = np.where(self.ok, view.mean(axis=1) - shift, 0.0)
+        self.scale = np.where(self.ok, 1.0 / np.where(self.ok, std, 1.0), 0.0)
+        self.m = m
+
+    def __len__(self) -> int:
+        return len(self.ok)
+
+    def standard(self, at: np.ndarray) -> np.ndarray:
+        rows = self.x[at[:, None] + np.arange(self.m)]
+        return (rows - self.mean[at, None]) * self.scale[at, None]
+
+
+def _nearest(left: _Windows, right: _Windows, lowest: int, highest: int):
+    """Best partner of each window over the diagonals ``lowest`` to ``highest`` (exclusive) of (left, right).
+
+    Gives for left and for right windows the number of the partner on the other side, -1 without one.
+    Of equally near ones it is the first.
+    """
+    m, n = left.m, len(left)
+    best, partner = np.full(n, -np.inf), np.full(n, -1)
+    best_r, partner_r = np.full(len(right), -np.inf), np.full(len(right), -1)
+    highest = min(highest, len(right))
+    if n == 0 or lowest >= highest:
+        return partner, partner_r
+    pad = n + highest
+    x = np.concatenate([right.x, np.zeros(max(0, pad + m - 1 - len(right.x)))])
+    tail = np.zeros(max(0, pad - len(right)))
+    mean, scale = np.concatenate([right.mean, tail]), np.concatenate([right.scale, tail])
+    blocked = np.where(np.concatenate([right.ok, tail.astype(bool)]), 0.0, -np.inf)
+    own = np.where(left.ok, 0.0, -np.inf)
+    values, means, scales, blocks = (np.lib.stride_tricks.sliding_window_view(v, w) for v, w in ((x, n + m - 1), (mean, n), (scale, n), (blocked, n)))
+    number = np.arange(n)
+    for k0 in range(lowest, highest, max(1, CELLS // n)):
+        k1 = min(highest, k0 + max(1, CELLS // n))
+        sums = np.cumsum(left.x[None, : n + m - 1] * values[k0:k1], axis=1)
+        dots = sums[:, m - 1 :].copy()
+        dots[:, 1:] -= sums[:, : n - 1]
+        close = (dots - m * left.mean * means[k0:k1]) * (left.scale * scales[k0:k1]) + (own + blocks[k0:k1])
+        row = close.argmax(axis=0)
+        top = close[row, number]
+        better = top > best
+        best[better], partner[better] = top[better], (number + k0 + row)[better]
+        for k, line in enumerate(close, k0):
+            size = min(n, len(right) - k)
+            there, other = best_r[k : k + size], partner_r[k : k + size]
+            better = (line[:size] >= there) & (line[:size] > -np.inf)
+            there[better], other[better] = line[:size][better], number[:size][better]
+    return partner, partner_r
+
+
+def _distances(left: _Windows, i: np.ndarray, right: _Windows, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    for k in range(0, len(i), 1024):
+        gap = left.standard(i[k : k + 1024]) - right.standard(j[k : k + 1024])
+        out[k : k + 1024] = np.sqrt((gap * gap).sum(axis=1))
+    return out
 
 
 def matrix_profile(
     df: DataFrame, keys: list[str], pos: str, value: str, m: int, zone: int | None = None,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int = TILE_ROWS, slices: DataFrame | None = None,
 ) -> DataFrame:
     """Distance and position of the nearest other window of every window.
 
@@ -56,112 +142,157 @@ def matrix_profile(
     """
     keys = list(keys)
     zone = profile_zone(m) if zone is None else zone
-    rows = df.select(*keys, F.col(pos).cast("bigint").alias("_p"), known(value).alias("_v")).where("_v IS NOT NULL")
-    tiles = (
-        with_halo(rows, "_p", after=m - 1, slice_rows=tile_rows)
-        .groupBy(*keys, "_slice")
-        .agg(F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_t"))
-        .select(*keys, "_slice", F.col("_t._p").alias("_ps"), F.col("_t._v").alias("_vs"))
-    )
-    last = rows.groupBy(*keys).agg(F.max(F.expr(f"_p div {tile_rows}L")).alias("_last"))
-    right = tiles.select(
-        *keys, F.col("_slice").alias("_other"), F.col("_ps").alias("_ps2"), F.col("_vs").alias("_vs2")
-    )
-    left = tiles.join(last, on=keys, how="inner") if keys else tiles.withColumn("_last", last.scalar())
-    pairs = (
-        left.withColumn("_other", F.explode(F.sequence("_slice", "_last")))
-        .drop("_last").join(right, on=keys + ["_other"], how="inner")
-    )
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made: list[pd.DataFrame] = []
-            for row in batch.itertuples(index=False):
-                record = dict(zip(batch.columns, row))
-                a, b = record["_slice"], record["_other"]
-                starts_a, za = _standard_windows(np.asarray(record["_ps"]), np.asarray(record["_vs"]), m, (a + 1) * tile_rows)
-                starts_b, zb = _standard_windows(np.asarray(record["_ps2"]), np.asarray(record["_vs2"]), m, (b + 1) * tile_rows)
-                if not len(starts_a) or not len(starts_b):
-                    continue
-                d = np.sqrt(np.maximum(0.0, 2 * m - 2 * (za @ zb.T)))
-                d[np.abs(starts_a[:, None] - starts_b[None, :]) <= zone] = np.inf
-                found = [(starts_a, d.min(axis=1), starts_b[d.argmin(axis=1)])]
-                if a != b:
-                    found.append((starts_b, d.min(axis=0), starts_a[d.argmin(axis=0)]))
-                for starts, best, partner in found:
-                    ok = np.isfinite(best)
-                    out = {k: np.full(ok.sum(), record[k]) for k in keys}
-                    made.append(pd.DataFrame({**out, "pos": starts[ok], "distance": best[ok], "partner": partner[ok]}))
-            if made:
-                yield pd.concat(made, ignore_index=True)
-
-    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{key_types + ', ' if keys else ''}pos bigint, distance double, partner bigint"
-    best = pairs.mapInPandas(compare, schema=schema)
+    slices = series_slices(df, keys, pos, value, m, tile_rows) if slices is None else slices
+    ends = slices.groupBy(*keys).agg(F.min("_slice").alias("_first"), F.max("_slice").alias("_last"))
+    here, first, last = (F.col(c) for c in ("_slice", "_first", "_last"))
+
+    def unit(a, d, role):
+        return F.struct(a.alias("a"), d.alias("d"), F.lit(role).alias("role"))
+
+    as_left = F.transform(F.sequence(F.lit(0).cast("bigint"), last - here), lambda d: unit(here, d, 0))
+    as_right = F.flatten(F.transform(F.sequence(first, here - 1), lambda a: F.array(unit(a, here - a, 1), unit(a, here - a - 1, 2))))
+    placed = attach_stats(slices, ends, keys)
+    roles = F.concat(as_left, F.when(here > first, as_right).otherwise(F.filter(as_left, lambda _: F.lit(False))))
+    units = placed.select(*keys, "_from", "_ps", "_vs", F.explode(roles).alias("_u")).select(*keys, "_u.a", "_u.d", "_u.role", "_from", "_ps", "_vs")
+    key_fields = [df.schema[k] for k in keys]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields), "pos bigint, distance double, partner bigint"])
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        parts: dict[int, tuple] = {}
+        for role, start, places, values in zip(*(table.column(c) for c in ("role", "_from", "_ps", "_vs")), strict=True):
+            parts[role.as_py()] = (start.as_py(), np.asarray(places.values), np.asarray(values.values))
+        a, d = key[-2].as_py(), key[-1].as_py()
+        low, low_r = a * tile_rows, (a + d) * tile_rows
+        whole = [parts[r] for r in ((0, 2) if d == 0 else (1, 2)) if r in parts]
+        x = _laid_out(low, tile_rows + m - 1, [parts[0]] if 0 in parts else [])
+        y = _laid_out(low_r, 2 * tile_rows + m - 1, whole)
+        x, y = (v[: len(v) - int(np.argmax(~np.isnan(v[::-1])))] if not np.isnan(v).all() else v[:0] for v in (x, y))
+        shift = float(np.nanmean(x)) if len(x) else 0.0
+        left, right = _Windows(x, m, shift), _Windows(y, m, shift)
+        to_right, to_left = _nearest(left, right, max(0, zone + 1 - d * tile_rows), tile_rows)
+        i, j = np.flatnonzero(to_right >= 0), np.flatnonzero(to_left >= 0)
+        places = np.concatenate([i + low, j + low_r])
+        partners = np.concatenate([to_right[i] + low_r, to_left[j] + low])
+        found = np.concatenate([_distances(left, i, right, to_right[i]), _distances(left, to_left[j], right, j)])
+        columns = [pa.array([k.as_py()] * len(places), k.type) for k in key[:-2]]
+        names = [*keys, "pos", "distance", "partner"]
+        return pa.Table.from_arrays([*columns, pa.array(places, pa.int64()), pa.array(found), pa.array(partners, pa.int64())], names)
+
+    best = units.groupBy(*keys, "a", "d").applyInArrow(compare, schema)
     return best.groupBy(*keys, "pos").agg(
         F.min("distance").alias("distance"), F.min(F.struct("distance", "partner"))["partner"].alias("partner")
     )
 
 
-def window_arrays(
-    df: DataFrame, keys: list[str], pos: str, value: str, m: int, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Complete windows of m values with their start, mean and deviation."""
-    rows = df.select(*keys, F.col(pos).cast("bigint").alias("pos"), known(value).alias("_v")).where("_v IS NOT NULL")
-    halo = with_halo(rows, "pos", after=m - 1, slice_rows=slice_rows)
-    ahead = Window.partitionBy(*keys, "_slice").orderBy("pos").rowsBetween(0, m - 1)
-    return (
-        halo.withColumns({
-            "window": F.collect_list("_v").over(ahead),
-            "_end": F.max("pos").over(ahead),
-            "_mean": F.avg("_v").over(ahead),
-            "_std": F.stddev_pop("_v").over(ahead),
-        })
-        .where("_core")
-        .where((F.size("window") == m) & (F.col("_end") - F.col("pos") == m - 1) & (F.col("_std") > 0))
-        .select(*keys, "pos", "window", "_mean", "_std")
-    )
-
-
-def _positions_near(occurrences: DataFrame, keys: list[str], zone: int) -> DataFrame:
+def _near(occurrences: DataFrame, keys: list[str], zone: int) -> DataFrame:
     near = F.explode(F.sequence(F.col("pos") - zone, F.col("pos") + zone))
     return occurrences.select(*keys, near.alias("pos")).distinct()
 
 
+# --- greedy choice -----------------------------------------------------------------------
+
+CHOSEN, OPEN, GONE = 1, 0, -1
+
+
+def _settle(pos: np.ndarray, distance: np.ndarray, state: np.ndarray, low: float, high: float, zone: int) -> np.ndarray:
+    """Greedy choice as far as what lies between ``low`` and ``high`` decides it.
+
+    ``state`` tells what is chosen already.  A candidate stays open when a better one near it is open, or
+    may stand where nothing is known.
+    """
+    left, right = np.searchsorted(pos, pos - zone, "left"), np.searchsorted(pos, pos + zone, "right")
+    unseen = (pos - zone < low) | (pos + zone > high)
+    out = np.where(state == CHOSEN, CHOSEN, 2)
+    for c in np.lexsort((pos, distance)):
+        if out[c] != CHOSEN:
+            near = out[left[c] : right[c]]
+            out[c] = GONE if (near == CHOSEN).any() else OPEN if unseen[c] or (near == OPEN).any() else CHOSEN
+    return out
+
+
+def _settled_slices(left: DataFrame, keys: list[str], zone: int, slice_rows: int, shift: int) -> DataFrame:
+    """One pass over slices; rows that are gone are left out."""
+    moved = left.withColumn("_at", F.col("pos") + shift)
+    halo = with_halo(moved, "_at", before=zone, after=zone, slice_rows=slice_rows)
+
+    def judge(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        pos, distance, state = (table.column(c).to_numpy() for c in ("pos", "distance", "state"))
+        low = key[-1].as_py() * slice_rows - shift
+        core = table.column("_core").to_numpy()
+        # Up to a zone beyond each border every candidate is here.
+        done = _settle(pos, distance, state, low - zone, low + slice_rows - 1 + zone, zone)
+        kept = core & (done != GONE)
+        out = table.select([*keys, "pos", "distance"]).filter(pa.array(kept))
+        return out.append_column("state", pa.array(done[kept].astype(np.int32)))
+
+    return cut(halo.groupBy(*keys, "_slice").applyInArrow(judge, left.schema))
+
+
+def _settled_stream(left: DataFrame, keys: list[str], zone: int) -> DataFrame:
+    """What no slice could decide: chains of candidates across several slices, in order of position.
+
+    Of each series only the undecided candidates and one zone before them are held.
+    """
+    ordered = (left.repartition(*keys) if keys else left.repartition(1)).sortWithinPartitions(*keys, "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now, limit = None, 4096
+
+        def flush(last: bool):
+            nonlocal held
+            if not held:
+                return []
+            pos = np.array([r[-3] for r in held])
+            high = np.inf if last else pos[-1]
+            done = _settle(pos, np.array([r[-2] for r in held]), np.array([r[-1] for r in held]), -np.inf, high, zone)
+            open_ = np.flatnonzero(done == OPEN)
+            keep = pos[open_[0]] - zone if len(open_) else (np.inf if last else pos[-1] - zone)
+            out = [(*r[:-1], CHOSEN) for r, s in zip(held, done, strict=True) if s == CHOSEN and r[-3] < keep]
+            held = [(*r[:-1], int(s)) for r, s in zip(held, done, strict=True) if s != GONE and r[-3] >= keep]
+            return out
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+        arrow = None
+        for b in batches:
+            arrow, ready = b.schema, []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and row[:-3] != now:
+                    ready += flush(True)
+                    limit = 4096
+                now = row[:-3]
+                held.append(row)
+                if len(held) >= limit:
+                    ready += flush(False)
+                    limit = max(4096, 2 * len(held))
+            if ready:
+                yield batch(ready)
+        if held and arrow is not None:
+            yield batch(flush(True))
+
+    return cut(ordered.mapInArrow(run, left.schema))
+
+
 def suppress_neighbours(
     candidates: DataFrame, keys: list[str], zone: int, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Greedy choice by distance where a chosen window removes all within ``zone`` of it.
 
-    A candidate that is the best within its zone is chosen by the greedy order whatever
-    happens elsewhere, so every round takes all of those at once and removes their
-    neighbours; rounds repeat until no candidate is left.
+    Slices decide what depends on nothing beyond them, then slices moved by half decide what hangs
+    together across a border.  Chains longer than that, such as a series of equal distances, where each choice
+    waits for the one before, are decided in one ordered stream for each series.
     """
     keys = list(keys)
-    left = candidates.select(*keys, "pos", "distance")
-    chosen: list[DataFrame] = []
-    while True:
-        halo = with_halo(left, "pos", before=2 * zone, after=2 * zone, slice_rows=slice_rows)
-        near = Window.partitionBy(*keys, "_slice").orderBy("pos").rangeBetween(-zone, zone)
-        place = F.struct("distance", "pos")
-        judged = halo.withColumn("_wins", F.min(place).over(near) == place)
-        judged = judged.withColumn("_gone", F.max("_wins").over(near)).where("_core")
-        judged = cut(judged.select(*keys, "pos", "distance", "_wins", "_gone"))
-        chosen.append(judged.where("_wins").select(*keys, "pos", "distance"))
-        left = judged.where("NOT _gone").select(*keys, "pos", "distance")
-        if left.isEmpty():
-            break
-    result = chosen[0]
-    for part in chosen[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def window_distance(a: str, mean_a: str, std_a: str, b: str, mean_b: str, std_b: str, m: int) -> Column:
-    """z-normalised Euclidean distance of two window arrays."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    corr = (dot - F.lit(float(m)) * F.col(mean_a) * F.col(mean_b)) / (F.lit(float(m)) * F.col(std_a) * F.col(std_b))
-    return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0 * m) * (F.lit(1.0) - corr)))
+    start = candidates.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.col("distance").cast("double").alias("distance"), F.lit(OPEN).alias("state"))
+    left = _settled_slices(start, keys, zone, slice_rows, 0)
+    if not left.where(F.col("state") == OPEN).isEmpty():
+        left = _settled_slices(left, keys, zone, slice_rows, slice_rows // 2)
+        if not left.where(F.col("state") == OPEN).isEmpty():
+            left = _settled_stream(left, keys, zone)
+    return left.where(F.col("state") == CHOSEN).select(*keys, "pos", "distance")
 
 
 def motif_seed(profile: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,51 +302,66 @@ def motif_seed(profile: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*keys, "_b.pos", "_b.partner", "_b.distance")
 
 
+def windows_near(slices: DataFrame, keys: list[str], seeds: DataFrame, m: int, radius: float, tile_rows: int) -> DataFrame:
+    """``(keys, pos, distance)`` of all windows within ``radius`` times the seed's distance of the seed.
+
+    ``seeds`` has ``(keys, pos, distance)``, one row per series; its window is cut from the slices.
+    """
+    at = F.when(F.size("_ps") == 0, F.col("pos") - F.col("_from") + 1).otherwise(F.array_position("_ps", F.col("pos"))).cast("int")
+    homes = seeds.select(*keys, "pos", "distance", F.expr(f"pos div {tile_rows}L").alias("_slice"))
+    patterns = slices.join(homes, on=[*keys, "_slice"], how="inner").select(
+        *keys, F.slice("_vs", at, F.lit(m)).alias("_seed"), (F.col("distance") * radius).alias("_limit"))
+    both = attach_stats(slices, patterns, keys).where("_seed IS NOT NULL")
+    fields = ", ".join([*(f"`{k}` {slices.schema[k].dataType.simpleString()}" for k in keys), "pos bigint, distance double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                here = b.column("_slice")[i].as_py() * tile_rows
+                part = (b.column("_from")[i].as_py(), np.asarray(b.column("_ps")[i].values), np.asarray(b.column("_vs")[i].values))
+                values = _laid_out(here, tile_rows + m - 1, [part])
+                seed = np.asarray(b.column("_seed")[i].values)
+                shift = float(seed.mean())
+                own, pattern = _Windows(values, m, shift), _Windows(seed, m, shift)
+                if not len(pattern) or not pattern.ok[0]:
+                    continue
+                starts = np.flatnonzero(own.ok)
+                found = _distances(own, starts, pattern, np.zeros(len(starts), np.int64))
+                kept = found <= b.column("_limit")[i].as_py()
+                columns = [pa.array([b.column(k)[i].as_py()] * int(kept.sum()), b.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(starts[kept] + here, pa.int64()), pa.array(found[kept])], [*keys, "pos", "distance"])
+
+    return both.mapInArrow(run, fields)
+
+
 def top_motifs(
     df: DataFrame, keys: list[str], pos: str, value: str, m: int, radius: float, max_motifs: int = 2,
-    profile: DataFrame | None = None, slice_rows: int = SLICE_ROWS,
+    profile: DataFrame | None = None, slice_rows: int = SLICE_ROWS, tile_rows: int = TILE_ROWS, slices: DataFrame | None = None,
 ) -> DataFrame:
     """Occurrences ``(keys, tag, pos, distance)`` of the best motifs of each series.
 
     A motif is the closest remaining pair plus every window within ``radius`` times its
     distance, nearest first, none within half a window of another occurrence.  ``distance``
-    is that of the pair.  Bounded number of rounds: one per motif.
+    is that of the pair.  Bounded number of jobs for each motif.
     """
     keys = list(keys)
     zone = motif_zone(m)
-    windows = cut(window_arrays(df, keys, pos, value, m, slice_rows))
-    open_profile = cut(profile if profile is not None else matrix_profile(df, keys, pos, value, m))
-    open_windows = windows
+    slices = stored(series_slices(df, keys, pos, value, m, tile_rows), "slices") if slices is None else slices
+    open_profile = cut(profile if profile is not None else matrix_profile(df, keys, pos, value, m, tile_rows=tile_rows, slices=slices))
     found: list[DataFrame] = []
     for tag in range(1, max_motifs + 1):
         seed = cut(motif_seed(open_profile, keys))
         ends = seed.select(*keys, F.explode(F.array("pos", "partner")).alias("pos"), "distance")
-        marks = seed.select(*keys, "pos", F.col("distance").alias("_seed_distance"))
-        seeds = windows.join(marks, on=keys + ["pos"], how="inner").select(
-            *keys, "_seed_distance", F.col("window").alias("_w"), F.col("_mean").alias("_mw"), F.col("_std").alias("_sw")
-        )
-        free = open_windows.join(_positions_near(ends, keys, zone), on=keys + ["pos"], how="left_anti")
-        if keys:
-            compared = free.join(seeds, on=keys, how="inner")
-        else:
-            packed = seeds.select(F.struct(*seeds.columns)).scalar()
-            compared = free.withColumn("_s", packed).select(*free.columns, "_s.*")
-        distance = window_distance("window", "_mean", "_std", "_w", "_mw", "_sw", m)
-        candidates = compared.withColumn("distance", distance).where(
-            F.col("distance") <= F.col("_seed_distance") * radius
-        )
-        further = suppress_neighbours(cut(candidates.select(*keys, "pos", "distance")), keys, zone, slice_rows)
-        far = further.join(seed.select(*keys, F.col("distance").alias("_d")), on=keys, how="inner") if keys else (
-            further.withColumn("_d", seed.select("distance").scalar())
-        )
-        occurrences = cut(
-            ends.unionByName(far.select(*keys, "pos", F.col("_d").alias("distance")))
-            .withColumn("tag", F.lit(tag)).select(*keys, "tag", "pos", "distance")
-        )
+        taken = ends.select(*keys, "pos")
+        for part in found:
+            taken = taken.unionByName(part.select(*keys, "pos"))
+        near = windows_near(slices, keys, seed.select(*keys, "pos", "distance"), m, radius, tile_rows)
+        candidates = near.join(_near(taken, keys, zone), on=[*keys, "pos"], how="left_anti")
+        further = suppress_neighbours(candidates, keys, zone, slice_rows)
+        far = attach_stats(further.select(*keys, "pos"), seed.select(*keys, "distance"), keys)
+        occurrences = cut(ends.unionByName(far).withColumn("tag", F.lit(tag)).select(*keys, "tag", "pos", "distance"))
         found.append(occurrences)
-        near = _positions_near(occurrences, keys, zone)
-        open_profile = cut(open_profile.join(near, on=keys + ["pos"], how="left_anti"))
-        open_windows = open_windows.join(near, on=keys + ["pos"], how="left_anti")
+        open_profile = open_profile.join(_near(occurrences, keys, zone), on=[*keys, "pos"], how="left_anti")
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
@@ -267,9 +413,10 @@ def sweep_motifs(
     """
     parts = []
     for m in lengths:
-        profile = cut(matrix_profile(df, keys, pos, value, m))
+        slices = stored(series_slices(df, keys, pos, value, m), "slices")
+        profile = cut(matrix_profile(df, keys, pos, value, m, slices=slices))
         for radius in radii:
-            occurrences = top_motifs(df, keys, pos, value, m, radius, max_motifs, profile, slice_rows)
+            occurrences = top_motifs(df, keys, pos, value, m, radius, max_motifs, profile, slice_rows, slices=slices)
             rows = motif_features(df, keys, pos, value, occurrences, m)
             if label is not None:
                 rows = rows.join(motif_labels(df, keys, pos, label, occurrences), on=[*keys, "motif", "occurrence"], how="inner")

@@ -55,6 +55,46 @@ def test_profile_of_one_long_series(series, tile_rows):
     assert list(got.pos) == list(range(len(best))) and np.allclose(got.distance, best, atol=1e-6)
 
 
+@pytest.mark.parametrize("m", [8, 50, 200])
+def test_profile_of_any_window_length_over_slices(spark, m):
+    rng = np.random.default_rng(m)
+    x = np.round(np.cumsum(rng.normal(size=900)), 2) + 1e4
+    x[300:310] = x[300]
+    holes = {450, 451}
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x) if i not in holes], "pos bigint, x double")
+    starts = [i for i in range(len(x) - m + 1) if x[i : i + m].std() > 0 and not holes & set(range(i, i + m))]
+    w = np.array([z(x[i : i + m]) for i in starts])
+    d = np.sqrt(np.maximum(0, 2 * m - 2 * w @ w.T))
+    at = np.array(starts)
+    d[np.abs(at[:, None] - at[None, :]) <= mt.profile_zone(m)] = np.inf
+    got = mt.matrix_profile(df, [], "pos", "x", m, tile_rows=128).toPandas().sort_values("pos")
+    want = d.min(axis=1)
+    assert list(got.pos) == [s for s, b in zip(starts, want) if np.isfinite(b)]
+    assert np.allclose(got.distance, want[np.isfinite(want)], atol=1e-5)
+
+
+def greedy(rows, zone):
+    chosen = []
+    for d, p in sorted((d, p) for p, d in rows):
+        if all(abs(p - c) > zone for c in chosen):
+            chosen.append(p)
+    return sorted(chosen)
+
+
+@pytest.mark.parametrize("kind", ["equal", "falling", "rising", "random", "few"])
+def test_greedy_choice_across_slices(spark, kind):
+    rng = np.random.default_rng(3)
+    made = {"equal": lambda i: 1.0, "falling": lambda i: -i, "rising": lambda i: i, "random": lambda i: rng.random(), "few": lambda i: float(rng.integers(3))}[kind]
+    rows = [(k, i, float(made(i))) for k in (1, 2) for i in range(400) if kind != "few" or rng.random() < 0.4]
+    df = spark.createDataFrame(rows, "k int, pos bigint, distance double")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = mt.suppress_neighbours(df, ["k"], 4, slice_rows=32)
+    used = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(jobs))
+    for k in (1, 2):
+        assert sorted(r["pos"] for r in got.where(f"k = {k}").collect()) == greedy([(p, d) for q, p, d in rows if q == k], 4)
+    assert used <= 24  # three passes and two questions, whatever the number of slices
+
+
 @pytest.mark.parametrize("radius,slice_rows", [(1.5, 1 << 20), (4.0, 16)])
 def test_motifs_match_the_greedy_order(series, radius, slice_rows):
     x, df = series

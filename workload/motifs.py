@@ -34,6 +34,18 @@ def _(spark, sf):
     return out.select("series_id", "pos", F.round("distance", 5).alias("distance"), "partner")
 
 
+def profile_sql(m: int) -> str:
+    return PROFILE_SQL.replace(f"{M - 1} FOLLOWING", f"{m - 1} FOLLOWING").replace(f"c = {M} AND", f"c = {m} AND").replace(f"2.0 * {M} *", f"2.0 * {m} *").replace(
+        f"- {M} * a.mu", f"- {m} * a.mu").replace(f"({M} * a.sd", f"({m} * a.sd").replace(f"> {M // 4})", f"> {m // 4})")
+
+
+@query("h1_matrix_profile_long_windows", f"WITH {profile_sql(24)} SELECT series_id, pos, round(distance, 5) AS distance, partner FROM prof")
+def _(spark, sf):
+    """Windows of 24 values over slices of 32."""
+    out = mt.matrix_profile(series(spark, sf), ["series_id"], "pos", "value", 24, tile_rows=32)
+    return out.select("series_id", "pos", F.round("distance", 5).alias("distance"), "partner")
+
+
 @query("h2_motif_seed", f"""WITH {PROFILE_SQL} SELECT series_id, round(min(distance), 5) AS distance, min(least(pos, partner)) AS pos, max(greatest(pos, partner)) AS partner
 FROM (SELECT *, min(distance) OVER (PARTITION BY series_id) AS best FROM prof) WHERE distance <= best + 1e-9 GROUP BY 1""")
 def _(spark, sf):
@@ -42,7 +54,30 @@ def _(spark, sf):
     return seed.select("series_id", F.round("distance", 5).alias("distance"), F.least("pos", "partner").alias("pos"), F.greatest("pos", "partner").alias("partner"))
 
 
-@query("h2_top_motifs")
+def _motif_sql(n: int, taken: str) -> str:
+    """The n-th motif: its pair, the windows near the first of it, and the greedy choice window by window.
+
+    ``taken`` tells whether a window stands near an occurrence of an earlier motif.
+    """
+    zone, found = M // 2, "sqrt(greatest(0, 2.0 * {M} * (1 - (list_dot_product(a.w, z.w) - {M} * a.mu * z.mu) / ({M} * a.sd * z.sd))))".replace("{M}", str(M))
+    return f"""
+seed{n} AS (SELECT DISTINCT ON (series_id) series_id, pos, partner, distance FROM prof p WHERE NOT {taken.format(x='p')} ORDER BY series_id, round(distance, 9), pos),
+ends{n} AS (SELECT series_id, unnest([pos, partner]) AS pos FROM seed{n}),
+near{n} AS (SELECT series_id, pos, row_number() OVER (PARTITION BY series_id ORDER BY d, pos) AS r FROM (
+  SELECT z.series_id, z.pos, {found} AS d, e.distance FROM seed{n} e JOIN ok a USING (series_id, pos) JOIN ok z ON z.series_id = a.series_id) q
+  WHERE d <= 2.0 * distance AND NOT {taken.format(x='q')} AND NOT EXISTS (SELECT 1 FROM ends{n} e WHERE e.series_id = q.series_id AND abs(e.pos - q.pos) <= {zone})),
+pick{n} AS (SELECT series_id, 0::BIGINT AS r, []::BIGINT[] AS chosen FROM seed{n}
+  UNION ALL SELECT p.series_id, n.r, CASE WHEN len(list_filter(p.chosen, lambda c: abs(c - n.pos) <= {zone})) > 0 THEN p.chosen ELSE list_append(p.chosen, n.pos) END
+  FROM pick{n} p JOIN near{n} n ON n.series_id = p.series_id AND n.r = p.r + 1),
+occ{n} AS (SELECT series_id, pos FROM ends{n} UNION ALL SELECT series_id, unnest(chosen) FROM (SELECT series_id, arg_max(chosen, r) AS chosen FROM pick{n} GROUP BY 1))"""
+
+
+_FIRST_TAKEN = f"EXISTS (SELECT 1 FROM occ1 o WHERE o.series_id = {{x}}.series_id AND abs(o.pos - {{x}}.pos) <= {M // 2})"
+
+
+@query("h2_top_motifs", f"""WITH RECURSIVE {PROFILE_SQL}, {_motif_sql(1, 'false')}, {_motif_sql(2, _FIRST_TAKEN)}
+SELECT o.series_id, 1 AS tag, o.pos, round(s.distance, 5) AS distance FROM occ1 o JOIN seed1 s ON s.series_id = o.series_id
+UNION ALL SELECT o.series_id, 2, o.pos, round(s.distance, 5) FROM occ2 o JOIN seed2 s ON s.series_id = o.series_id""")
 def _(spark, sf):
     out = mt.top_motifs(series(spark, sf), ["series_id"], "pos", "value", M, radius=2.0)
     return out.select("series_id", "tag", "pos", F.round("distance", 5).alias("distance"))
