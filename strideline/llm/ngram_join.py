@@ -19,9 +19,13 @@ in a sketch of fixed size.
 3. Pairs of different components in shards of one leaf are verified, then, in rounds, for each
    document of a larger shard a neighbour from another component; links are contracted.
 4. Larger shards that still hold several components go through their trees; pairs of different
-   components over the bound are verified on the whole sets.  Very large shards are dealt out
+   components over the bound are verified on the whole sets: first the most promising ones of each
+   component, whose links are contracted, then all that remain.  Very large shards are dealt out
    in blocks, and blocks of one component are not compared with each other.
 
+Pairs are bounded once more, before they become rows, by the parities of the counts of finer groups: each
+group in which two documents differ in parity holds a window that only one of them has.
+
 Cases: a null text counts as empty; an empty document has no windows and links with nothing;
 fewer words than a window give one window; rows with equal ids are one node and rows with a
 null id are returned with a null component; an empty table gives an empty result; other
@@ -45,6 +49,8 @@ SKETCH, SLICES = 1 << 20, 256
 LEAF, BLOCK = 64, 1024
 #: Rounds of contraction in larger shards before their trees are joined.
 ROUNDS = 4
+#: Pairs that each component gives from a pair of blocks, before all that remain are tested.
+FIRST_PAIRS = 3
 
 
 # --- sets of windows ---------------------------------------------------------------------
@@ -76,9 +82,14 @@ def _sketch(size: int):
     return run
 
 
-def _summed(key, table):
-    total = np.sum([np.frombuffer(b.as_py(), np.uint32).astype(np.uint64) for b in table.column("counts")], axis=0)
-    return pa.table({"slice": [key[0]], "counts": [total.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+def _summed(batches):
+    """Sums of the slices of a partition, added up as they come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
+            total[k] = part if k not in total else total[k] + part
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "counts"])
 
 
 def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
@@ -87,14 +98,14 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
     The result has one byte per counter, 1 MB whatever the input.
     """
     schema = "slice int, counts binary"
-    parts = docs.mapInArrow(_sketch(size), schema).groupBy("slice").applyInArrow(_summed, schema).orderBy("slice").collect()
+    parts = docs.mapInArrow(_sketch(size), schema).repartition("slice").mapInArrow(_summed, schema).orderBy("slice").collect()
     counts = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in parts] or [np.zeros(SKETCH, np.uint64)]).astype(float)
     mean = max(counts.mean(), 0.1)
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / (1.5 * mean)) + 1), 0, 250).astype(np.uint8)
 
 
 def _profiles(size: int, percent: int, classes):
-    """Set size, digest, point and shards of each document."""
+    """Set size, digest, point, parities of finer groups and shards of each document."""
     def run(batches):
         rank = classes.value
         for ids, h, doc, at in _sets(batches, size):
@@ -110,10 +121,15 @@ def _profiles(size: int, percent: int, classes):
             digests = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             # A count beyond 16 bits can't be stored; the empty point bounds nothing.
             vectors = [p.astype("<u2").tobytes() if p.max(initial=0) < 65536 else b"" for p in np.split(points, base[1:-1])]
+            fine = 8 * groups
+            base = np.concatenate(([0], np.cumsum(fine)))
+            odd = np.bincount(base[doc] + ((h >> np.uint64(32)).astype(np.int64) & (fine[doc] - 1)), minlength=base[-1]) & 1
+            packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+            parity = [packed[i // 8 : j // 8].tobytes() for i, j in zip(base[:-1], base[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
-                ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary()),
+                ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary()), pa.array(parity, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(shards)),
-            ], ["doc_id", "n", "digest", "point", "shards"])
+            ], ["doc_id", "n", "digest", "point", "parity", "shards"])
 
     return run
 
@@ -140,13 +156,18 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(*point.shape[:-1], -1, groups).sum(axis=-2)
 
 
-def bound(a: bytes, b: bytes) -> int:
-    """Upper bound of the overlap from two stored points."""
-    if not a or not b:
-        return 1 << 62
-    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
-    groups = min(len(x), len(y))
-    return int(np.minimum(folded(x, groups), folded(y, groups)).sum())
+def odd_groups(parity: bytes) -> tuple[int, int]:
+    """The groups with an odd count, as the bits of a number, and the number of groups."""
+    return int.from_bytes(parity, "little"), 8 * len(parity)
+
+
+def bound(a: tuple[int, int], b: tuple[int, int], na: int, nb: int) -> int:
+    """Upper bound of the overlap: a group whose counts differ in parity holds a window that only one set has."""
+    (x, p), (y, q) = (a, b) if a[1] >= b[1] else (b, a)
+    while p > q:  # Two groups become one, whose count is odd if one of theirs is.
+        p //= 2
+        x = (x >> p) ^ (x & ((1 << p) - 1))
+    return (na + nb - (x ^ y).bit_count()) // 2
 
 
 def tree_join(points: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +217,8 @@ def _bounded(percent: int):
     def run(batches):
         for t in batches:
             na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-            most = [bound(p.as_py(), q.as_py()) for p, q in zip(t.column("pa"), t.column("pb"), strict=True)]
+            sides = [[odd_groups(p) for p in t.column(c).to_pylist()] for c in ("pa", "pb")]
+            most = list(map(bound, *sides, na.tolist(), nb.tolist()))
             yield t.filter(pa.array(np.array(most, np.int64) >= needed(na, nb, percent))).select(["a", "b"])
 
     return run
@@ -297,11 +319,12 @@ def _pair_batch(a, b) -> pa.RecordBatch:
 
 
 def _from_small(percent: int):
-    """Pairs of different components in shards of one leaf, sorted by token."""
+    """Pairs of different components in shards of one leaf, sorted by token, that their parities allow."""
     def run(batches):
         for t in _whole_groups(batches, ["token"]):
             doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
             leads = t.column("leads").to_numpy(zero_copy_only=False)
+            odd = list(map(odd_groups, t.column("parity").to_pylist()))
             cuts = _groups(t, ["token"])
             size = np.diff(cuts)
             found = []
@@ -312,7 +335,10 @@ def _from_small(percent: int):
                 swap = (n[i] > n[j]) | ((n[i] == n[j]) & (doc[i] > doc[j]))
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 # The smaller of two documents over the threshold meets the other early.
-                keep = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & leads[i]
+                keep = np.flatnonzero((comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & leads[i])
+                least = needed(n[i[keep]], n[j[keep]], percent)
+                fits = [bound(odd[a], odd[b], int(n[a]), int(n[b])) >= m for a, b, m in zip(i[keep], j[keep], least, strict=True)]
+                keep = keep[np.array(fits, bool)]
                 found.append(np.stack((doc[i[keep]], doc[j[keep]])))
             if found:
                 yield _pair_batch(*np.unique(np.concatenate(found, axis=1), axis=1))
@@ -336,20 +362,43 @@ def _neighbours(percent: int):
     return run
 
 
-def _from_large(percent: int):
-    """Pairs of different components from the trees of pairs of blocks, sorted by (token, low, high)."""
+def _from_large(percent: int, most: int | None):
+    """Pairs of different components from the trees of pairs of blocks, sorted by (token, low, high).
+
+    With ``most``, each component gives that many pairs of a pair of blocks, those with the largest bounds.
+    """
     keys = ["token", "low", "high"]
 
+    def best(i: np.ndarray, j: np.ndarray, over: np.ndarray, comp: np.ndarray) -> np.ndarray:
+        order = np.argsort(-over, kind="stable")
+        keep = np.zeros(len(i), bool)
+        for side in (i, j):
+            own = comp[side[order]]
+            by = np.argsort(own, kind="stable")
+            first = np.concatenate(([0], np.flatnonzero(own[by][1:] != own[by][:-1]) + 1)) if len(own) else np.zeros(0, np.int64)
+            place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+            keep[order[by[place < most]]] = True
+        return keep
+
     def run(batches):
         for t in _whole_groups(batches, keys):
             doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
             left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("is_low", "is_high"))
-            points, cuts = t.column("point").to_pylist(), _groups(t, keys)
+            points, odd, cuts = t.column("point").to_pylist(), list(map(odd_groups, t.column("parity").to_pylist())), _groups(t, keys)
             found = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 i, j = tree_join(points[a:b], n[a:b], np.flatnonzero(left[a:b]), np.flatnonzero(right[a:b]), percent)
-                keep = comp[a + i] != comp[a + j]
-                found.append(np.stack((doc[a + i[keep]], doc[a + j[keep]])))
+                i, j = a + i, a + j
+                keep = comp[i] != comp[j]
+                i, j = i[keep], j[keep]
+                allowed = np.fromiter((bound(odd[x], odd[y], int(n[x]), int(n[y])) for x, y in zip(i, j, strict=True)), np.int64, len(i))
+                over = allowed - needed(n[i], n[j], percent)
+                keep = over >= 0
+                i, j, over = i[keep], j[keep], over[keep]
+                if most is not None:
+                    keep = best(i, j, over, comp)
+                    i, j = i[keep], j[keep]
+                found.append(np.stack((doc[i], doc[j])))
             low, high = np.sort(np.concatenate(found, axis=1), axis=0)
             yield _pair_batch(*np.unique(np.stack((low, high)), axis=1))
 
@@ -400,7 +449,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, size))
     profiles = stored(docs.mapInArrow(
-        _profiles(size, percent, classes), "doc_id long, n long, digest binary, point binary, shards array<long>"), "profiles")
+        _profiles(size, percent, classes), "doc_id long, n long, digest binary, point binary, parity binary, shards array<long>"), "profiles")
 
     nodes = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
@@ -413,7 +462,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
         "token", "doc_id", (2 * F.col("n") + F.when(F.col("at") < F.col("lead"), 1).otherwise(0)).alias("n_and_lead"))
     shared = stored(tokens.repartition("token").sortWithinPartitions("token", "n_and_lead", "doc_id").mapInArrow(_shared, _SHARED), "shared")
 
-    points = firsts.select("doc_id", "n", "point")
+    parities = firsts.select("doc_id", "n", "parity")
     near = (
         shared.filter(f"before IS NOT NULL AND before <> doc_id AND 100 * n_before >= {percent} * n")
         .groupBy("doc_id", "before").agg(F.count("*").alias("c"))
@@ -421,11 +470,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     )
     both = (
         near.select(F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")).distinct()
-        .join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
+        .join(parities.toDF("a", "na", "pa"), "a").join(parities.toDF("b", "nb", "pb"), "b")
     )
     links = _links(docs, both.mapInArrow(_bounded(percent), "a long, b long"), size, percent)
 
-    with_points = lambda pairs: pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
+    with_parities = lambda pairs: pairs.join(parities.toDF("a", "na", "pa"), "a").join(parities.toDF("b", "nb", "pb"), "b")
     pair, known = "a long, b long", ["token", "doc_id", "n", "leads"]
 
     def contracted(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -440,8 +489,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
 
     found = components(links)
     shared, _ = contracted(shared, found)
-    small = shared.filter(F.col("n_rows") <= LEAF).repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), pair).distinct()
-    found = merged(found, _links(docs, with_points(small).mapInArrow(_bounded(percent), pair), size, percent))
+    small = shared.filter(F.col("n_rows") <= LEAF).join(parities.select("doc_id", "parity"), "doc_id").select("token", "doc_id", "n", "leads", "component", "parity")
+    small = small.repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), pair).distinct()
+    found = merged(found, _links(docs, small, size, percent))
 
     large, shards = contracted(shared.filter(F.col("n_rows") > LEAF), found)
     tested = None
@@ -456,15 +506,20 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
             ends.groupBy("doc_id").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.*").distinct(), "picked")
         if picked.isEmpty():
             break
-        found = merged(found, _links(docs, with_points(picked).mapInArrow(_bounded(percent), pair), size, percent))
+        found = merged(found, _links(docs, with_parities(picked).mapInArrow(_bounded(percent), pair), size, percent))
         tested = picked if tested is None else tested.union(picked)
         large, shards = contracted(large, found)
-    if not shards.isEmpty():
-        blocks = _blocked(large.drop("n_rows"), shards).join(points.select("doc_id", "point"), "doc_id").select(
-            "token", "low", "high", "is_low", "is_high", "doc_id", "n", "component", "point")
-        pairs = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_from_large(percent), pair).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    for most in (FIRST_PAIRS, None):
+        if shards.isEmpty():
+            break
+        blocks = _blocked(large.drop("n_rows"), shards).join(firsts.select("doc_id", "point", "parity"), "doc_id").select(
+            "token", "low", "high", "is_low", "is_high", "doc_id", "n", "component", "point", "parity")
+        pairs = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_from_large(percent, most), pair).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = merged(found, _links(docs, pairs, size, percent))
+        tested = pairs if tested is None else tested.union(pairs)
+        if most is not None:
+            large, shards = contracted(large, found)
 
     whole = merged(found, copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     return profiles.select("doc_id", F.col("n").alias("n_shingles")).join(

@@ -1,11 +1,16 @@
-"""Hashes of words and word windows of many texts at once.
+"""Hashes of words, word windows and stretches of bytes, of many texts at once.
 
-Words are runs of bytes other than ASCII space, in A-Z lower-cased.  A word's hash is a
-polynomial over random byte values modulo 2^64, taken as a difference of running sums.
+Words are runs of bytes other than ASCII space, in A-Z lower-cased.  Words of up to 16 bytes are hashed by
+mixing their bytes in two steps of eight, which tells all words of up to eight bytes and one length apart; longer ones by
+64 bits of a BLAKE2 digest.  Long texts are cut into parts at spaces, so that memory beyond the
+hashes doesn't grow with the text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -14,6 +19,9 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = np.random.default_rng(7).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
+#: Bytes that are cut into words at once.
+PART = 1 << 20
+_ALL = np.uint64(2**64 - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,17 +50,42 @@ def spans(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mixed((sums[stop] - sums[start]) * _powers(len(sums))[0][start] + (stop - start).astype(np.uint64))
 
 
+def _hashes(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``data[start:stop]``; eight bytes follow the last one."""
+    size = stop - start
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    short = np.minimum(size, 16).astype(np.uint64)
+    kept = lambda n: np.where(n >= 8, _ALL, (np.uint64(1) << (np.minimum(n, 7) * np.uint64(8))) - np.uint64(1))
+    second = np.where(short > 8, short - np.uint64(8), np.uint64(0))
+    tail = lanes[np.minimum(start + 8, len(lanes) - 1)] & kept(second)
+    h = mixed(tail * _PLACE[0] + size.astype(np.uint64))
+    h = mixed((h ^ (lanes[start] & kept(short))) * _PLACE[1])
+    for i in np.flatnonzero(size > 16):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : stop[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def hashed_words(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes in order, and for each text its bounds in them (one more than texts).
 
-    ``between`` marks the bytes that separate words.
+    ``between`` marks the bytes that separate words; an ASCII space is one of them.
     """
     parts = [(t or "").encode().lower() for t in texts]
-    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    edge = np.diff(np.concatenate(([True], between[data])).astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return spans(running(data), start, stop), np.searchsorted(start, firsts)
+    data = b" ".join(parts) if len(parts) != 1 else parts[0]
+    del parts
+    border = re.compile(b"[" + re.escape(bytes(np.flatnonzero(between).astype(np.uint8))) + b"]")
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        cut = border.search(data, at + PART)
+        end = len(data) if cut is None else cut.end()
+        part = data[at:end] + b"        "
+        edge = np.diff(np.concatenate(([True], between[np.frombuffer(part, np.uint8)])).astype(np.int8))
+        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        hashes.append(_hashes(part, start, stop))
+        starts.append(start + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), firsts)
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

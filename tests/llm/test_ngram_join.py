@@ -123,10 +123,32 @@ def test_tree_join_loses_no_pair():
     got = set(zip(*(x.tolist() for x in ngram_join.tree_join(raw, n, left, right, 75)), strict=True))
     for i in left:
         for j in right:
-            if min(n[i], n[j]) * 100 >= 75 * max(n[i], n[j]) and ngram_join.bound(raw[i], raw[j]) >= ngram_join.needed(n[i], n[j], 75):
+            groups = min(len(points[i]), len(points[j]))
+            both = np.minimum(ngram_join.folded(points[i], groups), ngram_join.folded(points[j], groups)).sum()
+            if min(n[i], n[j]) * 100 >= 75 * max(n[i], n[j]) and both >= ngram_join.needed(n[i], n[j], 75):
                 assert (i, j) in got
 
 
+def test_parities_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = set(rng.integers(0, 300, rng.integers(1, 200)).tolist()), set(rng.integers(0, 300, rng.integers(1, 200)).tolist())
+        sides = []
+        for x in (a, b):
+            groups = 64 << rng.integers(0, 3)
+            odd = np.bincount([v * 7919 % groups for v in x], minlength=groups) & 1
+            sides.append(ngram_join.odd_groups(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()))
+        assert ngram_join.bound(*sides, len(a), len(b)) >= len(a & b)
+
+
+def test_words_with_equal_polynomial_hashes_are_not_linked(spark):
+    turns = [0]
+    for _ in range(10):
+        turns += [1 - t for t in turns]
+    a, b = ("".join("ab"[t ^ flip] for t in turns) for flip in (0, 1))
+    assert result(ngram_join.join(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"))) == {1: (1, 1), 2: (1, 2)}
+
+
 @pytest.mark.parametrize("share", [500_000, 40])
 def test_components(spark, monkeypatch, share):
     monkeypatch.setattr("strideline.llm.components.SHARE", share)
