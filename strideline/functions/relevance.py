@@ -2,24 +2,23 @@
 
 The long form ``(keys, feature, value)`` has as many features as the catalogue names, at
 most a few thousand, so statistics per feature are small enough to broadcast.  The rows of
-one feature are not: ranks are taken from value counts cut into slices.
+one feature are not: ranks are taken from value counts sorted into ranges.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.features import parse_feature_names
-from strideline.functions.scalar import known, ln_factorial, ratio, two_sided_normal
+from strideline.functions.scalar import known, ratio, two_sided_normal
 from strideline.materialise import cut
 from strideline.operators.signal import exact_quantiles
-from strideline.ordering import attach_stats, hierarchical_offsets
-
-RANK_PARTS = 64
-RANK_SUBPARTS = 1024
 
 
 def quoted(name: str) -> Column:
@@ -84,36 +83,6 @@ def impute_wide(wide: DataFrame, values: dict[str, dict[str, float]]) -> DataFra
     return wide.select(*[column(c) if c in values else quoted(c) for c in wide.columns])
 
 
-def value_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, out: str = "below") -> DataFrame:
-    """Number of rows with a smaller value, for every distinct value of each group.
-
-    The values of a group are cut at approximate quantiles and each piece again into equal
-    widths, so no window holds a whole group; exact counts come from running totals over
-    the pieces.
-    """
-    keys = list(keys)
-    cuts = [i / RANK_PARTS for i in range(RANK_PARTS + 1)]
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10_000).alias("_cuts"))
-    placed = attach_stats(counts, bounds, keys)
-    v = F.col(value)
-    part = F.greatest(F.lit(1), F.size(F.filter("_cuts", lambda b: b < v)))
-    placed = placed.withColumn("_part", part.cast("bigint"))
-    low = F.get("_cuts", (F.col("_part") - 1).cast("int"))
-    high = F.get("_cuts", F.least(F.col("_part"), F.lit(RANK_PARTS)).cast("int"))
-    share = F.coalesce(ratio(v - low, high - low), F.lit(0.0))
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-    placed = placed.withColumn("_sub", F.floor(clipped * (RANK_SUBPARTS - 1)).cast("bigint"))
-    sizes = placed.groupBy(*keys, "_part", "_sub").agg(F.sum(weight).alias("_rows"))
-    offsets = hierarchical_offsets(sizes, [["_part"], ["_sub"]], "_rows", "_offset", within=keys)
-    inside = Window.partitionBy(*keys, "_part", "_sub").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("_before", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(offsets.select(*keys, "_part", "_sub", "_offset"), on=keys + ["_part", "_sub"], how="inner")
-        .withColumn(out, F.col("_offset") + F.col("_before"))
-        .select(*counts.columns, out)
-    )
-
-
 def class_counts(long: DataFrame, label: str) -> DataFrame:
     """Rows of class 0 and 1 per distinct value of each feature."""
     hit = F.when(F.col(label) == 1, 1).otherwise(0)
@@ -126,20 +95,55 @@ def class_counts(long: DataFrame, label: str) -> DataFrame:
     )
 
 
+def _rank_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts sorted by (feature, value) -> one row per feature: rows, rows of class 1, their rank sum within the piece, ties.
+
+    Batches stream through; a feature's sums are carried over the border of two batches.
+    """
+    part = TaskContext.get().partitionId()
+    held: list | None = None
+
+    def row(sums: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (sums[0], part, *sums[1:])], ["feature", "part", "rows", "n1", "r1", "ties"])
+
+    for batch in batches:
+        features = batch.column("feature").to_numpy(zero_copy_only=False)
+        rows, n1 = (batch.column(c).to_numpy().astype(np.float64) for c in ("rows", "n1"))
+        cuts = np.flatnonzero(np.concatenate(([True], features[1:] != features[:-1], [True]))) if len(features) else np.zeros(1, int)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if held is not None and held[0] != features[i]:
+                yield row(held)
+                held = None
+            name, before, ones, ranks, ties = held or [features[i], 0.0, 0.0, 0.0, 0.0]
+            t = rows[i:j]
+            rank = before + np.cumsum(t) - t + (t + 1) / 2
+            held = [name, before + t.sum(), ones + n1[i:j].sum(), ranks + (n1[i:j] * rank).sum(), ties + (t * t * t - t).sum()]
+    if held is not None:
+        yield row(held)
+
+
+def rank_sums(counts: DataFrame) -> DataFrame:
+    """``(feature, _r1, _n1, _n0, _ties)`` from rows per distinct value and class.
+
+    Counts are sorted into ranges once.  A range gives one row per feature, and the ranks of a later range
+    grow by all rows of the ranges before it: rank sum plus rows of class 1 times that offset.
+    """
+    ranged = counts.select("feature", "value", "rows", "n1").repartitionByRange("feature", "value").sortWithinPartitions("feature", "value")
+    pieces = ranged.mapInArrow(_rank_pieces, "feature string, part long, rows double, n1 double, r1 double, ties double")
+    # One row for each feature and range.
+    before = F.sum("rows").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = pieces.withColumn("_before", F.coalesce(before, F.lit(0.0)))
+    return placed.groupBy("feature").agg(
+        F.sum(F.col("r1") + F.col("n1") * F.col("_before")).alias("_r1"), F.sum("n1").alias("_n1"),
+        F.sum(F.col("rows") - F.col("n1")).alias("_n0"), F.sum("ties").alias("_ties"))
+
+
 def real_feature_pvalues(counts: DataFrame) -> DataFrame:
     """Mann-Whitney test of each feature between the two classes.
 
     Average ranks for ties, tie-corrected deviation, continuity correction, two sided.
     """
-    ranked = value_ranks(counts, ["feature"], "value", "rows")
-    rank = F.col("below") + (F.col("rows") + 1) / 2
-    t = F.col("rows").cast("double")
-    sums = ranked.groupBy("feature").agg(
-        F.sum(F.col("n1") * rank).alias("_r1"),
-        F.sum("n1").cast("double").alias("_n1"),
-        F.sum("n0").cast("double").alias("_n0"),
-        F.sum(t * t * t - t).alias("_ties"),
-    )
+    sums = rank_sums(counts)
     n1, n0 = F.col("_n1"), F.col("_n0")
     n = n1 + n0
     u = F.col("_r1") - n1 * (n1 + 1) / 2
@@ -149,45 +153,63 @@ def real_feature_pvalues(counts: DataFrame) -> DataFrame:
     return sums.select("feature", u.alias("statistic"), p.alias("p_value"))
 
 
-FISHER_DEVIATIONS = 40
+#: Tables whose weights are multiplied up at once.
+WALK = 1 << 14
 
 
-def binary_feature_pvalues(counts: DataFrame) -> DataFrame:
-    """Fisher's exact test of features with two values, two sided.
+def _weights(x: int, step: int, r: int, c: int, n: int) -> Iterator[np.ndarray]:
+    """Weights of the tables next to ``x``, outwards, relative to that of ``x``, until they are zero.
 
-    Sums the tables that are not more likely than the observed one.  Tables further than
-    ``FISHER_DEVIATIONS`` from the expected one have a probability of zero in double
-    precision and are not listed.
+    The weight of a table is that of its neighbour times a ratio of the four counts.
     """
-    ends = counts.groupBy("feature").agg(
-        F.max_by("n1", "value").cast("bigint").alias("_k"),
-        F.max_by("rows", "value").alias("_r"),
-        F.sum("n1").alias("_c"),
-        F.sum("rows").alias("_n"),
-    )
-    r, c, n, k = (F.col(x) for x in ("_r", "_c", "_n", "_k"))
-    expected = r * c / n
-    deviation = F.sqrt(r * c / n * (n - r) / n * ratio(n - c, F.greatest(n - 1, F.lit(1))))
-    reach = F.ceil(deviation * FISHER_DEVIATIONS + FISHER_DEVIATIONS)
-    low = F.greatest(F.lit(0).cast("bigint"), r + c - n, F.floor(expected - reach))
-    high = F.least(r, c, F.ceil(expected + reach))
-    fixed = (
-        ln_factorial(r) + ln_factorial(n - r) + ln_factorial(c) + ln_factorial(n - c) - ln_factorial(n)
-    )
-    staged = ends.withColumn("_fixed", fixed)
+    weight, last = 1.0, min(r, c) if step > 0 else max(0, r + c - n)
+    while x != last and weight > 0:
+        size = min(WALK, abs(last - x))
+        at = x + step * np.arange(size, dtype=np.float64)
+        up = (r - at) * (c - at) / ((at + 1) * (n - r - c + at + 1)) if step > 0 else at * (n - r - c + at) / ((r - at + 1) * (c - at + 1))
+        chunk = weight * np.cumprod(up)
+        yield chunk
+        weight, x = float(chunk[-1]), x + step * size
+
+
+def fisher_two_sided(k: int, r: int, c: int, n: int) -> float:
+    """Share of the tables with these margins that are not more likely than the one with ``k``."""
+    low, high = max(0, r + c - n), min(r, c)
+    mode = min(high, max(low, (r + 1) * (c + 1) // (n + 2)))
+    step = 1 if k >= mode else -1
+    observed, left = 1.0, abs(k - mode)
+    for chunk in _weights(mode, step, r, c, n) if left else ():
+        observed = float(chunk[min(left, len(chunk)) - 1])
+        left -= len(chunk)
+        if left <= 0:
+            break
+    else:
+        observed = 0.0 if left > 0 else observed
+    limit, tail, total = observed * (1 + 1e-7), float(1.0 <= observed * (1 + 1e-7)), 1.0
+    for way in (1, -1):
+        for chunk in _weights(mode, way, r, c, n):
+            total += float(chunk.sum())
+            tail += float(chunk[chunk <= limit].sum())
+    return min(1.0, tail / total)
+
+
+def _fisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p = [fisher_two_sided(*t) for t in zip(*(batch.column(c).to_pylist() for c in ("k", "r", "c", "n")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(p, pa.float64())], ["feature", "p_value"])
 
-    def log_p(x: Column) -> Column:
-        return F.col("_fixed") - (
-            ln_factorial(x) + ln_factorial(r - x) + ln_factorial(c - x) + ln_factorial(n - r - c + x)
-        )
 
-    tables = (
-        staged.withColumn("_observed", log_p(k))
-        .withColumn("_x", F.explode(F.sequence(low, F.greatest(low, high))))
-        .withColumn("_lp", log_p(F.col("_x")))
-    )
-    p = F.sum(F.when(F.col("_lp") <= F.col("_observed") + 1e-7, F.exp("_lp")).otherwise(0.0))
-    return tables.groupBy("feature").agg(F.least(F.lit(1.0), p).alias("p_value"))
+def binary_feature_pvalues(counts: DataFrame) -> DataFrame:
+    """Fisher's exact test of features with two values, two sided.
+
+    Sums the tables that are not more likely than the observed one, walking outwards from the likeliest table
+    until a table has no weight in double precision.  One row per feature; time grows with the
+    square root of the rows, memory doesn't grow.
+    """
+    tables = counts.groupBy("feature").agg(
+        F.max_by("n1", "value").cast("bigint").alias("k"), F.max_by("rows", "value").cast("bigint").alias("r"),
+        F.sum("n1").cast("bigint").alias("c"), F.sum("rows").cast("bigint").alias("n"))
+    return tables.mapInArrow(_fisher, "feature string, p_value double")
 
 
 def relevance_table(long: DataFrame, label: str, fdr_level: float = 0.01) -> DataFrame:

@@ -36,16 +36,3 @@ def two_sided_normal(z: Column) -> Column:
     for c in reversed(ERFC_FIT[:-1]):
         poly = F.lit(c) + t * poly
     return t * F.exp(-x * x + poly)
-
-
-def ln_factorial(n: Column) -> Column:
-    """ln(n!) by Stirling's series, shifted by eight so that small n are exact enough."""
-    m = n.cast("double") + 9.0
-    series = (
-        (m - 0.5) * F.ln(m) - m + 0.5 * F.ln(F.lit(2.0) * F.pi())
-        + 1.0 / (12.0 * m) - 1.0 / (360.0 * m * m * m) + 1.0 / (1260.0 * m * m * m * m * m)
-    )
-    shift = F.lit(0.0)
-    for j in range(1, 9):
-        shift = shift + F.ln(n.cast("double") + float(j))
-    return series - shift

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations_with_replacement
 from math import exp
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,13 +17,19 @@ from strideline.ordering import SLICE_ROWS, attach_stats, dense_index, int_div,
 
 REDUCED = "acceleration_abs"
 
-# Quartile and finer break points of the standard normal distribution.
-SAX_BREAKPOINTS = {
-    3: [-0.43, 0.43],
-    4: [-0.67, 0.0, 0.67],
-    5: [-0.84, -0.25, 0.25, 0.84],
-    6: [-0.97, -0.43, 0.0, 0.43, 0.97],
-}
+#: Letters of symbolic words.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def sax_breakpoints(alphabet: int, digits: int | None = 2) -> list[float]:
+    """Quantiles of the standard normal distribution that cut it into equally likely letters.
+
+    Published tables give two decimals; without ``digits`` the full precision is kept.
+    """
+    if not 2 <= alphabet <= len(LETTERS):
+        raise ValueError(f"an alphabet has 2 to {len(LETTERS)} letters")
+    cuts = [NormalDist().inv_cdf(i / alphabet) for i in range(1, alphabet)]
+    return cuts if digits is None else [round(c, digits) for c in cuts]
 
 
 def _total(columns: list[Column]) -> Column:
@@ -104,17 +111,66 @@ def _direction_three(cov: DataFrame) -> DataFrame:
     })
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _direction_any(cov: DataFrame, k: int, sweeps: int = 12) -> DataFrame:
+    """Eigenvector of the largest eigenvalue of a symmetric matrix of any size, by cyclic Jacobi rotations.
+
+    The matrix and the product of the rotations are flat arrays; every rotation clears one pair of elements off
+    the diagonal.  The squares off the diagonal fall quadratically with the sweeps.
+    """
+    pairs = [(p, q) for p in range(k) for q in range(p + 1, k)]
+    cell = lambda a, i, j: F.get(a, i * k + j)
+    places = F.sequence(F.lit(0), F.lit(k * k - 1))
+    rows = F.array(*[F.lit(p) for p, _ in pairs])
+    columns = F.array(*[F.lit(q) for _, q in pairs])
+
+    def turned(a: Column, r: Column, by_column: bool) -> Column:
+        """``a`` with columns (or rows) p and q replaced by their turned sums."""
+        def element(e: Column) -> Column:
+            i, j = F.floor(e / k).cast("int"), (e % k).cast("int")
+            at, other = (j, i) if by_column else (i, j)
+            one = cell(a, other, r["p"]) if by_column else cell(a, r["p"], other)
+            two = cell(a, other, r["q"]) if by_column else cell(a, r["q"], other)
+            return F.when(at == r["p"], r["c"] * one - r["s"] * two).when(at == r["q"], r["s"] * one + r["c"] * two).otherwise(F.get(a, e))
+
+        return F.transform(places, element)
+
+    def rotation(state: Column, step: Column) -> Column:
+        p, q = F.get(rows, step % len(pairs)), F.get(columns, step % len(pairs))
+        a = state["a"]
+        apq, gap = cell(a, p, q), cell(a, q, q) - cell(a, p, p)
+        # The smaller root of t^2 + 2 t gap / (2 apq) - 1 = 0, written without a division by zero.
+        sign = F.when(gap * apq < 0, -1.0).otherwise(1.0)
+        t = F.when(apq == 0, 0.0).otherwise(sign * 2 * F.abs(apq) / (F.abs(gap) + F.sqrt(gap * gap + 4 * apq * apq)))
+        angle = _let(t, lambda x: F.struct(p.alias("p"), q.alias("q"), (1.0 / F.sqrt(1.0 + x * x)).alias("c"), (x / F.sqrt(1.0 + x * x)).alias("s")))
+        return _let(angle, lambda r: F.struct(
+            _let(turned(a, r, True), lambda half: turned(half, r, False)).alias("a"), turned(state["v"], r, True).alias("v")))
+
+    matrix = F.array(*[F.col(f"_c{min(i, j)}{max(i, j)}").cast("double") for i in range(k) for j in range(k)])
+    unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i in range(k) for j in range(k)])
+    steps = F.sequence(F.lit(0), F.lit(sweeps * len(pairs) - 1))
+    solved = cov.withColumn("_e", F.aggregate(steps, F.struct(matrix.alias("a"), unit.alias("v")), rotation))
+    top = F.greatest(*[F.struct(F.get("_e.a", F.lit(i * k + i)).alias("x"), F.lit(-i).alias("i")) for i in range(k)])
+    solved = solved.withColumn("_top", -top["i"])
+    return solved.withColumns({f"_v{i}": F.get("_e.v", F.lit(i * k) + F.col("_top")) for i in range(k)})
+
+
 def principal_direction(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
-    """Loadings ``_w0.._wk`` of the first principal component, per key.
+    """Loadings ``_w0.._wk`` of the first principal component, per key, for two to ten axes.
 
     Signs are fixed so that the largest absolute loading is positive.
     """
-    if len(columns) not in (2, 3):
-        raise ValueError("closed form covers two or three axes")
+    if not 2 <= len(columns) <= 10:
+        raise ValueError("between two and ten axes")
     terms = covariance_terms(columns)
     named = {pair: f"_c{columns.index(pair[0])}{columns.index(pair[1])}" for pair in terms}
     cov = df.groupBy(*keys).agg(*[terms[p].alias(named[p]) for p in terms])
-    raw = _direction_two(cov) if len(columns) == 2 else _direction_three(cov)
+    closed = {2: _direction_two, 3: _direction_three}.get(len(columns))
+    raw = closed(cov) if closed else _direction_any(cov, len(columns))
     v = [F.col(f"_v{i}") for i in range(len(columns))]
     largest = F.greatest(*[F.struct(F.abs(x).alias("a"), F.signum(x).alias("s")) for x in v])
     scale = F.sqrt(_total([x * x for x in v])) * F.when(largest["s"] < 0, -1.0).otherwise(1.0)
@@ -180,67 +236,65 @@ def min_max_scale(df: DataFrame, columns: list[str], keys: list[str] = ()) -> Da
     return joined.withColumns(scaled).select(*df.columns)
 
 
+#: Rows of a range that are ranked value by value, and parts a larger range is cut into.
+RANKED_ROWS, RANGE_PARTS = 1 << 16, 1 << 12
+
+
+def _magnitude_part(x: Column) -> Column:
+    """Whole numbers that grow with x, two for each power of two."""
+    size = F.floor(2.0 * F.least(F.log2(F.abs(x)), F.lit(1025.0))) + 2200
+    return F.when(x == 0, 0).otherwise(F.signum(x) * size).cast("bigint")
+
+
 def exact_quantiles(
-    df: DataFrame, column: str, probabilities: list[float], keys: list[str] = (), accuracy: int = 1_000_000
+    df: DataFrame, column: str, probabilities: list[float], keys: list[str] = (), ranked_rows: int = RANKED_ROWS
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles ``q0..qn`` of an unbounded group.
-
-    The built-in exact percentile holds every distinct value of a group in one task.
-    Here a mergeable sketch brackets each quantile within a few ranks per ``accuracy``
-    rows, one aggregation counts the rows below each bracket, and only the distinct
-    values inside the bracket are ranked.  Groups of at most ``accuracy`` rows use their
-    whole range as the bracket.  A bracket that misses its ranks fails the query instead
-    of returning a wrong value.
+    """Exact linear-interpolated quantiles ``q0..qn`` of groups of any size, by counts alone.
+
+    A quantile lies between two ranks.  Each rank has a range of values that holds it, at first
+    that of the whole group.  A pass counts the rows in parts of the range and keeps the part with the rank:
+    parts of magnitude at first, then equal parts between the smallest and largest value in the range.
+    A range of at most ``ranked_rows`` rows is counted value by value, which ends the search.  Every pass cuts a range to
+    about a four-thousandth and no two doubles are closer than a 2^-52nd, so six passes do for any group.
     """
     keys = list(keys)
     rows = df.where(known(column).isNotNull()).select(*keys, known(column).alias("_x"))
-    margin = 4.0 / accuracy
-    bounds = [min(1.0, max(0.0, p + s * margin)) for p in probabilities for s in (-1, 1)]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_x", bounds, accuracy).alias("_b"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_x").alias("_lo"),
-        F.max("_x").alias("_hi"),
-    )
-    small = F.col("_n") <= accuracy
-    brackets = sketch.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("q"),
-                    F.when(small, F.col("_lo")).otherwise(F.col("_b")[2 * i]).alias("low"),
-                    F.when(small, F.col("_hi")).otherwise(F.col("_b")[2 * i + 1]).alias("high"),
-                    (F.lit(p) * (F.col("_n") - 1)).alias("at"),
-                )
-                for i, p in enumerate(probabilities)
-            ]
-        ).alias("_brackets"),
-    )
-    joined = attach_stats(rows, brackets, keys)
-    counted = joined.select(*keys, "_x", F.explode("_brackets").alias("_k")).select(
-        *keys, "_x", "_k.q", "_k.low", "_k.high", "_k.at"
-    )
-    # Rows below the bracket collapse to one group, rows above it are not needed.
-    inside = F.when(F.col("_x") >= F.col("low"), F.col("_x"))
-    values = (
-        counted.where(F.col("_x") <= F.col("high"))
-        .groupBy(*keys, "q", "at", inside.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_m"))
-    )
-    w = Window.partitionBy(*keys, "q").orderBy(F.col("_v").asc_nulls_first())
-    ranked = values.withColumn("_upto", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    below, above = F.floor("at"), F.ceil("at")
-    found = ranked.groupBy(*keys, "q", "at").agg(
-        F.min(F.when(F.col("_upto") > below, F.struct("_upto", "_v"))).alias("_f"),
-        F.min(F.when(F.col("_upto") > above, F.struct("_upto", "_v"))).alias("_c"),
-    )
-    lower, upper = F.col("_f._v"), F.col("_c._v")
-    exact = F.when(
-        lower.isNull() | upper.isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))
-    ).otherwise(lower + (upper - lower) * (F.col("at") - F.floor("at")))
-    wide = [F.max(F.when(F.col("q") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probabilities))]
-    return found.withColumn("_q", exact).groupBy(*keys).agg(*wide)
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    wanted = [
+        F.struct(F.lit(i).alias("q"), F.lit(up).alias("up"), (F.ceil if up else F.floor)(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("rank"))
+        for i, p in enumerate(probabilities) for up in (False, True)
+    ]
+    targets = ends.select(*keys, "_n", "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("_n").alias("inside"), F.explode(F.array(*wanted)).alias("_w"))
+    targets = targets.select(*keys, "_n", "_w.*", "low", "high", "below", "inside")
+    target, first = [*keys, "q", "up"], True
+    targets = cut(targets)
+    while not targets.where("low < high").isEmpty():
+        # Equal ranges of a group are counted once: most ranks share theirs until the last pass.
+        ranges = targets.where("low < high").select(*keys, "low", "high", "inside").distinct()
+        packed = ranges.groupBy(*keys).agg(F.collect_set(F.struct("low", "high", "inside")).alias("_r"))
+        near = attach_stats(rows, packed, keys).select(*keys, "_x", F.explode("_r").alias("_r")).where("_x >= _r.low AND _x <= _r.high")
+        x, low, high = F.col("_x"), F.col("_r.low"), F.col("_r.high")
+        part = _magnitude_part(x) if first else F.floor((x - low) / (high - low) * (RANGE_PARTS - 1)).cast("bigint")
+        few = F.col("_r.inside") <= ranked_rows
+        counts = near.groupBy(*keys, F.col("_r.low").alias("low"), F.col("_r.high").alias("high"), F.when(few, x).alias("_v"), F.when(~few, part).alias("_part")).agg(
+            F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+        # A window holds the parts of a range, or its values where they are few.
+        upto = F.sum("_m").over(Window.partitionBy(*keys, "low", "high").orderBy("_least").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_m"))
+        open_ = targets.where("low < high").withColumn("_at", F.col("rank") - F.col("below"))
+        same = [open_[c].eqNullSafe(counts[c]) for c in [*keys, "low", "high"]]
+        hit = reduce(lambda p, q: p & q, same) & (counts["_before"] <= open_["_at"]) & (open_["_at"] < counts["_upto"])
+        moved = open_.join(counts, hit).select(
+            *(open_[c] for c in [*keys, "_n", "q", "up", "rank"]), counts["_least"].alias("low"), counts["_most"].alias("high"),
+            (open_["below"] + counts["_before"]).alias("below"), counts["_m"].alias("inside"))
+        targets = cut(targets.where("low >= high").unionByName(moved))
+        first = False
+    per = targets.groupBy(*keys, "q").agg(
+        F.first("_n").alias("_n"), F.max(F.when(~F.col("up"), F.col("low"))).alias("_f"), F.max(F.when(F.col("up"), F.col("low"))).alias("_c"))
+    chance = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("q"))
+    at = chance * (F.col("_n") - 1)
+    exact = F.col("_f") + (F.col("_c") - F.col("_f")) * (at - F.floor(at))
+    return per.withColumn("_q", exact).groupBy(*keys).agg(*[F.max(F.when(F.col("q") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probabilities))])
 
 
 def trim_quantile(df: DataFrame, columns: list[str], quantile: float = 0.99, keys: list[str] = ()) -> DataFrame:
@@ -334,10 +388,10 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 def sax_words(
     df: DataFrame, keys: list[str], pos: str, column: str, frame: int, word: int, alphabet: int = 4,
-    slice_rows: int = SLICE_ROWS,
+    digits: int | None = 2,
 ) -> DataFrame:
     """Symbolic words: z-normalise the series, average frames, map to letters, join ``word`` letters."""
-    breaks = SAX_BREAKPOINTS[alphabet]
+    breaks = sax_breakpoints(alphabet, digits)
     scaled, _ = znormalize(df, [column], keys)
     frames = (
         scaled.withColumn("_frame", int_div(pos, frame))
@@ -345,7 +399,7 @@ def sax_words(
         .where(F.col("_paa").isNotNull())
     )
     level = _total([F.when(F.col("_paa") >= b, 1).otherwise(0) for b in breaks])
-    letters = F.array(*[F.lit(chr(ord("a") + i)) for i in range(alphabet)])
+    letters = F.array(*map(F.lit, LETTERS[:alphabet]))
     lettered = frames.withColumn("_letter", F.element_at(letters, level + 1))
     return (
         lettered.withColumn("word_no", int_div("_frame", word))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideline.materialise import cut
+
 # Columns of a readings file in order.
 READING_COLUMNS = [
     "time", "acceleration_x", "acceleration_y", "acceleration_z", "gyroscope_x", "gyroscope_y", "gyroscope_z",
@@ -17,6 +19,8 @@ READING_COLUMNS = [
 ]
 # Place and name of the labels in a label file.
 LABEL_COLUMNS = {1: "coarse_label", 2: "fine_label", 3: "road_label"}
+#: File splits up to this number are broadcast, about 100 bytes each.
+MOST_SPLITS = 1 << 20
 
 
 def _raw(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
@@ -31,21 +35,29 @@ def _raw(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
     )
 
 
-def _with_positions(rows: DataFrame, series: list[str]) -> DataFrame:
-    """0-based row number per series in file order, without sorting the rows.
+def _with_positions(rows: DataFrame, series: list[str], use_rows: tuple[int, int] | None = None) -> DataFrame:
+    """0-based row number per series in file order, without moving the rows.
 
     Rows of one file split are read in order, so the position is the number of rows in the
-    splits before it plus the distance to the first row of the split.
+    splits before it plus the distance to the first row of the split.  One pass counts the rows of each
+    split; the table of splits, one row per 128 MB of text or so, is broadcast if its counted size allows.
+    With ``use_rows`` only splits that reach into the range stay in it, and rows of the others end at the join.
     """
     where = [*series, "_file", "_start"]
     splits = rows.groupBy(*where).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*series).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (
-        rows.join(offsets, on=where, how="inner")
+    offsets = cut(splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    if use_rows is not None:
+        start, count = use_rows
+        offsets = offsets.where((F.col("_offset") < start + count) & (F.col("_offset") + F.col("_n") > start))
+    offsets = offsets.drop("_n")
+    few = offsets.count() <= MOST_SPLITS
+    placed = (
+        rows.join(F.broadcast(offsets) if few else offsets, on=where, how="inner")
         .withColumn("pos", F.col("_offset") + F.col("_mid") - F.col("_first"))
         .drop("_file", "_start", "_mid", "_first", "_offset")
     )
+    return placed if use_rows is None else placed.where((F.col("pos") >= start) & (F.col("pos") < start + count))
 
 
 def _pick(use_columns: list[int] | None, column_names: list[str] | None, width: int) -> dict[str, str]:
@@ -70,10 +82,7 @@ def read_recording(
     if not isinstance(path, str):
         raise TypeError("path must be a string")
     picked = _pick(use_columns, column_names, width)
-    rows = _with_positions(_raw(spark, [path], width), [])
-    if use_rows is not None:
-        start, count = use_rows
-        rows = rows.where((F.col("pos") >= start) & (F.col("pos") < start + count))
+    rows = _with_positions(_raw(spark, [path], width), [], use_rows)
     return rows.select("pos", *[F.col(c).alias(n) for n, c in picked.items()])
 
 

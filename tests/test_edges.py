@@ -75,10 +75,10 @@ def test_majority_tie_goes_to_the_first_seen(spark):
     assert sm.majority_label(df, ["b"], "y", "i").first()["label"] == 1.0
 
 
-@pytest.mark.parametrize("accuracy", [20, 1_000_000])
-def test_quantile_trim(spark, accuracy):
+@pytest.mark.parametrize("ranked_rows", [1, 20, 1_000_000])
+def test_quantile_trim(spark, ranked_rows):
     df = spark.range(1, 102).select(F.col("id").cast("double").alias("x"))
-    q = sg.exact_quantiles(df, "x", [0.01, 0.99, 0.5], accuracy=accuracy).first()
+    q = sg.exact_quantiles(df, "x", [0.01, 0.99, 0.5], ranked_rows=ranked_rows).first()
     assert (q["q0"], q["q1"], q["q2"]) == (2.0, 100.0, 51.0)
     kept = sg.trim_quantile(df, ["x"], 0.99).agg(F.min("x"), F.max("x"), F.count("x")).first()
     # 1 - 0.99 is a hair above 0.01 in binary, so the lower quantile is a hair above 2 (pandas agrees).
@@ -87,13 +87,55 @@ def test_quantile_trim(spark, accuracy):
 
 def test_quantiles_of_one_repeated_value(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, 1.0).otherwise(F.col("id").cast("double")).alias("x"))
-    q = sg.exact_quantiles(df, "x", [0.5, 0.9], accuracy=200).first()
+    q = sg.exact_quantiles(df, "x", [0.5, 0.9], ranked_rows=200).first()
     import numpy as np
 
     data = np.where(np.arange(5000) < 4000, 1.0, np.arange(5000))
     assert (q["q0"], q["q1"]) == tuple(np.quantile(data, [0.5, 0.9]))
 
 
+def test_quantiles_by_counts_alone(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1e-300, -3.0]
+    groups = {0: rng.normal(size=500).tolist(), 1: odd * 9, 2: [7.0], 3: np.exp(rng.normal(0, 90, 400)).tolist(), 4: (1 + rng.integers(0, 50, 300) * 2.0**-52).tolist()}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(5, None), (0, float("nan"))], "k int, x double")
+    chances = [0.0, 0.01, 0.5, 0.77, 1.0]
+    got = {r["k"]: tuple(r)[1:] for r in sg.exact_quantiles(df, "x", chances, ["k"], ranked_rows=3).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for k, vs in groups.items():
+        v, at = np.sort(vs), np.array(chances) * (len(vs) - 1)
+        low, high = v[np.floor(at).astype(int)], v[np.ceil(at).astype(int)]
+        assert got[k] == tuple(low + (high - low) * (at - np.floor(at))), k
+
+
+@pytest.mark.parametrize("n", [4, 5, 8])
+def test_direction_of_any_number_of_axes(spark, n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(300, n)) @ rng.normal(size=(n, n))
+    x[:, 1] *= 3
+    names = [f"a{i}" for i in range(n)]
+    df = spark.createDataFrame([(1, *map(float, r)) for r in x] + [(2, *([float(i)] * n)) for i in range(9)] + [(3, *([1.0] * n))] * 2, ["k", *names])
+    got = {r["k"]: np.array(r[1:]) for r in sg.principal_direction(df, names, ["k"]).collect()}
+    cov = np.cov(x.T)
+    want = np.linalg.eigh(cov)[1][:, -1]
+    want = want * np.sign(want[np.abs(want).argmax()])
+    assert np.allclose(got[1], want, atol=1e-9) and np.allclose(cov @ got[1], np.linalg.eigvalsh(cov)[-1] * got[1])
+    assert np.allclose(got[2], 1 / np.sqrt(n)) and np.isclose((got[3] ** 2).sum(), 1)
+
+
+def test_sax_alphabets():
+    import numpy as np
+
+    assert sg.sax_breakpoints(3) == [-0.43, 0.43] and sg.sax_breakpoints(4) == [-0.67, 0.0, 0.67]
+    assert len(sg.sax_breakpoints(20, None)) == 19 and np.allclose(sg.sax_breakpoints(20, None), -np.array(sg.sax_breakpoints(20, None))[::-1])
+    with pytest.raises(ValueError):
+        sg.sax_breakpoints(40)
+
+
 def test_scaling(spark):
     df = spark.range(50).select((F.col("id") * 1.5).alias("x"), F.lit(4.0).alias("c"))
     z, stats = sg.znormalize(df, ["x", "c"])

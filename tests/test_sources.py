@@ -17,6 +17,8 @@ def test_order_rows_and_columns(spark, tmp_path):
         clipped = text.read_recording(spark, path, 4, use_rows=(10, 5)).orderBy("pos").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = text.read_recording(spark, path, 4, use_rows=(10, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
     assert [r["time"] for r in all_rows] == [1000 + i for i in range(500)]
     assert [r["pos"] for r in all_rows] == list(range(500)) and all_rows[3]["c"] == 3.0
     assert [r["_0"] for r in clipped] == [1010, 1011, 1012, 1013, 1014]

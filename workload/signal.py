@@ -79,6 +79,31 @@ def _(spark, sf):
     return d.select("series_id", r6("_w0", "w0"), r6("_w1", "w1"), r6("_w2", "w2"))
 
 
+_FIVE = ["ax", "ay", "az", "w", "l_linenumber"]
+
+
+def _power_sql(n: int, steps: int) -> str:
+    """Power iteration over the covariances of n axes, whose limit is the direction with the largest eigenvalue."""
+    name = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    cov = ", ".join(f"covar_samp({_FIVE[i]}, {_FIVE[j]}) AS {name(i, j)}" for i in range(n) for j in range(i, n))
+    kept = ", ".join(name(i, j) for i in range(n) for j in range(i, n))
+    product = ", ".join(" + ".join(f"{name(i, j)} * x{j}" for j in range(n)) + f" AS n{i}" for i in range(n))
+    length = " + ".join(f"n{i} * n{i}" for i in range(n))
+    top = "greatest(" + ", ".join(f"abs(x{i})" for i in range(n)) + ")"
+    sign = "CASE " + " ".join(f"WHEN abs(x{i}) = {top} THEN sign(x{i})" for i in range(n)) + " END"
+    return f"""c AS (SELECT series_id, {cov} FROM a GROUP BY series_id),
+p AS (SELECT c.*, 0 AS step, {', '.join(f'1.0::DOUBLE AS x{i}' for i in range(n))} FROM c
+  UNION ALL SELECT series_id, {kept}, step + 1, {', '.join(f'n{i} / sqrt({length})' for i in range(n))}
+  FROM (SELECT *, {product} FROM p WHERE step < {steps}))
+SELECT series_id, {', '.join(f'round(x{i} * {sign}, 6) AS w{i}' for i in range(n))} FROM p WHERE step = {steps}"""
+
+
+@query("c3_pca_direction_five_axes", f"WITH RECURSIVE {AXES_SQL}, {_power_sql(5, 300)}")
+def _(spark, sf):
+    d = sg.principal_direction(axes(spark, sf), _FIVE, ["series_id"])
+    return d.select("series_id", *[r6(f"_w{i}", f"w{i}") for i in range(5)])
+
+
 @query("c4_znormalize", f"""WITH {SERIES_SQL}, m AS (SELECT avg(value) AS mv, stddev_samp(value) AS sv, avg(k) AS mk, stddev_samp(k) AS sk FROM s)
 SELECT series_id, pos, round((value - mv) / sv, 6) AS value, round((k - mk) / sk, 6) AS k FROM s, m""")
 def _(spark, sf):
@@ -128,8 +153,8 @@ def _(spark, sf):
 round(quantile_cont(l_extendedprice, 0.99), 6) AS q2 FROM lineitem""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
-    # A coarse sketch on purpose: the bracket path is taken even at this size.
-    q = sg.exact_quantiles(li, "l_extendedprice", [0.01, 0.5, 0.99], accuracy=2_000)
+    # Ranges of few rows on purpose: several passes are taken even at this size.
+    q = sg.exact_quantiles(li, "l_extendedprice", [0.01, 0.5, 0.99], ranked_rows=50)
     return q.select(r6("q0"), r6("q1"), r6("q2"))
 
 
@@ -189,3 +214,26 @@ l AS (SELECT series_id, f, CASE WHEN paa < -0.67 THEN 'a' WHEN paa < 0 THEN 'b'
 SELECT series_id, f // 4 AS word_no, string_agg(c, '' ORDER BY f) AS word FROM l GROUP BY 1, 2""")
 def _(spark, sf):
     return sg.rerepresent(series(spark, sf), "SAX", keys=["series_id"], pos="pos", column="value", frame=5, word=4)
+
+
+_ALPHABETS = range(2, 21)
+
+
+def _letter_sql(n: int) -> str:
+    cuts = " ".join(f"WHEN paa < {c!r} THEN '{sg.LETTERS[i]}'" for i, c in enumerate(sg.sax_breakpoints(n, None)))
+    return f"SELECT {n} AS alphabet, series_id, f, CASE {cuts} ELSE '{sg.LETTERS[n - 1]}' END AS c FROM p"
+
+
+@query("c14_sax_alphabets", f"""WITH {SERIES_SQL},
+z AS (SELECT series_id, pos, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM s WINDOW w AS (PARTITION BY series_id)),
+p AS (SELECT series_id, pos // 5 AS f, avg(z) AS paa FROM z GROUP BY 1, 2),
+l AS ({' UNION ALL '.join(map(_letter_sql, _ALPHABETS))})
+SELECT alphabet, series_id, f // 4 AS word_no, string_agg(c, '' ORDER BY f) AS word FROM l GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """Words of all alphabets from 2 to 20 letters, break points of full precision."""
+    s = series(spark, sf)
+    parts = [sg.sax_words(s, ["series_id"], "pos", "value", 5, 4, n, digits=None).withColumn("alphabet", F.lit(n)) for n in _ALPHABETS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("alphabet", "series_id", "word_no", "word")
