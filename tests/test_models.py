@@ -103,3 +103,47 @@ def test_balanced_split_is_accepted(spark):
     assert found and abs(found["train_share"] - 0.43) < 0.2
     parts = sp.assign_parts(counts.select("s"), "s", found["seed"]).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in parts} == {"train": 20, "test": 10, "valid": 10}
+
+
+def aligned(a, b, soft, band):
+    """Alignment cost of two series, cell by cell."""
+    n, m = len(a), len(b)
+    width = max(n, m) if band is None else max(band, abs(n - m))
+    cost = np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0
+    for i in range(1, n + 1):
+        for j in range(max(1, i - width), min(m, i + width) + 1):
+            ways = [cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1]]
+            low = min(ways)
+            least = low - np.log(sum(np.exp(low - w) for w in ways)) if soft else low
+            cost[i, j] = (a[i - 1] - b[j - 1]) ** 2 + least
+    return cost[n, m]
+
+
+@pytest.mark.parametrize("metric,band", [("dtw", None), ("dtw", 2), ("softdtw", None), ("softdtw", 1), ("sqeuclidean", None), ("cityblock", None)])
+def test_bounds_lose_no_neighbour(spark, metric, band):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 3, (6, 9))
+    x = np.concatenate([c + rng.normal(0, 0.3, (20, 9)) for c in centres] + [np.repeat(centres[:1], 4, axis=0)])
+    rng.shuffle(x)
+    y = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, y))], "id int, s array<double>, y double")
+    computed = spark.sparkContext.accumulator(0)
+    got = nn.nearest_neighbours(df.where("id >= 30"), df.where("id < 30"), "id", "s", "y", 3, metric, band, tile_rows=8, computed=computed).toPandas()
+    for i in range(30):
+        if metric in nn.ALIGNED:
+            d = np.array([aligned(x[i], x[j], metric == "softdtw", band) for j in range(30, len(x))])
+            d = np.sqrt(d) if metric == "dtw" else d
+        else:
+            d = (np.abs(x[30:] - x[i]) if metric == "cityblock" else (x[30:] - x[i]) ** 2).sum(axis=1)
+        mine = got[got.id == i].sort_values("place")
+        assert np.allclose(mine.distance, np.sort(d)[:3])
+        assert np.allclose(d[mine.neighbour - 30], np.sort(d)[:3])
+    print(metric, band, computed.value / (30 * (len(x) - 30)))
+
+
+def test_neighbours_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 1.0), (2, [1.0, 2.5], 0.0), (3, [9.0, 9.0], 1.0)], "id int, s array<double>, y double")
+    got = nn.nearest_neighbours(df.where("id < 3"), df.where("id = 3"), "id", "s", "y", 5, "dtw")
+    assert [(r["neighbour"], r["place"]) for r in got.orderBy("place").collect()] == [(2, 1), (1, 2)]
+    assert nn.nearest_neighbours(df.where("false"), df, "id", "s", "y", 5, "dtw").count() == 0

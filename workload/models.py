@@ -175,11 +175,21 @@ def _(spark, sf):
     return knn(spark, sf, "cityblock")
 
 
+@query("i7_knn_sqeuclidean", knn_sql("list_distance(a.v, b.v) ** 2"))
+def _(spark, sf):
+    return knn(spark, sf, "sqeuclidean")
+
+
 @query("i7_knn_dtw")
 def _(spark, sf):
     return knn(spark, sf, "dtw")
 
 
+@query("i7_knn_softdtw")
+def _(spark, sf):
+    return knn(spark, sf, "softdtw")
+
+
 @query("i8_series_svc")
 def _(spark, sf):
     """Support vectors on whole series taken as vectors."""
