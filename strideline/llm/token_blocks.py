@@ -11,6 +11,7 @@ Layout of a block: minimum (4 bytes), width (1), exceptions (2), packed low bits
 bytes), places (1 byte each), high bits (4 bytes each); all little-endian.
 
 Cases: a null or empty text is a document of the end id alone; null document ids come first;
+rows of one id stand in order of their texts, and
 repeated rows are written each; an empty table gives an empty file; other columns are not
 looked at.
 """
@@ -66,18 +67,24 @@ def encode_blocks(ids: np.ndarray, share: int = 90) -> tuple[np.ndarray, bytes]:
     at = BLOCK * share // 100
     width = np.frexp(np.partition(rest, at, axis=1)[:, at].astype(np.float64))[1].astype(np.int64)
     high = (rest.astype(np.uint64) >> width.astype(np.uint64)[:, None]).astype("<u4")
-    packed: list[bytes] = [b""] * n_blocks
+    row, place = np.nonzero(high)
+    n_patches = np.bincount(row, minlength=n_blocks)
+    low_end = HEAD + BLOCK // 8 * width
+    sizes = low_end + 5 * n_patches
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    out[starts[:, None] + np.arange(4)] = least.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[starts + 4] = width
+    out[starts[:, None] + np.arange(5, 7)] = n_patches.astype("<u2").view(np.uint8).reshape(-1, 2)
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        for row, low in zip(rows, packed_bits(rest[rows] & np.uint32((1 << int(w)) - 1), int(w)), strict=True):
-            packed[row] = low.tobytes()
-    out = []
-    for i in range(n_blocks):
-        places = np.flatnonzero(high[i])
-        out.append(b"".join((least[i].tobytes(), bytes((int(width[i]),)), len(places).to_bytes(2, "little"), packed[i],
-                             places.astype(np.uint8).tobytes(), high[i][places].tobytes())))
-    sizes = np.fromiter(map(len, out), np.int64, n_blocks)
-    return (np.cumsum(sizes) - sizes).astype(np.int32), b"".join(out)
+        out[(starts[rows] + HEAD)[:, None] + np.arange(BLOCK // 8 * w)] = packed_bits(rest[rows] & np.uint32((1 << int(w)) - 1), int(w))
+    # The k-th exception of a block: its place, and its high bits behind all places.
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n_patches) - n_patches, n_patches)
+    at = (starts + low_end)[row]
+    out[at + k] = place
+    out[(at + n_patches[row] + 4 * k)[:, None] + np.arange(4)] = high[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return starts.astype(np.int32), out.tobytes()
 
 
 def decode_blocks(starts: np.ndarray, payload: bytes, n_ids: int) -> np.ndarray:
@@ -91,10 +98,12 @@ def decode_blocks(starts: np.ndarray, payload: bytes, n_ids: int) -> np.ndarray:
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
         x[rows] = unpacked_bits(take(starts[rows] + HEAD, BLOCK * w // 8), int(w))
-    for i in np.flatnonzero(n_patches):
-        n, at = int(n_patches[i]), int(starts[i] + HEAD + BLOCK * width[i] // 8)
-        places = data[at : at + n]
-        x[i, places] |= np.frombuffer(payload, "<u4", n, at + n) << np.uint32(width[i])
+    n = n_patches.astype(np.int64)
+    row = np.repeat(np.arange(len(starts)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = (starts + HEAD + BLOCK // 8 * width)[row]
+    high = take(at + n[row] + 4 * k, 4).copy().view("<u4").ravel()
+    x[row, data[at + k]] |= high << width[row].astype(np.uint32)
     return (x + least[:, None]).ravel()[:n_ids]
 
 
@@ -128,7 +137,7 @@ def write_blocks(docs: DataFrame, folder: str, path: str, split: str = "byte_lev
                  share: int = 90, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all documents to a new folder."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     # Packed ids don't compress further.
     ordered.mapInArrow(_segments(path, split, end_id, segment, share), SCHEMA).write.option("compression", "none").parquet(folder)
 
