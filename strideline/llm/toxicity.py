@@ -1,18 +1,21 @@
 """Toxicity from the nearest labelled examples by TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows.  Every word of an example is a term; document
-frequencies of the terms are counted over all documents.  A text is the sparse vector of all
-its words that some example has.
+Examples are a bounded sample of labelled rows.  Terms are the words of the examples and the first ``STEM``
+bytes of longer ones, so that endings don't hide a word; labels play no part in the choice.  Document
+frequencies are counted over all documents, and a term that a single document has, which joins no two texts, is left out.
+A text is the sparse vector of all its terms that some example has.
 
 The examples stand in an inverted index: a list of (example, weight) per term.  The lists of
 the most frequent terms have full length, one matrix, and are summed first.  The others are cut
 at blocks of examples that use the frequent terms alike, and keep the largest weight of each
 block.  What the frequent terms give plus the sum of query weight times block weight over the
 query's own terms bounds the cosine with every example of a block.  Blocks whose bound is
-below the k-th best sum over the frequent terms are skipped, which loses nothing.
+below the k-th best sum over the frequent terms are skipped, which loses nothing.  The sums are taken in
+single precision with room for its errors; what may be among the k nearest is then taken exactly.
 
 The k nearest vote with weights that fall with the distance.  A logistic curve, fitted on the
-examples' own votes without themselves, turns votes into calibrated scores.  A text that
+examples' own votes without themselves, turns votes into calibrated scores; of the numbers of neighbours the one
+with the least logistic loss on these votes is used.  A text that
 shares no term with any example has no neighbours and gets the calibrated score of the example
 share among texts without words, or among all examples if all have words.  Neighbours with
 equal cosine count in the order of the index.
@@ -40,7 +43,11 @@ from strideline.materialise import stored
 
 #: Labelled rows of each class that become examples at most.
 EXAMPLES = 6000
-BLOCK, NEIGHBOURS = 64, 16
+BLOCK, NEIGHBOURS = 64, (8, 16, 32)
+#: Bytes of a word that are a term of their own.
+STEM = 6
+#: More than the errors of sums in single precision.
+ROUNDING = 1e-4
 #: Terms whose lists have full length, and queries that are compared with these at once.
 FREQUENT, QUERIES_AT_ONCE = 256, 256
 
@@ -94,13 +101,14 @@ def _ranges(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, which are runs of letters, digits and non-ASCII characters, and their texts."""
-    h, bounds = hashed_words(texts, _BETWEEN)
-    return h, np.repeat(np.arange(len(texts)), np.diff(bounds))
+    """Hashes of all terms, and their texts; words are runs of letters, digits and non-ASCII characters."""
+    h, bounds, stems, longer = hashed_words(texts, _BETWEEN, STEM)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    return np.concatenate((h, stems)), np.concatenate((doc, doc[longer]))
 
 
 def vocabulary(texts: list) -> np.ndarray:
-    """Sorted hashes of all words of the texts."""
+    """Sorted hashes of all terms of the texts."""
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(words(texts[a:b])[0]) for a, b in slices(texts))]))
 
 
@@ -155,6 +163,7 @@ class Lists:
         self.size, self.width, self.blocks = len(x), x.width, -(-len(x) // BLOCK)
         self.frequent = _frequent(x)
         self.full = np.ascontiguousarray(x.dense(self.frequent).T)
+        self.rough = self.full.astype(np.float32)
         self.rare = np.ones(x.width, bool)
         self.rare[self.frequent] = False
         at = np.flatnonzero(self.rare[x.term])
@@ -168,27 +177,33 @@ class Lists:
         self.entries = np.searchsorted(term[first], np.arange(x.width + 1))
 
     def cosines(self, q: Rows, k: int, own: np.ndarray | None):
-        """For each query the places of the blocks that can't be skipped and the cosines there."""
+        """For each query the places that may be among the k nearest, and the cosines there."""
         for a in range(0, len(q), QUERIES_AT_ONCE):
             part = q.taken(np.arange(a, min(a + QUERIES_AT_ONCE, len(q))))
-            some = part.dense(self.frequent) @ self.full
+            dense = part.dense(self.frequent)
+            some = dense.astype(np.float32) @ self.rough
             if own is not None:
                 some[np.arange(len(part)), own[a : a + len(part)]] = -2
-            least = np.partition(some, -k, axis=1)[:, -k] if self.size > k else np.zeros(len(part))
+            least = np.partition(some, -k, axis=1)[:, -k] if self.size > k else np.full(len(part), -1.0)
             above = np.maximum.reduceat(some, np.arange(0, self.size, BLOCK), axis=1)
             for i in range(len(part)):
                 term, weight = (v[part.bounds[i] : part.bounds[i + 1]] for v in (part.term, part.weight))
                 rare = self.rare[term]
                 at, n = _ranges(self.entries, term[rare])
                 weight, block = np.repeat(weight[rare], n), self.block[at]
-                live = above[i] + np.bincount(block, weights=weight * self.most[at], minlength=self.blocks) > least[i] - 1e-9
+                live = above[i] + np.bincount(block, weights=weight * self.most[at], minlength=self.blocks) > least[i] - ROUNDING
                 use = live[block]
                 lists, n = _ranges(self.bounds, at[use])
-                cosine = some[i] + np.bincount(self.place[lists], weights=np.repeat(weight[use], n) * self.weight[lists], minlength=self.size)
-                if own is not None:
-                    cosine[own[a + i]] = 0
+                rest = np.bincount(self.place[lists], weights=np.repeat(weight[use], n) * self.weight[lists], minlength=self.size)
                 places = np.flatnonzero(np.repeat(live, BLOCK)[: self.size])
-                yield places, np.round(cosine[places], 10)
+                if own is not None:
+                    places = places[places != own[a + i]]
+                near = some[i, places] + rest[places]
+                if len(places) > k:
+                    places = places[near >= np.partition(near, -k)[-k] - 2 * ROUNDING]
+                used = np.flatnonzero(dense[i])
+                cosine = dense[i, used] @ self.full[np.ix_(used, places)] + rest[places]
+                yield places, np.round(cosine, 10)
 
 
 def _frequent(x: Rows) -> np.ndarray:
@@ -226,6 +241,7 @@ class Index:
     x: Rows
     share: float
     curve: tuple[float, float]
+    k: int = NEIGHBOURS[0]
     made: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -245,12 +261,12 @@ class Index:
     def vectors(self, texts: list) -> Rows:
         return vectors(texts, self.lists()[1], self.idf)
 
-    def nearest(self, q: Rows | np.ndarray, k: int = NEIGHBOURS, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, q: Rows | np.ndarray, k: int | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine (else -1, 0).
 
         ``own`` names for each query an example to leave out.
         """
-        q, lists = q if isinstance(q, Rows) else sparse(q), self.lists()[0]
+        q, lists, k = q if isinstance(q, Rows) else sparse(q), self.lists()[0], k or self.k
         place, best = np.full((len(q), k), -1), np.zeros((len(q), k))
         if not lists.size:
             return place, best
@@ -286,19 +302,30 @@ def build(ids: np.ndarray, texts: list, labels: np.ndarray, names: np.ndarray, i
     x_in = x.taken(order)
     index = Index(names, idf, ids[order], labels[order].astype(float), x_in, share, (4.0, 0.0))
     if len(np.unique(labels)) == 2:
-        votes = index.votes(*index.nearest(x_in, own=np.arange(len(order))))
-        z, y, w = np.concatenate((votes, np.full(empty.sum(), share))) - 0.5, np.concatenate((labels[order], labels[empty])), np.concatenate((seen[order], seen[empty]))
-        a, b = 4.0, 0.0
-        for _ in range(25):  # Newton steps on the logistic loss with a weak prior
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            g, h = w * (p - y), w * p * (1 - p)
-            grad = np.array([(g * z).sum() + 0.01 * a, g.sum() + 0.01 * b])
-            hess = np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 0.01]])
-            a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
-        index.curve = (float(max(a, 0.1)), float(b))
+        place, cosine = index.nearest(x_in, max(NEIGHBOURS), np.arange(len(order)))
+        y, w = np.concatenate((labels[order], labels[empty])), np.concatenate((seen[order], seen[empty]))
+        losses = []
+        for k in NEIGHBOURS:
+            z = np.concatenate((index.votes(place[:, :k], cosine[:, :k]), np.full(empty.sum(), share))) - 0.5
+            curve = _curve(z, y, w)
+            p = np.clip(1 / (1 + np.exp(-(curve[0] * z + curve[1]))), 1e-9, 1 - 1e-9)
+            losses.append((float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), k, curve))
+        _, index.k, index.curve = min(losses)
     return index
 
 
+def _curve(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and level of the logistic curve over centred votes: Newton steps on the loss with a weak prior."""
+    a, b = 4.0, 0.0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g, h = w * (p - y), w * p * (1 - p)
+        grad = np.array([(g * z).sum() + 0.01 * a, g.sum() + 0.01 * b])
+        hess = np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 0.01]])
+        a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
+    return float(max(a, 0.1)), float(b)
+
+
 def _document_counts(names: np.ndarray):
     """Documents of a partition that have each term, and their number under -1."""
     def run(batches):
@@ -321,11 +348,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     sample = stored(sample.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most), "examples")
     examples = sample.coalesce(1)
     names = np.frombuffer(examples.mapInArrow(_in_task(lambda ids, texts, y: vocabulary(texts).tobytes()), "made binary").first()[0], np.uint64)
-    # At most one row per word of the examples.
+    # At most one row per term of the examples.
     counts = docs.select("text").mapInArrow(_document_counts(names), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     having = np.zeros(len(names) + 1)
     having[counts.column("term").to_numpy() + 1] = counts.column("n").to_numpy()
-    idf = np.log((1 + having[0]) / (1 + having[1:])) + 1
+    shared = having[1:] >= 2
+    names, idf = names[shared], (np.log((1 + having[0]) / (1 + having[1:])) + 1)[shared]
     shares = {r.y: r.n for r in labels.filter(usable & F.col(label).isNotNull()).groupBy((is_one).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
 
     def indexed(ids: np.ndarray, texts: list, y: np.ndarray) -> bytes:

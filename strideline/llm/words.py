@@ -65,11 +65,13 @@ def _hashes(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashed_words(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[str | None], between: np.ndarray = _SPACE, stem: int | None = None):
     """Word hashes in order, and for each text its bounds in them (one more than texts).
 
-    ``between`` marks the bytes that separate words; an ASCII space is one of them.
+    ``between`` marks the bytes that separate words; an ASCII space is one of them.  With ``stem`` come
+    also the hashes of the first so many bytes of each longer word, and the places of these words.
     """
+    stems, longer, n_words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     parts = [(t or "").encode().lower() for t in texts]
     firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
     data = b" ".join(parts) if len(parts) != 1 else parts[0]
@@ -83,9 +85,15 @@ def hashed_words(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple
         edge = np.diff(np.concatenate(([True], between[np.frombuffer(part, np.uint8)])).astype(np.int8))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         hashes.append(_hashes(part, start, stop))
+        if stem is not None:
+            cut_short = np.flatnonzero(stop - start > stem)
+            stems.append(_hashes(part, start[cut_short], start[cut_short] + stem))
+            longer.append(cut_short + n_words)
+            n_words += len(start)
         starts.append(start + at)
         at = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), firsts)
+    bounds = np.searchsorted(np.concatenate(starts), firsts)
+    return (np.concatenate(hashes), bounds) if stem is None else (np.concatenate(hashes), bounds, np.concatenate(stems), np.concatenate(longer))
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
