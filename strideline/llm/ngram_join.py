@@ -49,6 +49,8 @@ SKETCH, SLICES = 1 << 20, 256
 LEAF, BLOCK = 64, 1024
 #: Rounds of contraction in larger shards before their trees are joined.
 ROUNDS = 4
+#: Groups of the parities that rows of small shards carry at most.
+BRIEF = 512
 #: Pairs that each component gives from a pair of blocks, before all that remain are tested.
 FIRST_PAIRS = 3
 
@@ -104,6 +106,14 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / (1.5 * mean)) + 1), 0, 250).astype(np.uint8)
 
 
+def _parities(h: np.ndarray, doc: np.ndarray, groups: np.ndarray) -> list[bytes]:
+    """For each document a bit per group: whether its count is odd."""
+    base = np.concatenate(([0], np.cumsum(groups)))
+    odd = np.bincount(base[doc] + ((h >> np.uint64(32)).astype(np.int64) & (groups[doc] - 1)), minlength=base[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[i // 8 : j // 8].tobytes() for i, j in zip(base[:-1], base[1:], strict=True)]
+
+
 def _profiles(size: int, percent: int, classes):
     """Set size, digest, point, parities of finer groups and shards of each document."""
     def run(batches):
@@ -121,15 +131,24 @@ def _profiles(size: int, percent: int, classes):
             digests = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             # A count beyond 16 bits can't be stored; the empty point bounds nothing.
             vectors = [p.astype("<u2").tobytes() if p.max(initial=0) < 65536 else b"" for p in np.split(points, base[1:-1])]
+            parity, brief = (_parities(h, doc, np.minimum(8 * groups, most)) for most in (1 << 62, BRIEF))
+            token = mixed(h)
+            order = np.lexsort((token, rank[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))
+            prefix = n + (-percent * n) // 100 + 1
+            keep = np.arange(len(h)) - at[doc] < prefix[doc]
+            shards, lengths = token[order][keep].view(np.int64), np.bincount(doc[keep], minlength=len(n))
+            digests = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            # A count beyond 16 bits can't be stored; the empty point bounds nothing.
+            vectors = [p.astype("<u2").tobytes() if p.max(initial=0) < 65536 else b"" for p in np.split(points, base[1:-1])]
             fine = 8 * groups
             base = np.concatenate(([0], np.cumsum(fine)))
             odd = np.bincount(base[doc] + ((h >> np.uint64(32)).astype(np.int64) & (fine[doc] - 1)), minlength=base[-1]) & 1
             packed = np.packbits(odd.astype(np.uint8), bitorder="little")
             parity = [packed[i // 8 : j // 8].tobytes() for i, j in zip(base[:-1], base[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
-                ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary()), pa.array(parity, pa.binary()),
+                ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary()), pa.array(parity, pa.binary()), pa.array(brief, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(shards)),
-            ], ["doc_id", "n", "digest", "point", "parity", "shards"])
+            ], ["doc_id", "n", "digest", "point", "parity", "brief", "shards"])
 
     return run
 
@@ -324,7 +343,7 @@ def _from_small(percent: int):
         for t in _whole_groups(batches, ["token"]):
             doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
             leads = t.column("leads").to_numpy(zero_copy_only=False)
-            odd = list(map(odd_groups, t.column("parity").to_pylist()))
+            odd = list(map(odd_groups, t.column("brief").to_pylist()))
             cuts = _groups(t, ["token"])
             size = np.diff(cuts)
             found = []
@@ -449,7 +468,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, size))
     profiles = stored(docs.mapInArrow(
-        _profiles(size, percent, classes), "doc_id long, n long, digest binary, point binary, parity binary, shards array<long>"), "profiles")
+        _profiles(size, percent, classes), "doc_id long, n long, digest binary, point binary, parity binary, brief binary, shards array<long>"), "profiles")
 
     nodes = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
@@ -489,9 +508,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
 
     found = components(links)
     shared, _ = contracted(shared, found)
-    small = shared.filter(F.col("n_rows") <= LEAF).join(parities.select("doc_id", "parity"), "doc_id").select("token", "doc_id", "n", "leads", "component", "parity")
+    small = shared.filter(F.col("n_rows") <= LEAF).join(firsts.select("doc_id", "brief"), "doc_id").select("token", "doc_id", "n", "leads", "component", "brief")
     small = small.repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), pair).distinct()
-    found = merged(found, _links(docs, small, size, percent))
+    found = merged(found, _links(docs, with_parities(small).mapInArrow(_bounded(percent), pair), size, percent))
 
     large, shards = contracted(shared.filter(F.col("n_rows") > LEAF), found)
     tested = None
