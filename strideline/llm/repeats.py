@@ -11,11 +11,13 @@ half a window.  The windows of one trigger start in one phrase and run through t
 2. The rest lies around the ends of repeats.  Their stretches are brought together by core, and
    each task builds the suffix order of its stretches by prefix doubling up to ``length`` bytes;
    windows of equal rank repeat.
-3. A core with very many open stretches is not gathered: each of its windows is counted by its
-   own hash in the cluster.
+3. A core with very many open stretches is not gathered.  Its windows reach at least half of what they
+   may to the left of it, or to the right, so each stretch goes to two longer cores with half the windows
+   each; longer cores that one stretch alone has are settled, and those that are still too frequent are split again.
 4. The bytes of repeating windows are cut out, judged on the input as a whole.
 
-Equality rests on 64-bit hashes in steps 1 and 3 and on bytes in step 2.
+Equality rests on 64-bit hashes in step 1 and on bytes in step 2; hashes of step 3 only bring stretches
+together, but for single windows that are more frequent than a task gathers.
 
 Cases: a null text counts as empty; texts shorter than a window stay whole; exact copies and
 repeated rows are each other's repeats, so all of them lose these bytes; rows are told apart by
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.ids import by_ids
-from strideline.llm.words import running, spans
+from strideline.llm.words import mixed, running, spans
 from strideline.materialise import stored
 
 GRAM = 16
@@ -60,7 +62,7 @@ def _parts(batches, length: int):
 
 
 def triggers(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of each trigger: core and reach hashes, part, first and last start of its windows."""
+    """Of each trigger: core and reach hashes, part, first and last start of its windows, and its own place."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(p) for p in parts])
     end = np.cumsum(size)
@@ -83,7 +85,7 @@ def triggers(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     lo, hi = starts[first], starts[np.concatenate((first[1:] - 1, [len(starts) - 1]))] if len(first) else starts[first]
     place, part = place[first], part[first]
     base = (end - size)[part]
-    return spans(sums, place, place + length - among + 1), spans(sums, lo, hi + length), part, lo - base, hi - base
+    return spans(sums, place, place + length - among + 1), spans(sums, lo, hi + length), part, lo - base, hi - base, place - base
 
 
 _TRIGGERS = f"core long, reach long, seen long, {_KEY_SQL}, lo long, hi long"
@@ -96,7 +98,7 @@ def _parsed(length: int):
     """
     def run(batches):
         for load in _parts(batches, length):
-            core, reach, part, lo, hi = triggers([p[3] for p in load], length)
+            core, reach, part, lo, hi, _ = triggers([p[3] for p in load], length)
             ids, hashes, offsets = (np.array([p[k] for p in load], np.int64) for k in (0, 1, 2))
             _, first, inverse, seen = np.unique(np.stack((core, reach)), axis=1, return_index=True, return_inverse=True, return_counts=True)
             again = seen[inverse.ravel()] > 1
@@ -237,26 +239,73 @@ def _ordered(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """A row for each window of the stretches of very frequent cores."""
+_LONGER = f"token long, core long, {_KEY_SQL}, lo long, a int, b int, first long, last long"
+
+
+def _longer_cores(length: int):
+    """Of stretches with their nodes, the two halves of each node.
+
+    A node ``(a, b)`` is the windows that reach at least ``a`` bytes to the left of the core and ``b`` to the right of
+    it; its token is the hash of the core with these bytes.
+    """
+    free = length // 2 - 1
+    inner = length - free
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "core", "id", "hash", "lo")] + [("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
+
+    def halves(row: dict):
+        data = np.frombuffer(row["bytes"], np.uint8)
+        place, sums = int(triggers([row["bytes"]], length)[5][0]), running(data)
+        for node in row["nodes"]:
+            a, b = node["a"], node["b"]
+            middle = (a + free - b + 1) // 2
+            for x, y in ((middle, b), (a, free - middle + 1)):
+                first, last = max(0, place - (free - y)), min(len(data) - length, place - x)
+                if first <= last:
+                    token = spans(sums, np.array([place - x]), np.array([place + inner + y])) ^ mixed(np.array([1024 * x + y], np.uint64))
+                    yield token.view(np.int64)[0], row["core"], row["id"], row["hash"], row["lo"], x, y, row["lo"] + first, row["lo"] + last
+
     def run(batches):
-        for t in batches:
-            for i in range(0, t.num_rows, 500):
-                part = t.slice(i, 500)
-                raw = part.column(4).to_pylist()
-                size = np.array([len(b) for b in raw])
-                data, base, n = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size - length + 1
-                row = np.repeat(np.arange(len(raw)), n)
-                starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                where = starts + base[row]
-                keep = lambda c: pa.array(part.column(c).to_numpy()[row])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spans(running(data), where, where + length).view(np.int64)), keep(1), keep(2), pa.array(part.column(3).to_numpy()[row] + starts)],
-                    ["window", "id", "hash", "start"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = [r for row in batch.slice(at, 1000).to_pylist() for r in halves(row)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _sub_stretches(length: int):
+    """The bytes of the windows of each node, under the node's token."""
+    schema = pa.schema([("core", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = [(n["token"], r["id"], r["hash"], n["first"], r["bytes"][n["first"] - r["lo"] : n["last"] - r["lo"] + length])
+                        for r in batch.slice(at, 1000).to_pylist() for n in r["nodes"]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _split_cores(hot: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stretches of frequent cores under longer cores that a task can gather, and spans that need no comparison."""
+    at, free = ["core", *KEY, "lo"], length // 2 - 1
+    nodes = hot.select(*at, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))).alias("nodes"))
+    stretches, settled = [], []
+    while not nodes.isEmpty():
+        tokens = stored(hot.join(nodes, at).mapInArrow(_longer_cores(length), _LONGER), "longer")
+        counts = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+        met = stored(tokens.join(counts, "token"), "met")
+        few = met.filter(F.col("c") <= MOST_GATHERED).groupBy(*at).agg(F.collect_list(F.struct("token", "first", "last")).alias("nodes"))
+        stretches.append(hot.join(few, at).mapInArrow(_sub_stretches(length), _STRETCHES))
+        many = met.filter(F.col("c") > MOST_GATHERED)
+        settled.append(many.filter(F.col("a") + F.col("b") == free).select(*KEY, F.col("first").alias("start"), (F.col("first") + length).alias("stop")))
+        nodes = stored(many.filter(F.col("a") + F.col("b") < free).groupBy(*at).agg(F.collect_list(F.struct("a", "b")).alias("nodes")), "nodes")
+    return stretches, settled
+
+
 def _removed(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
     for batch in batches:
@@ -299,6 +348,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     one = lambda condition: texts.join(lists.select(*KEY, F.filter("open", condition).alias("open")).filter("size(open) > 0"), KEY).select(
         *KEY, "text", F.transform("open", lambda o: F.struct(o["core"], o["lo"], o["hi"])).alias("open")).mapInArrow(_cut_out(length), _STRETCHES)
     few = one(lambda o: o["open"] <= MOST_GATHERED)
+    frequent = stored(one(lambda o: o["open"] > MOST_GATHERED), "frequent")
+    more, settled_spans = _split_cores(frequent, length)
+    for part in more:
+        few = few.union(part)
     found = few.repartition("core").sortWithinPartitions("core", *KEY, "lo").mapInArrow(_ordered(length), _SPANS)
 
     pieces = [
@@ -306,10 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         parsed.filter("core IS NULL").select(*KEY, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")),
         found,
     ]
-    if not todo.filter(F.col("open") > MOST_GATHERED).isEmpty():
-        windows = stored(one(lambda o: o["open"] > MOST_GATHERED).mapInArrow(_window_hashes(length), f"window long, {_KEY_SQL}, start long"), "windows")
-        twice = windows.groupBy("window").count().filter("count > 1").select("window")
-        pieces.append(windows.join(twice, "window").select(*KEY, "start", (F.col("start") + length).alias("stop")))
+    pieces += settled_spans
     spans_ = pieces[0]
     for p in pieces[1:]:
         spans_ = spans_.union(p)
