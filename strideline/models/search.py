@@ -1,8 +1,8 @@
 """Random hyper-parameter search over the classifier types.
 
-Spark trains fewer parameters than the single-machine libraries do.  Trees have no random
-splitter and no minimum split size, and their depth ends at 30; the perceptron has sigmoid
-units and two solvers; support vectors are linear, with random Fourier features for the
+Trees and perceptrons are those of :mod:`strideline.models.trees` and
+:mod:`strideline.models.perceptron`, which train all settings and folds in the same passes.  Forests are
+Spark's: no minimum split size, depth up to 30.  Support vectors are linear, with random Fourier features for the
 rbf kernel and polynomial expansion up to degree three for the poly kernel.
 """
 
@@ -14,12 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,15 +25,20 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideline.models import perceptron, trees
 from strideline.models.metrics import accuracy
 from strideline.operators.splits import stratified_folds
 
 # Search space of each classifier type.
 SEARCH_SPACE = {
     "svc": {"kernel": ["rbf", "linear", "poly"], "degree": (2, 3), "gamma_exponent": 9, "C": (2, 5000), "max_iter": (2, 5000)},
-    "cart_tree": {"max_depth": (1, 30), "criterion": ["gini", "entropy"]},
+    "cart_tree": {"max_depth": (1, 127), "criterion": ["gini", "entropy"], "splitter": ["best", "random"], "min_samples_split": (2, 19)},
     "random_forrest": {"n_estimators": (1, 127), "max_depth": (1, 30), "criterion": ["gini", "entropy"], "bootstrap": [True, False]},
-    "mlp_classifier": {"architectures": [[32, 16], [16, 8], [8, 4]], "solver": ["l-bfgs", "gd"], "max_iter": (1, 249), "learning_rate_exponent": 9},
+    "mlp_classifier": {
+        "architectures": [[32, 16], [16, 8], [8, 4]], "solver": ["adam", "lbfgs", "sgd"], "activation": ["logistic", "relu", "tanh"],
+        "max_iter": (1, 249), "alpha_exponent": 9, "learning_rate_exponent": 9, "schedule": ["constant", "invscaling", "adaptive"],
+        "batch_size": (1, 9), "shuffle": [True, False], "early_stopping": [True, False],
+    },
 }
 
 
@@ -94,8 +94,9 @@ def draw_parameters(
             }
         elif model_type == "cart_tree":
             params = {
-                "max_depth": whole(*space["max_depth"]), "criterion": pick(space["criterion"]),
-                "min_samples_leaf": whole(1, max(1, features - 1)),
+                "max_depth": whole(*space["max_depth"]), "criterion": pick(space["criterion"]), "splitter": pick(space["splitter"]),
+                "min_samples_split": whole(*space["min_samples_split"]), "min_samples_leaf": whole(1, max(1, features - 1)),
+                "max_features": whole(1, max(1, features - 1)),
             }
         elif model_type == "random_forrest":
             params = {
@@ -104,9 +105,11 @@ def draw_parameters(
             }
         else:
             params = {
-                "hidden": pick(space["architectures"]), "solver": pick(space["solver"]),
-                "max_iter": whole(*space["max_iter"]),
-                "learning_rate": float(10.0 ** -whole(0, space["learning_rate_exponent"])),
+                "hidden": pick(space["architectures"]), "solver": pick(space["solver"]), "activation": pick(space["activation"]),
+                "max_iter": whole(*space["max_iter"]), "alpha": float(10.0 ** whole(-space["alpha_exponent"], space["alpha_exponent"])),
+                "learning_rate": float(10.0 ** whole(-space["learning_rate_exponent"], space["learning_rate_exponent"])),
+                "schedule": pick(space["schedule"]), "batch_size": whole(*space["batch_size"]), "shuffle": pick(space["shuffle"]),
+                "early_stopping": pick(space["early_stopping"]),
             }
         params["seed"] = whole(1, 9)
         drawn.append(params)
@@ -125,21 +128,21 @@ def build_stages(model_type: str, params: dict, features: int, classes: int, row
             head = [PolynomialExpansion(inputCol="features", outputCol=source, degree=params["degree"])]
         # A penalty C on the summed loss is a ridge of 1 / (C n) on the mean loss.
         return [*head, LinearSVC(featuresCol=source, labelCol=label, maxIter=params["max_iter"], regParam=1.0 / (params["C"] * max(rows, 1)))]
-    if model_type == "cart_tree":
-        return [DecisionTreeClassifier(
-            labelCol=label, maxDepth=params["max_depth"], impurity=params["criterion"],
-            minInstancesPerNode=params["min_samples_leaf"], seed=params["seed"])]
     if model_type == "random_forrest":
         return [RandomForestClassifier(
             labelCol=label, numTrees=params["n_estimators"], maxDepth=params["max_depth"], impurity=params["criterion"],
             bootstrap=params["bootstrap"], seed=params["seed"])]
-    if model_type == "mlp_classifier":
-        return [MultilayerPerceptronClassifier(
-            labelCol=label, layers=[features, *params["hidden"], classes], solver=params["solver"],
-            maxIter=params["max_iter"], stepSize=params["learning_rate"], seed=params["seed"])]
     raise ValueError(f"unknown model type {model_type!r}")
 
 
+#: Types whose settings and folds are trained together, and what a setting of theirs is.
+TOGETHER = {"cart_tree": (trees, trees.TreeSettings), "mlp_classifier": (perceptron, perceptron.NetSettings)}
+
+
+def setting_of(model_type: str, params: dict):
+    return TOGETHER[model_type][1](**{k: tuple(v) if isinstance(v, list) else v for k, v in params.items()})
+
+
 @dataclass
 class SearchResult:
     model_type: str
@@ -168,6 +171,10 @@ def random_search(
         rows = prepared.count()
         settings = draw_parameters(model_type, draws, len(columns), seed, space)
         assembler = VectorAssembler(inputCols=safe, outputCol="features")
+        if model_type in TOGETHER:
+            arrays = prepared.select(F.array(*safe).alias("x"), F.col("_label").alias("label"), "fold", F.col("_row").alias("row"))
+            best, mean, stage = TOGETHER[model_type][0].search(arrays, [setting_of(model_type, p) for p in settings], folds, len(columns), classes)
+            return _kept(SearchResult(model_type, PipelineModel([assembler, stage]), settings[best], mean, list(columns)), save_to)
         pipeline = Pipeline(stages=[assembler])
         grid = [
             {pipeline.stages: [assembler, *build_stages(model_type, s, len(columns), classes, rows, "_label")]}
@@ -182,7 +189,10 @@ def random_search(
     finally:
         prepared.unpersist()
     best = int(np.argmax(fitted.avgMetrics))
-    result = SearchResult(model_type, fitted.bestModel, settings[best], float(fitted.avgMetrics[best]), list(columns))
+    return _kept(SearchResult(model_type, fitted.bestModel, settings[best], float(fitted.avgMetrics[best]), list(columns)), save_to)
+
+
+def _kept(result: SearchResult, save_to: str | None) -> SearchResult:
     if save_to:
         result.model.write().overwrite().save(save_to)
     return result

@@ -73,7 +73,7 @@ def test_drawn_parameters_build(model_type, spark):
     drawn = se.draw_parameters(model_type, 5, 4, seed=1)
     assert drawn == se.draw_parameters(model_type, 5, 4, seed=1)
     for params in drawn:
-        assert se.build_stages(model_type, params, 4, 2, 100, "label")
+        assert se.setting_of(model_type, params) if model_type in se.TOGETHER else se.build_stages(model_type, params, 4, 2, 100, "label")
 
 
 def test_search_and_store(spark, tmp_path):

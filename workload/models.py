@@ -123,31 +123,33 @@ SHORT = {
 }
 
 
-def search(spark, sf, model_type):
+def search(spark, sf, model_type, draws=2, folds=2, space=None):
     parts = stratified_split(vectors(spark, sf), "label", "vec_id", 0.3, seed=1)
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    found = se.random_search(train, FEATURES, "label", "vec_id", model_type, draws=2, folds=2, space=SHORT[model_type])
+    found = se.random_search(train, FEATURES, "label", "vec_id", model_type, draws=draws, folds=folds, space=space)
     return se.predict(found.model, test, FEATURES, ["vec_id", "label"])
 
 
 @query("i2_i3_search_tree")
 def _(spark, sf):
-    return search(spark, sf, "cart_tree")
+    """The whole search: 50 settings of the whole space by 5 folds."""
+    return search(spark, sf, "cart_tree", draws=50, folds=5)
 
 
 @query("i4_search_forest")
 def _(spark, sf):
-    return search(spark, sf, "random_forrest")
+    return search(spark, sf, "random_forrest", space=SHORT["random_forrest"])
 
 
 @query("i5_search_svc")
 def _(spark, sf):
-    return search(spark, sf, "svc")
+    return search(spark, sf, "svc", space=SHORT["svc"])
 
 
 @query("i6_search_mlp")
 def _(spark, sf):
-    return search(spark, sf, "mlp_classifier")
+    """10 settings of the whole space by 5 folds."""
+    return search(spark, sf, "mlp_classifier", draws=10, folds=5)
 
 
 def knn_sql(distance: str) -> str:
@@ -204,4 +206,4 @@ def _(spark, sf):
 @query("i9_predict")
 def _(spark, sf):
     """Accuracy of a stored tree on the rows held back."""
-    return me.accuracy(search(spark, sf, "cart_tree"), "label", "prediction")
+    return me.accuracy(search(spark, sf, "cart_tree", space=SHORT["cart_tree"]), "label", "prediction")
