@@ -49,6 +49,8 @@ SKETCH, SLICES = 1 << 20, 256
 LEAF, BLOCK = 64, 1024
 #: Rounds of contraction in larger shards before their trees are joined.
 ROUNDS = 4
+#: First shards of a document that its rows in small shards carry.
+EARLY = 3
 #: Groups of the parities that rows of small shards carry at most.
 BRIEF = 512
 #: Pairs that each component gives from a pair of blocks, before all that remain are tested.
@@ -343,7 +345,8 @@ def _from_small(percent: int):
         for t in _whole_groups(batches, ["token"]):
             doc, n, comp = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
             leads = t.column("leads").to_numpy(zero_copy_only=False)
-            odd = list(map(odd_groups, t.column("brief").to_pylist()))
+            odd, token = list(map(odd_groups, t.column("brief").to_pylist())), t.column("token").to_numpy()
+            early = np.array([(e + [0] * EARLY)[:EARLY] for e in t.column("early").to_pylist()], np.int64).reshape(-1, EARLY)
             cuts = _groups(t, ["token"])
             size = np.diff(cuts)
             found = []
@@ -355,6 +358,11 @@ def _from_small(percent: int):
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 # The smaller of two documents over the threshold meets the other early.
                 keep = np.flatnonzero((comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & leads[i])
+                # Two documents with early shards in common are a pair in the first of these alone.
+                mine, others = early[i[keep]], early[j[keep]]
+                both = ((mine[:, :, None] == others[:, None, :]) & (mine[:, :, None] != 0)).any(axis=2)
+                first = mine[np.arange(len(keep)), both.argmax(axis=1)]
+                keep = keep[~both.any(axis=1) | (first == token[i[keep]])]
                 least = needed(n[i[keep]], n[j[keep]], percent)
                 fits = [bound(odd[a], odd[b], int(n[a]), int(n[b])) >= m for a, b, m in zip(i[keep], j[keep], least, strict=True)]
                 keep = keep[np.array(fits, bool)]
@@ -508,7 +516,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_i
 
     found = components(links)
     shared, _ = contracted(shared, found)
-    small = shared.filter(F.col("n_rows") <= LEAF).join(firsts.select("doc_id", "brief"), "doc_id").select("token", "doc_id", "n", "leads", "component", "brief")
+    small = shared.filter(F.col("n_rows") <= LEAF).join(firsts.select("doc_id", "brief", F.slice("shards", 1, EARLY).alias("early")), "doc_id")
+    small = small.select("token", "doc_id", "n", "leads", "component", "brief", "early")
     small = small.repartition("token").sortWithinPartitions("token").mapInArrow(_from_small(percent), pair).distinct()
     found = merged(found, _links(docs, with_parities(small).mapInArrow(_bounded(percent), pair), size, percent))
 
