@@ -302,17 +302,19 @@ def motif_seed(profile: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*keys, "_b.pos", "_b.partner", "_b.distance")
 
 
-def windows_near(slices: DataFrame, keys: list[str], seeds: DataFrame, m: int, radius: float, tile_rows: int) -> DataFrame:
-    """``(keys, pos, distance)`` of all windows within ``radius`` times the seed's distance of the seed.
+def windows_near(slices: DataFrame, keys: list[str], seeds: DataFrame, m: int, tile_rows: int) -> DataFrame:
+    """``(keys, radius, pos, distance)`` of all windows within ``radius`` times the seed's distance of the seed.
 
-    ``seeds`` has ``(keys, pos, distance)``, one row per series; its window is cut from the slices.
+    ``seeds`` has ``(keys, radius, pos, distance)``, one row per series and radius; windows are cut from the slices.
     """
     at = F.when(F.size("_ps") == 0, F.col("pos") - F.col("_from") + 1).otherwise(F.array_position("_ps", F.col("pos"))).cast("int")
-    homes = seeds.select(*keys, "pos", "distance", F.expr(f"pos div {tile_rows}L").alias("_slice"))
+    homes = seeds.select(*keys, "radius", "pos", "distance", F.expr(f"pos div {tile_rows}L").alias("_slice"))
     patterns = slices.join(homes, on=[*keys, "_slice"], how="inner").select(
-        *keys, F.slice("_vs", at, F.lit(m)).alias("_seed"), (F.col("distance") * radius).alias("_limit"))
-    both = attach_stats(slices, patterns, keys).where("_seed IS NOT NULL")
-    fields = ", ".join([*(f"`{k}` {slices.schema[k].dataType.simpleString()}" for k in keys), "pos bigint, distance double"])
+        *keys, "radius", F.slice("_vs", at, F.lit(m)).alias("_seed"), (F.col("distance") * F.col("radius")).alias("_limit"))
+    # Without keys the patterns are as many as the radii asked for.
+    one = F.lit(0).alias("_one")
+    both = slices.join(patterns, on=keys) if keys else slices.select("*", one).join(F.broadcast(patterns.select("*", one)), on="_one")
+    key_fields = "".join(f"`{k}` {slices.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,58 +330,72 @@ def windows_near(slices: DataFrame, keys: list[str], seeds: DataFrame, m: int, r
                 starts = np.flatnonzero(own.ok)
                 found = _distances(own, starts, pattern, np.zeros(len(starts), np.int64))
                 kept = found <= b.column("_limit")[i].as_py()
-                columns = [pa.array([b.column(k)[i].as_py()] * int(kept.sum()), b.schema.field(k).type) for k in keys]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(starts[kept] + here, pa.int64()), pa.array(found[kept])], [*keys, "pos", "distance"])
+                n = int(kept.sum())
+                columns = [pa.array([b.column(k)[i].as_py()] * n, b.schema.field(k).type) for k in [*keys, "radius"]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(starts[kept] + here, pa.int64()), pa.array(found[kept])], [*keys, "radius", "pos", "distance"])
 
-    return both.mapInArrow(run, fields)
+    return both.mapInArrow(run, f"{key_fields}radius double, pos bigint, distance double")
 
 
-def top_motifs(
-    df: DataFrame, keys: list[str], pos: str, value: str, m: int, radius: float, max_motifs: int = 2,
+def motifs_of_radii(
+    df: DataFrame, keys: list[str], pos: str, value: str, m: int, radii: list[float], max_motifs: int = 2,
     profile: DataFrame | None = None, slice_rows: int = SLICE_ROWS, tile_rows: int = TILE_ROWS, slices: DataFrame | None = None,
 ) -> DataFrame:
-    """Occurrences ``(keys, tag, pos, distance)`` of the best motifs of each series.
+    """Occurrences ``(keys, radius, tag, pos, distance)`` of the best motifs of each series, for all radii together.
 
     A motif is the closest remaining pair plus every window within ``radius`` times its
     distance, nearest first, none within half a window of another occurrence.  ``distance``
-    is that of the pair.  Bounded number of jobs for each motif.
+    is that of the pair.  Bounded number of jobs for each motif, whatever the number of radii.
     """
-    keys = list(keys)
+    keys, group = list(keys), [*keys, "radius"]
     zone = motif_zone(m)
     slices = stored(series_slices(df, keys, pos, value, m, tile_rows), "slices") if slices is None else slices
-    open_profile = cut(profile if profile is not None else matrix_profile(df, keys, pos, value, m, tile_rows=tile_rows, slices=slices))
+    profile = cut(profile if profile is not None else matrix_profile(df, keys, pos, value, m, tile_rows=tile_rows, slices=slices))
+    open_profile = profile.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
     found: list[DataFrame] = []
     for tag in range(1, max_motifs + 1):
-        seed = cut(motif_seed(open_profile, keys))
-        ends = seed.select(*keys, F.explode(F.array("pos", "partner")).alias("pos"), "distance")
-        taken = ends.select(*keys, "pos")
+        seed = cut(motif_seed(open_profile, group))
+        ends = seed.select(*group, F.explode(F.array("pos", "partner")).alias("pos"), "distance")
+        taken = ends.select(*group, "pos")
         for part in found:
-            taken = taken.unionByName(part.select(*keys, "pos"))
-        near = windows_near(slices, keys, seed.select(*keys, "pos", "distance"), m, radius, tile_rows)
-        candidates = near.join(_near(taken, keys, zone), on=[*keys, "pos"], how="left_anti")
-        further = suppress_neighbours(candidates, keys, zone, slice_rows)
-        far = attach_stats(further.select(*keys, "pos"), seed.select(*keys, "distance"), keys)
-        occurrences = cut(ends.unionByName(far).withColumn("tag", F.lit(tag)).select(*keys, "tag", "pos", "distance"))
+            taken = taken.unionByName(part.select(*group, "pos"))
+        near = windows_near(slices, keys, seed.select(*group, "pos", "distance"), m, tile_rows)
+        candidates = near.join(_near(taken, group, zone), on=[*group, "pos"], how="left_anti")
+        further = suppress_neighbours(candidates, group, zone, slice_rows)
+        far = further.select(*group, "pos").join(seed.select(*group, "distance"), on=group)
+        occurrences = cut(ends.unionByName(far).withColumn("tag", F.lit(tag)).select(*group, "tag", "pos", "distance"))
         found.append(occurrences)
-        open_profile = open_profile.join(_near(occurrences, keys, zone), on=[*keys, "pos"], how="left_anti")
+        open_profile = open_profile.join(_near(occurrences, group, zone), on=[*group, "pos"], how="left_anti")
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
     return result
 
 
+def top_motifs(
+    df: DataFrame, keys: list[str], pos: str, value: str, m: int, radius: float, max_motifs: int = 2,
+    profile: DataFrame | None = None, slice_rows: int = SLICE_ROWS, tile_rows: int = TILE_ROWS, slices: DataFrame | None = None,
+) -> DataFrame:
+    """Occurrences ``(keys, tag, pos, distance)`` of the best motifs of each series for one radius."""
+    return motifs_of_radii(df, keys, pos, value, m, [radius], max_motifs, profile, slice_rows, tile_rows, slices).drop("radius")
+
+
 MOTIF_COLUMNS = ["mean", "tag", "std", "min", "max", "distance"]
 
 
 def motif_features(
-    df: DataFrame, keys: list[str], pos: str, value: str, occurrences: DataFrame, m: int, columns: int = 6
+    df: DataFrame, keys: list[str], pos: str, value: str, occurrences: DataFrame, m: int, columns: int = 6,
+    by: list[str] = (),
 ) -> DataFrame:
-    """One row per occurrence with the first ``columns`` of mean, tag, std, min, max, distance."""
+    """One row per occurrence with the first ``columns`` of mean, tag, std, min, max, distance.
+
+    ``by`` names columns of the occurrences that tell sets of them apart.
+    """
     if not 1 <= columns <= len(MOTIF_COLUMNS):
         raise ValueError(f"between 1 and {len(MOTIF_COLUMNS)} columns")
     keys = list(keys)
     spread = occurrences.select(
-        *keys, F.col("tag").alias("_tag"), F.col("pos").alias("occurrence"), F.col("distance").alias("_distance"),
+        *keys, *by, F.col("tag").alias("_tag"), F.col("pos").alias("occurrence"), F.col("distance").alias("_distance"),
         F.explode(F.sequence(F.col("pos"), F.col("pos") + (m - 1))).alias("_p"),
     )
     values = df.select(*keys, F.col(pos).cast("bigint").alias("_p"), known(value).alias("_v"))
@@ -388,17 +404,17 @@ def motif_features(
         "min": F.min("_v"), "max": F.max("_v"), "distance": F.first("_distance"),
     }
     wanted = MOTIF_COLUMNS[:columns]
-    out = spread.join(values, on=keys + ["_p"], how="inner").groupBy(*keys, F.col("_tag").alias("motif"), "occurrence").agg(
+    out = spread.join(values, on=keys + ["_p"], how="inner").groupBy(*keys, *by, F.col("_tag").alias("motif"), "occurrence").agg(
         *[made[c].alias(c) for c in wanted]
     )
     return out.na.drop("any", subset=wanted)
 
 
-def motif_labels(df: DataFrame, keys: list[str], pos: str, label: str, occurrences: DataFrame) -> DataFrame:
+def motif_labels(df: DataFrame, keys: list[str], pos: str, label: str, occurrences: DataFrame, by: list[str] = ()) -> DataFrame:
     """Label of the first row of every occurrence."""
     keys = list(keys)
     labels = df.select(*keys, F.col(pos).cast("bigint").alias("occurrence"), F.col(label).alias("label"))
-    starts = occurrences.select(*keys, F.col("tag").alias("motif"), F.col("pos").alias("occurrence"))
+    starts = occurrences.select(*keys, *by, F.col("tag").alias("motif"), F.col("pos").alias("occurrence"))
     return starts.join(labels, on=keys + ["occurrence"], how="inner").where(F.col("label").isNotNull())
 
 
@@ -408,19 +424,18 @@ def sweep_motifs(
 ) -> DataFrame:
     """Features and labels of every (radius, length) pair.
 
-    The profile depends on the length only and is computed once per length.  A length
-    longer than the series finds nothing and adds no rows.
+    The profile depends on the length only and is computed once per length; the radii of a
+    length go through the same jobs.  A length longer than the series finds nothing and adds no rows.
     """
     parts = []
     for m in lengths:
         slices = stored(series_slices(df, keys, pos, value, m), "slices")
-        profile = cut(matrix_profile(df, keys, pos, value, m, slices=slices))
-        for radius in radii:
-            occurrences = top_motifs(df, keys, pos, value, m, radius, max_motifs, profile, slice_rows, slices=slices)
-            rows = motif_features(df, keys, pos, value, occurrences, m)
-            if label is not None:
-                rows = rows.join(motif_labels(df, keys, pos, label, occurrences), on=[*keys, "motif", "occurrence"], how="inner")
-            parts.append(rows.withColumn("radius", F.lit(float(radius))).withColumn("length", F.lit(m)))
+        occurrences = motifs_of_radii(df, keys, pos, value, m, radii, max_motifs, None, slice_rows, slices=slices)
+        rows = motif_features(df, keys, pos, value, occurrences, m, by=["radius"])
+        if label is not None:
+            labels = motif_labels(df, keys, pos, label, occurrences, ["radius"])
+            rows = rows.join(labels, on=[*keys, "radius", "motif", "occurrence"], how="inner")
+        parts.append(rows.withColumn("length", F.lit(m)))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -21,12 +21,39 @@ from strideline.operators.segments import chunk_evenly, homogeneous_chunks, majo
 from strideline.operators.signal import REDUCED
 from strideline.ordering import int_div
 from strideline.plans.preparation import prepare_inference, prepare_training
-from strideline.plans.settings import Settings
+from strideline.plans.settings import FEATURES, PREPARATION, Settings, digest
 from strideline.sources import store
 
 BLOCK = ["part", "block_id"]
 
 
+def tag_of(settings: Settings) -> str:
+    """The name of a run; runs of different settings have different names."""
+    return f"{store.run_tag(settings.extractor, settings.freq, settings.reduction, settings.block_rows)}_{digest(settings)}"
+
+
+class Stages:
+    """Results of stages over the same readings, kept under a digest of the settings they depend on."""
+
+    def __init__(self, readings: DataFrame, labels: DataFrame):
+        self.readings, self.labels = readings, labels
+        self.kept: dict[tuple[str, str], tuple] = {}
+
+    def _once(self, name: str, key: str, make):
+        if (name, key) not in self.kept:
+            self.kept[name, key] = make()
+        return self.kept[name, key]
+
+    def signal(self, settings: Settings) -> tuple[DataFrame, dict[str, float]]:
+        return self._once("signal", digest(settings, PREPARATION), lambda: prepare_training(self.readings, self.labels, settings))
+
+    def features(self, settings: Settings):
+        if settings.extractor not in FEATURES:
+            raise ValueError(f"unknown extractor {settings.extractor!r}")
+        make = statistical_tables if settings.extractor == "statistical" else motif_tables
+        return self._once("features", digest(settings, FEATURES[settings.extractor]), lambda: make(self.signal(settings)[0], settings))
+
+
 def training_blocks(signal: DataFrame, settings: Settings) -> DataFrame:
     """Rows of chunks with one label, renumbered into blocks: ``part, block_id, i`` and the label."""
     encoded = encode(signal, ["road_label"])
@@ -115,23 +142,24 @@ def _search(
 
 
 def train_run(
-    spark: SparkSession, readings: DataFrame, labels: DataFrame, settings: Settings, root: str
+    spark: SparkSession, readings: DataFrame, labels: DataFrame, settings: Settings, root: str, stages: Stages | None = None
 ) -> DataFrame:
-    """Prepare, extract, search, validate and store; returns the run summary."""
-    tag = store.run_tag(settings.extractor, settings.freq, settings.reduction, settings.block_rows)
-    signal, stats = prepare_training(readings, labels, settings)
+    """Prepare, extract, search, validate and store; returns the run summary.
+
+    ``stages`` holds what other runs over the same readings have made.
+    """
+    tag, stages = tag_of(settings), stages or Stages(readings, labels)
+    stats, made = stages.signal(settings)[1], stages.features(settings)
     selected, values, combos = [], {}, []
     if settings.extractor == "statistical":
-        table, selected, _p, values = statistical_tables(signal, settings)
+        table, selected, _p, values = made
         combos.append((None, None, table, selected, BLOCK))
-    elif settings.extractor == "motif":
-        table = motif_tables(signal, settings)
+    else:
+        table = made
         for radius in settings.radii:
             for length in settings.lengths:
                 rows = table.where((F.col("radius") == radius) & (F.col("length") == length))
                 combos.append((radius, length, rows, MOTIF_COLUMNS, ["part", "motif", "occurrence"]))
-    else:
-        raise ValueError(f"unknown extractor {settings.extractor!r}")
 
     scores, gates, models, tables = [], [], {}, {}
     for number, (radius, length, rows, columns, row_keys) in enumerate(combos):
@@ -180,7 +208,7 @@ def train_run(
 
 def inference_run(spark: SparkSession, readings: DataFrame, settings: Settings, root: str) -> DataFrame:
     """Predict new readings with what :func:`train_run` stored; writes and returns the predictions."""
-    tag = store.run_tag(settings.extractor, settings.freq, settings.reduction, settings.block_rows)
+    tag = tag_of(settings)
     notes = store.read_notes(spark, root, tag)
     model = store.load_model(f"{root}/model/run_tag={tag}")
     signal = cut(prepare_inference(readings, notes["stats"], settings))
@@ -203,5 +231,12 @@ def inference_run(spark: SparkSession, readings: DataFrame, settings: Settings,
 def experiment_grid(
     spark: SparkSession, readings: DataFrame, labels: DataFrame, grid: list[Settings], root: str
 ) -> DataFrame:
-    """Train every setting of the grid and union the summaries."""
-    return union_all([train_run(spark, readings, labels, s, root) for s in grid])
+    """Train every setting of the grid and union the summaries.
+
+    Stages that settings share are computed once; equal settings are refused, they would overwrite each other.
+    """
+    tags = [tag_of(s) for s in grid]
+    if len(set(tags)) < len(tags):
+        raise ValueError("the grid holds equal settings")
+    stages = Stages(readings, labels)
+    return union_all([train_run(spark, readings, labels, s, root, stages) for s in grid])

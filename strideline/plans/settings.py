@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 
 from strideline.functions.features import default_catalogue
 from strideline.ordering import SLICE_ROWS
@@ -34,3 +36,17 @@ class Settings:
     folds: int = 5
     seed: int = 0
     slice_rows: int = SLICE_ROWS
+
+
+#: What the stages of a run depend on.
+PREPARATION = ("axes", "reduction", "freq", "coarse_labels", "road_labels", "shares", "quantile", "slice_rows")
+FEATURES = {
+    "statistical": (*PREPARATION, "extractor", "block_rows", "catalogue", "fdr_level"),
+    "motif": (*PREPARATION, "extractor", "radii", "lengths", "max_motifs"),
+}
+
+
+def digest(settings: Settings, fields: tuple[str, ...] | None = None) -> str:
+    """Stands for the settings, or for some fields of them."""
+    values = {k: v for k, v in asdict(settings).items() if fields is None or k in fields}
+    return hashlib.sha256(json.dumps(values, sort_keys=True, default=str).encode()).hexdigest()[:12]

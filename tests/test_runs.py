@@ -54,3 +54,22 @@ def test_training_and_inference(spark, tmp_path):
     said = runs.inference_run(spark, readings, settings, root)
     assert {r[0] for r in said.select("prediction").distinct().collect()} <= {0.0, 1.0}
     assert said.count() == said.select("block_id").distinct().count()
+
+
+def test_grid_computes_shared_stages_once(spark, tmp_path, monkeypatch):
+    made = {"signal": 0, "features": 0}
+
+    def count(name, result):
+        def run(*args):
+            made[name] += 1
+            return result
+        return run
+
+    monkeypatch.setattr(runs, "prepare_training", count("signal", (None, {"mean": 0.0})))
+    monkeypatch.setattr(runs, "statistical_tables", count("features", (None, [], None, {})))
+    monkeypatch.setattr(runs, "train_run", lambda spark, r, y, s, root, stages: (stages.signal(s), stages.features(s), spark.createDataFrame([(runs.tag_of(s),)], "run_tag string"))[2])
+    grid = [quick(block_rows=b, reduction=r, models=m) for b in (10, 15) for r in ("euclidean", "pca") for m in (["svc"], ["cart_tree"])]
+    out = runs.experiment_grid(spark, None, None, grid, str(tmp_path))
+    assert made == {"signal": 2, "features": 4} and out.distinct().count() == len(grid) == 8
+    with pytest.raises(ValueError):
+        runs.experiment_grid(spark, None, None, [grid[0], quick(block_rows=10, reduction="euclidean", models=["svc"])], str(tmp_path))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideline.functions import motifs as mt
+from strideline.plans.settings import Settings
 from workload.base import SERIES_SQL, events_series, query, r6
 
 M = 8
@@ -111,7 +112,8 @@ def _(spark, sf):
 
 @query("h5_motif_sweep")
 def _(spark, sf):
-    out = mt.sweep_motifs(series(spark, sf), ["series_id"], "pos", "value", "road_label", [1, 2], [8, 10])
+    """All 36 pairs of the usual radii and lengths."""
+    out = mt.sweep_motifs(series(spark, sf), ["series_id"], "pos", "value", "road_label", Settings().radii, Settings().lengths)
     return out.select("series_id", "radius", "length", "motif", "occurrence", r6("mean"), r6("std"), "min", "max", r6("distance"), "label")
 
 

@@ -280,6 +280,25 @@ def _(spark, sf):
     return out.select("seed", r6("train_share"), r6("test_share"), r6("valid_share"), "accepted")
 
 
+@query("e15_assigned_split", f"""WITH {SERIES_SQL},
+lc AS (SELECT series_id, count(*) FILTER (road_label = 3) AS hits, count(*) AS rows FROM s WHERE coarse_label = 5 AND road_label IN (1, 3) GROUP BY 1),
+t AS (SELECT count(*) AS ns, sum(hits)::DOUBLE / sum(rows) AS second FROM lc),
+u AS (SELECT lc.*, seed, (series_id * 48271 + seed * 69621 + 12345) % 2147483647 AS m FROM lc, (SELECT unnest(range(20000)) AS seed)),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY (m * m) % 2147483647, series_id) - 1 AS rk FROM u),
+p AS (SELECT seed, series_id, CASE WHEN rk < floor(ns * 0.5) THEN 0 WHEN rk < floor(ns * 0.75) THEN 1 ELSE 2 END AS part, hits, rows, second FROM r, t),
+g AS (SELECT seed, part, second, sum(hits)::DOUBLE / sum(rows) AS share FROM p GROUP BY 1, 2, 3),
+w AS (SELECT min(seed) AS seed FROM (SELECT seed FROM g GROUP BY seed HAVING count(*) = 3
+  AND bool_and(share > least(second, 1 - second) - (seed + 1) / 20000.0 AND share < greatest(second, 1 - second) + (seed + 1) / 20000.0)))
+SELECT series_id, ['train', 'test', 'valid'][part + 1] AS part, CAST(seed AS BIGINT) AS seed FROM p JOIN w USING (seed)""")
+def _(spark, sf):
+    """The search to its end, and the parts that the accepted shuffle gives."""
+    s = labelled(spark, sf).where("coarse_label = 5")
+    counts = sp.series_label_counts(s, "series_id", "road_label", [1.0, 3.0], 3.0)
+    found = sp.find_balanced_split(counts, "series_id", "hits", "rows")
+    parts = sp.assign_parts(counts.select("series_id"), "series_id", found["seed"] if found else 0)
+    return parts.select("series_id", "part", F.lit(found["seed"] if found else 0).cast("bigint").alias("seed")).where(F.lit(found is not None))
+
+
 HASHED_SQL = """hs AS (SELECT vec_id, label, ((vec_id * 48271 + {seed} * 69621 + 12345) % 2147483647) AS m FROM embeddings),
 hr AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY (m * m) % 2147483647, vec_id) - 1 AS rk,
        count(*) OVER (PARTITION BY label) AS n FROM hs)"""
