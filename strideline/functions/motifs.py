@@ -363,7 +363,7 @@ def motifs_of_radii(
         candidates = near.join(_near(taken, group, zone), on=[*group, "pos"], how="left_anti")
         further = suppress_neighbours(candidates, group, zone, slice_rows)
         far = further.select(*group, "pos").join(seed.select(*group, "distance"), on=group)
-        occurrences = cut(ends.unionByName(far).withColumn("tag", F.lit(tag)).select(*group, "tag", "pos", "distance"))
+        occurrences = stored(ends.unionByName(far).withColumn("tag", F.lit(tag)).select(*group, "tag", "pos", "distance"), "occurrences")
         found.append(occurrences)
         open_profile = open_profile.join(_near(occurrences, group, zone), on=[*group, "pos"], how="left_anti")
     result = found[0]
@@ -435,7 +435,7 @@ def sweep_motifs(
         if label is not None:
             labels = motif_labels(df, keys, pos, label, occurrences, ["radius"])
             rows = rows.join(labels, on=[*keys, "radius", "motif", "occurrence"], how="inner")
-        parts.append(rows.withColumn("length", F.lit(m)))
+        parts.append(cut(rows.withColumn("length", F.lit(m))))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
