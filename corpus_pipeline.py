@@ -2,6 +2,11 @@
 
 Each stage gets all rows that the one before it kept, as Parquet; all but the last return the
 columns of ``documents``.
+
+Cases: a null or empty text fails the quality rules.  Of rows with equal texts the one with the largest
+id stays, of rows equal in id and text one; an id with different texts keeps each of them, and so does
+a null id.  Of linked documents those of the smallest id stay, rows with a null id link with nothing and stay.
+Documents of two epochs come twice, and so do their pieces.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

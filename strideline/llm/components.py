@@ -1,4 +1,8 @@
-"""Connected components of a distributed list of links."""
+"""Connected components of a distributed list of links.
+
+Cases: a link of a node with itself is left out, repeated links count once, ties don't arise; without links
+there are no nodes; ends are never null.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Keeping or dropping the rows of a list of ids without moving all texts."""
+"""Keeping or dropping the rows of a list of ids without moving all texts.
+
+Cases: repeated ids count once; a null id matches nothing; an empty list keeps nothing, or drops nothing.
+"""
 
 from __future__ import annotations
 

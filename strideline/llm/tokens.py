@@ -2,6 +2,8 @@
 
 A border is certain when the pre-tokeniser splits there whatever stands around it.  Between
 such borders ids depend on the piece alone, so a worker keeps those of short pieces.
+
+Cases: an empty text has no ids; a text that holds a special string goes to the library as a whole.
 """
 
 from __future__ import annotations
