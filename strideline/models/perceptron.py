@@ -223,7 +223,7 @@ def _updated(net: Net, n: int, loss: float, hits: int, checked: int, vector: np.
     if net.done:
         return
     if s.solver == "lbfgs":
-        _limited_memory_step(net, value, vector / n + s.alpha * net.weights / n)
+        limited_memory_step(net, value, vector / n + s.alpha * net.weights / n)
     else:
         mean = vector / n
         size = len(net.weights)
@@ -236,8 +236,11 @@ def _updated(net: Net, n: int, loss: float, hits: int, checked: int, vector: np.
     net.done |= net.epoch >= s.max_iter
 
 
-def _limited_memory_step(net: Net, value: float, g: np.ndarray) -> None:
-    """A step along the direction of limited memory; a step that made the loss grow is taken back and halved."""
+def limited_memory_step(net, value: float, g: np.ndarray) -> None:
+    """A step along the direction of limited memory; a step that made the loss grow is taken back and halved.
+
+    ``net`` has weights, last, past, scale and done.
+    """
     if not np.isfinite(value) or not np.isfinite(g).all() or (net.last is not None and value > net.last[1] + 1e-12):
         if net.last is None or net.scale < 1e-10:
             net.weights = net.last[0] if net.last is not None else net.weights

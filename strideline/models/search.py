@@ -1,9 +1,8 @@
 """Random hyper-parameter search over the classifier types.
 
-Trees and perceptrons are those of :mod:`strideline.models.trees` and
-:mod:`strideline.models.perceptron`, which train all settings and folds in the same passes.  Forests are
-Spark's: no minimum split size, depth up to 30.  Support vectors are linear, with random Fourier features for the
-rbf kernel and polynomial expansion up to degree three for the poly kernel.
+Trees, perceptrons and support vectors are those of :mod:`strideline.models.trees`,
+:mod:`strideline.models.perceptron` and :mod:`strideline.models.svm`, which train all settings and folds in the
+same passes.  Forests are Spark's: no minimum split size, depth up to 30.
 """
 
 from __future__ import annotations
@@ -11,27 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.models import perceptron, trees
+from strideline.models import perceptron, svm, trees
 from strideline.models.metrics import accuracy
 from strideline.operators.splits import stratified_folds
 
 # Search space of each classifier type.
 SEARCH_SPACE = {
-    "svc": {"kernel": ["rbf", "linear", "poly"], "degree": (2, 3), "gamma_exponent": 9, "C": (2, 5000), "max_iter": (2, 5000)},
+    "svc": {"kernel": ["rbf", "linear", "poly"], "degree": (2, 29), "gamma_exponent": 9, "C": (2, 5000), "max_iter": (2, 5000)},
     "cart_tree": {"max_depth": (1, 127), "criterion": ["gini", "entropy"], "splitter": ["best", "random"], "min_samples_split": (2, 19)},
     "random_forrest": {"n_estimators": (1, 127), "max_depth": (1, 30), "criterion": ["gini", "entropy"], "bootstrap": [True, False]},
     "mlp_classifier": {
@@ -42,33 +35,6 @@ SEARCH_SPACE = {
 }
 
 
-class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features that approximate the rbf kernel exp(-gamma |x - y|^2)."""
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, size=128, seed=0):
-        super().__init__()
-        self._setDefault(gamma=1.0, size=128, seed=0)
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        gamma, size, seed = (self.getOrDefault(p) for p in (self.gamma, self.size, self.seed))
-
-        @F.pandas_udf("array<double>")
-        def lift(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy())
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], size))
-            b = rng.uniform(0.0, 2.0 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ w + b)))
-
-        return df.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(self.getInputCol()))))
-
-
 def draw_parameters(
     model_type: str, draws: int, features: int, seed: int = 0, space: dict | None = None
 ) -> list[dict]:
@@ -118,16 +84,6 @@ def draw_parameters(
 
 def build_stages(model_type: str, params: dict, features: int, classes: int, rows: int, label: str) -> list:
     """Pipeline stages behind the assembled ``features`` vector."""
-    if model_type == "svc":
-        head, source = [], "features"
-        if params["kernel"] == "rbf":
-            source = "lifted"
-            head = [FourierFeatures(inputCol="features", outputCol=source, gamma=params["gamma"], seed=params["seed"])]
-        elif params["kernel"] == "poly":
-            source = "lifted"
-            head = [PolynomialExpansion(inputCol="features", outputCol=source, degree=params["degree"])]
-        # A penalty C on the summed loss is a ridge of 1 / (C n) on the mean loss.
-        return [*head, LinearSVC(featuresCol=source, labelCol=label, maxIter=params["max_iter"], regParam=1.0 / (params["C"] * max(rows, 1)))]
     if model_type == "random_forrest":
         return [RandomForestClassifier(
             labelCol=label, numTrees=params["n_estimators"], maxDepth=params["max_depth"], impurity=params["criterion"],
@@ -136,7 +92,9 @@ def build_stages(model_type: str, params: dict, features: int, classes: int, row
 
 
 #: Types whose settings and folds are trained together, and what a setting of theirs is.
-TOGETHER = {"cart_tree": (trees, trees.TreeSettings), "mlp_classifier": (perceptron, perceptron.NetSettings)}
+TOGETHER = {
+    "cart_tree": (trees, trees.TreeSettings), "mlp_classifier": (perceptron, perceptron.NetSettings), "svc": (svm, svm.SvmSettings),
+}
 
 
 def setting_of(model_type: str, params: dict):

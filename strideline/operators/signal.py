@@ -342,9 +342,12 @@ def gaussian_rolling_sum(
     """Weighted sum of the last ``window`` values with Gaussian weights, fewer at the start.
 
     Rows are counted, not positions: holes in ``pos`` are closed first, so that slice borders
-    don't show in the result.
+    don't show in the result.  Series without holes, which one count per series tells, keep their positions.
     """
-    halo = with_halo(dense_index(df, keys, pos, "_dense", slice_rows), "_dense", before=window - 1, slice_rows=slice_rows)
+    spans = df.groupBy(*keys).agg((F.max(pos) - F.min(pos) + 1 > F.count(F.lit(1))).alias("_holes"))
+    holes = not spans.where("_holes").isEmpty()
+    numbered = dense_index(df, keys, pos, "_dense", slice_rows) if holes else df.withColumn("_dense", F.col(pos).cast("bigint"))
+    halo = with_halo(numbered, "_dense", before=window - 1, slice_rows=slice_rows)
     w = Window.partitionBy(*keys, "_slice").orderBy("_dense")
     centre = (window - 1) / 2
     terms = []

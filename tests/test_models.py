@@ -6,6 +6,7 @@ from strideline.models import isolation as iso
 from strideline.models import metrics as me
 from strideline.models import neighbours as nn
 from strideline.models import search as se
+from strideline.models import svm
 from strideline.operators import splits as sp
 
 
@@ -86,15 +87,32 @@ def test_search_and_store(spark, tmp_path):
     assert se.predict(store.load_model(str(tmp_path / "m")), df, ["v"], ["id", "y"]).where("y != prediction").count() == 0
 
 
-def test_fourier_features_approximate_the_kernel(spark):
-    from pyspark.ml.functions import array_to_vector
-
+def test_features_approximate_the_kernels(monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(6, 3))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, a array<double>").withColumn("features", array_to_vector("a"))
-    z = np.array([r["z"].toArray() for r in se.FourierFeatures(inputCol="features", outputCol="z", gamma=0.5, size=4000).transform(df).orderBy("id").collect()])
-    want = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
-    assert np.abs(z @ z.T - want).max() < 0.1
+    monkeypatch.setattr(svm, "SIZE", 8192)
+    z = svm.kernel_features(x, svm.SvmSettings(kernel="rbf", gamma=0.5))[:, :-1]
+    assert np.abs(z @ z.T - np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(axis=2))).max() < 0.1
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    z = svm.kernel_features(x, svm.SvmSettings(kernel="poly", degree=3, gamma=1.0))[:, :-1]
+    assert np.abs(z @ z.T - (x @ x.T) ** 3).max() < 0.15
+
+
+def test_support_vectors_of_all_kernels(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 2))
+    y = ((x**2).sum(axis=1) > 1.4).astype(int)
+    df = spark.createDataFrame([([float(v) for v in r], int(c), i % 4, i) for i, (r, c) in enumerate(zip(x, y))], "x array<double>, label int, fold int, row long").repartition(3).cache()
+    settings = [svm.SvmSettings("linear", C=10.0), svm.SvmSettings("rbf", gamma=0.5, C=100.0), svm.SvmSettings("poly", degree=2, C=100.0), svm.SvmSettings("rbf", gamma=1e9, C=2.0), svm.SvmSettings("rbf", gamma=0.5, C=100.0, max_iter=2)]
+    best, mean, model = svm.search(df, settings, 4, 2, 2)
+    assert best in (1, 2) and mean > 0.9 and model.getOrDefault(model.machine)
+    machines = svm.train(df, [(s, None) for s in settings], 2)
+    assert [m.steps for m in machines][4] == 2 and all(np.isfinite(m.weights).all() for m in machines)
+    # At the least of the penalised loss its slope is close to zero.
+    z, side = svm.kernel_features(x, settings[0]), np.where(y == 1, 1.0, -1.0)
+    _, g = svm.loss_and_gradient(z, side, machines[0].weights)
+    g = g / len(y) + np.append(machines[0].weights[:-1], 0.0) / (10.0 * len(y))
+    assert np.abs(g).max() < 1e-2
 
 
 def test_balanced_split_is_accepted(spark):
