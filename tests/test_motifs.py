@@ -110,3 +110,37 @@ def test_motif_features_and_labels(spark, series):
     labels = {r["occurrence"]: r["label"] for r in mt.motif_labels(df, [], "pos", "y", occ).collect()}
     assert labels == {78: 1.0, 3: 1.0}
     assert mt.motif_features(df, [], "pos", "x", occ, M, 2).columns == ["motif", "occurrence", "mean", "tag"]
+
+
+def test_products_of_short_windows_find_what_running_sums_find(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.round(np.cumsum(rng.normal(size=700)), 2)
+    x[200:230], x[400] = 5.0, np.nan
+    left, right = mt._Windows(x[:400], 9, 1.0), mt._Windows(x[250:], 9, 1.0)
+    got = mt._nearest_short(left, right, 3, 170)
+    monkeypatch.setattr(mt, "SHORT", 0)
+    for a, b in zip(got, mt._nearest(left, right, 3, 170), strict=True):
+        assert (a == b).mean() > 0.99 and ((a >= 0) == (b >= 0)).all()
+
+
+@pytest.mark.parametrize("side", [16, 48, 1024])
+def test_slices_that_share_a_task(spark, monkeypatch, side):
+    monkeypatch.setattr(mt, "TILE_ROWS", side)  # one, three and all slices of a side
+    x = np.random.default_rng(8).normal(size=230)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x) if not 90 <= i < 130], "pos bigint, x double")
+    starts = [i for i in range(225) if i + M <= 90 or 130 <= i]
+    w = np.array([z(x[i : i + M]) for i in starts])
+    d = np.sqrt(np.maximum(0, 2 * M - 2 * w @ w.T))
+    d[np.abs(np.subtract.outer(starts, starts)) <= mt.profile_zone(M)] = np.inf
+    got = mt.matrix_profile(df, [], "pos", "x", M, tile_rows=16).toPandas().sort_values("pos")
+    assert list(got.pos) == starts and np.allclose(got.distance, d.min(axis=1), atol=1e-6)
+    assert list(got.partner) == [starts[i] for i in d.argmin(axis=1)]
+
+
+def test_sides_that_grow_are_never_broadcast(spark, series):
+    x, df = series
+    occ = spark.createDataFrame([(1, 78, 0.5), (2, 3, 0.7)], "tag int, pos bigint, distance double")
+    for made in (mt.motif_features(df, [], "pos", "x", occ, M), mt.motif_labels(df, [], "pos", "y", occ), mt._away(df, occ, [], 3)):
+        made.collect()
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["pos"] for r in mt._away(df, occ, [], 3).collect()) == [i for i in range(160) if abs(i - 78) > 3 and i > 6]
