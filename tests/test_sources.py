@@ -35,6 +35,26 @@ def test_trips_keep_the_order_of_the_list(spark, tmp_path):
     assert [(r["series_id"], r["pos"]) for r in df.orderBy("series_id", "pos").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
 
 
+def test_recordings_that_share_files(spark, tmp_path):
+    sizes = {7: 40, -3: 1, 71: 25, 8: 300}
+    rows = [(t, i, 1000 * i + t, float(i)) for t, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "trip bigint, pos bigint, time bigint, a double").repartition(5)
+    root = str(tmp_path / "shared")
+    text.write_shared_trips(df, "trip", ["pos"], ["time", "a"], root)
+    assert len(list((tmp_path / "shared").glob("bundle=*"))) == 3  # 7 and 71 share a folder
+    places = spark.createDataFrame([(t, i) for i, t in enumerate([71, 8, 7])], "trip bigint, series_id int")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        every = text.read_trips(spark, text.shared_folder_of(root), places, 2, ["time", "a"]).collect()
+        one = text.read_recording(spark, text.shared_folder_of(root, 71), 2, ["a", "time"], use_columns=[1, 0], trip=71).collect()
+        some = text.read_recording(spark, text.shared_folder_of(root, 8), 2, use_rows=(290, 50), trip=8).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in every) == [(s, i, 1000 * i + t, float(i)) for s, t in enumerate([71, 8, 7]) for i in range(sizes[t])]
+    assert sorted(tuple(r) for r in one) == [(i, float(i), 1000 * i + 71) for i in range(25)]
+    assert sorted(r["pos"] for r in some) == list(range(290, 300))
+
+
 def test_store(spark, tmp_path):
     root = str(tmp_path)
     store.write_table(spark.range(3).toDF("x"), root, "t", "tag")
