@@ -165,3 +165,40 @@ def test_neighbours_of_few_rows(spark):
     got = nn.nearest_neighbours(df.where("id < 3"), df.where("id = 3"), "id", "s", "y", 5, "dtw")
     assert [(r["neighbour"], r["place"]) for r in got.orderBy("place").collect()] == [(2, 1), (1, 2)]
     assert nn.nearest_neighbours(df.where("false"), df, "id", "s", "y", 5, "dtw").count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "cityblock"])
+@pytest.mark.parametrize("limited", [False, True])
+def test_cheap_comparison_loses_no_pair(metric, limited, monkeypatch):
+    monkeypatch.setattr(nn, "LEFT", 7)
+    monkeypatch.setattr(nn, "RIGHT", 13)
+    monkeypatch.setattr(nn, "NARROW", 11)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(40, 5)) + 1e6, rng.normal(size=(90, 5)) + 1e6
+    b[::3], a[5] = b[1], b[1]  # many equal rows: smaller ids win
+    b[4, 2], a[9, 0] = np.nan, np.inf
+    ids = rng.permutation(90)
+    d = nn.distances(a, b, metric)
+    kth = np.sort(np.where(np.isnan(d), np.inf, d), axis=1)[:, 3]
+    i, j, got, _ = nn._nearest_pairs(a, kth if limited else np.full(40, np.inf), b, ids, 4, metric)
+    for r in range(40):
+        own = np.flatnonzero(i == r)
+        order = [c for c in np.lexsort((ids, d[r])) if np.isfinite(d[r, c])][:4]
+        assert sorted(j[own]) == sorted(order) and np.array_equal(np.sort(got[own]), np.sort(d[r, order]))
+
+
+def test_alignments_by_rows():
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(6, 8)), rng.normal(size=(6, 8))
+    for soft, band in ((False, None), (True, None), (True, 2), (False, 2)):
+        want = []
+        for x, y in zip(a, b, strict=True):
+            c = np.full((9, 9), np.inf)
+            c[0, 0] = 0
+            for i in range(1, 9):
+                for j in range(1, 9):
+                    if band is None or abs(i - j) <= band:
+                        o = np.array([c[i - 1, j], c[i - 1, j - 1], c[i, j - 1]])
+                        c[i, j] = (x[i - 1] - y[j - 1]) ** 2 + (o.min() - np.log(np.exp(o.min() - o).sum()) if soft else o.min())
+            want.append(c[8, 8])
+        assert np.allclose(nn._alignment_costs(a, b, soft, band), want)
