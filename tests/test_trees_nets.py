@@ -135,3 +135,20 @@ def test_search_keeps_the_best(spark):
     assert best == 1 and mean > 0.6 and model.getOrDefault(model.nodes)
     best, mean, model = pe.search(df, [pe.NetSettings(learning_rate=1e-9, max_iter=2), pe.NetSettings(hidden=(8, 4), solver="lbfgs", max_iter=40)], 4, 4, 2)
     assert best == 1 and mean > 0.6
+
+
+def test_small_nodes_travel_as_rows():
+    rng = np.random.default_rng(3)
+    width, classes = 12, 3
+    size = width * tr.BINS * classes
+    own = np.concatenate([np.zeros(3000, int), rng.integers(1, 40, 200)])
+    x, label = rng.integers(0, tr.BINS, (3200, width)).astype(np.uint8), rng.integers(0, classes, 3200)
+    cell = own[:, None] * size + np.arange(width) * tr.BINS * classes + x.astype(np.int64) * classes + label[:, None]
+    chosen, packed = tr._smaller_rows(own, np.unique(cell), size, 40, x, label)
+    assert not chosen[0] and chosen[1:].any()
+    for node in range(40):
+        rows = np.frombuffer(packed[node].as_py(), np.uint8).reshape(-1, width + 4)
+        want = np.flatnonzero(own == node) if chosen[node] else []
+        assert np.array_equal(rows[:, :width], x[want]) and np.array_equal(np.ascontiguousarray(rows[:, width:]).view("<i4").ravel(), label[want])
+    # Before, a cell of a node took twelve bytes.
+    assert sum(len(v.as_py()) for v in packed) < 12 * len(np.unique(cell[np.isin(own, np.flatnonzero(chosen))])) / 6
