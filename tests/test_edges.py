@@ -174,3 +174,15 @@ def test_epoch_units(spark):
     assert ns == ms
     with pytest.raises(ValueError):
         cl.epoch_to_timestamp(df, "t", "fortnight")
+
+
+def test_sax_alphabets_share_their_frames(spark):
+    rows = [(s, p, float((p * 7 + s) % 11)) for s in range(3) for p in range(43)] + [(3, p, None) for p in range(5)]
+    df = spark.createDataFrame(rows, "series_id long, pos long, value double")
+    words = lambda n: sg.sax_words(df, ["series_id"], "pos", "value", 5, 4, n, digits=None)
+    every = words(range(2, 21))
+    for n in range(2, 21):
+        own = every.where(f"alphabet = {n}").select("series_id", "word_no", "word").collect()
+        assert sorted(own) == sorted(words(n).collect()) and len(own) == 9
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan(every) and plan(every).count("Aggregate") == plan(words(4)).count("Aggregate")

@@ -232,8 +232,5 @@ SELECT alphabet, series_id, f // 4 AS word_no, string_agg(c, '' ORDER BY f) AS w
 def _(spark, sf):
     """Words of all alphabets from 2 to 20 letters, break points of full precision."""
     s = series(spark, sf)
-    parts = [sg.sax_words(s, ["series_id"], "pos", "value", 5, 4, n, digits=None).withColumn("alphabet", F.lit(n)) for n in _ALPHABETS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = sg.sax_words(s, ["series_id"], "pos", "value", 5, 4, _ALPHABETS, digits=None)
     return out.select("alphabet", "series_id", "word_no", "word")
