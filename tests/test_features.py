@@ -166,3 +166,18 @@ def test_blocks_of_any_length(spark):
             assert np.isclose(r[name], value), (n, name)
         if n // 2 > 12:
             assert np.isclose(r["x__partial_autocorrelation__lag_12"], levinson(x, 12)[-1])
+
+
+def test_wide_plans_deal_blocks_by_rows(spark, monkeypatch):
+    rows = [(b, i, float((i * 7 + b) % 5)) for b in range(40) for i in range(10 + b % 3)]
+    df = spark.createDataFrame(rows, "b long, i long, x double")
+    wanted = {"mean": [{}], "autocorrelation": [{"lag": 2}], "has_duplicate": [{}], "number_peaks": [{"n": 3}], "sample_entropy": [{}]}
+    want = sorted(ft.extract_features(df, ["b"], "i", "x", wanted).collect())
+    monkeypatch.setattr(ft, "WIDE", 0)
+    wide = ft.extract_features(df, ["b"], "i", "x", wanted)
+    assert sorted(wide.collect()) == want
+    assert wide._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
+    known = df.withColumnRenamed("x", "_x")
+    # 440 rows of 600 columns: tasks follow the rows, not the bytes that are shuffled.
+    tasks = [ft.dealt(known.where(f"b < {n}"), ["b"], 600, cells=6000).rdd.getNumPartitions() for n in (20, 40)]
+    assert tasks == [22, 44]
