@@ -152,3 +152,33 @@ def test_small_nodes_travel_as_rows():
         assert np.array_equal(rows[:, :width], x[want]) and np.array_equal(np.ascontiguousarray(rows[:, width:]).view("<i4").ravel(), label[want])
     # Before, a cell of a node took twelve bytes.
     assert sum(len(v.as_py()) for v in packed) < 12 * len(np.unique(cell[np.isin(own, np.flatnonzero(chosen))])) / 6
+
+
+def test_nets_that_step_together_equal_nets_alone():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(203, 4))
+    y, fold, layers = (x[:, 0] > 0).astype(int), rng.integers(0, 3, 203), (4, 8, 4, 2)
+    first = pe.first_weights(layers, 1)
+    for solver, schedule, size in (("adam", "constant", 5), ("sgd", "invscaling", 1), ("sgd", "adaptive", 300)):
+        s = pe.NetSettings((8, 4), "tanh", solver, schedule=schedule, batch_size=size, seed=2)
+        nets = [pe.Net(layers, s, f, first, 1e-3 * (f + 1), steps=3 * f) for f in range(3)]
+        rows = [np.flatnonzero(fold != f) for f in range(3)]
+        together = pe._descended(nets, x, y, rows)
+        for net, own, found in zip(nets, rows, together, strict=True):
+            assert np.array_equal(pe._descended([net], x, y, [own])[0], found)
+            # Plain mini-batches.
+            w, m, v, t = first.copy(), np.zeros(len(first)), np.zeros(len(first)), net.steps
+            order = own[np.random.default_rng([2, 0]).permutation(len(own))]
+            for at in range(0, len(order), size):
+                part, t = order[at : at + size], t + 1
+                g = pe.loss_and_gradient(x[part], y[part], w, layers, "tanh")[1] / len(part) + s.alpha * w / len(own)
+                if solver == "adam":
+                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                    w = w - net.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                else:
+                    m = 0.9 * m - (net.rate / np.sqrt(t) if schedule == "invscaling" else net.rate) * g
+                    w = w + m
+            assert np.allclose(found[: len(w)], w, rtol=1e-12, atol=1e-15)
+    overflow = pe.Net(layers, pe.NetSettings((8, 4), "relu", "sgd", learning_rate=1e200), None, first, 1e200)
+    with np.errstate(all="ignore"):
+        assert np.isnan(pe._descended([overflow], x, y, [np.arange(203)])[0]).all()
