@@ -202,3 +202,37 @@ def test_alignments_by_rows():
                         c[i, j] = (x[i - 1] - y[j - 1]) ** 2 + (o.min() - np.log(np.exp(o.min() - o).sum()) if soft else o.min())
             want.append(c[8, 8])
         assert np.allclose(nn._alignment_costs(a, b, soft, band), want)
+
+
+@pytest.mark.parametrize("metric", ["dtw", "softdtw"])
+@pytest.mark.parametrize("band", [None, 0, 3])
+@pytest.mark.parametrize("stretch", [1e-3, 0.1, 40.0, 1e8])
+def test_alignments_in_small_numbers(metric, band, stretch, monkeypatch):
+    """Values in less precision rule out most pairs before they are aligned in full, and none of the nearest."""
+    rng = np.random.default_rng(3)
+    a, b = (np.cumsum(rng.normal(size=(size, 24)), axis=1) * stretch + 5 * stretch for size in (30, 700))
+    b[5], b[6, 3], b[7] = a[2], np.nan, a[2]
+    full, slow = 0, nn._alignment_costs
+
+    def counted(x, *rest):
+        nonlocal full
+        full += len(x)
+        return slow(x, *rest)
+
+    d = nn.distances(a, b, metric, band)
+    monkeypatch.setattr(nn, "_alignment_costs", counted)
+    kth = np.sort(np.where(np.isfinite(d), d, np.inf), axis=1)[:, [3]]
+    for limit in (np.full(30, np.inf), kth[:, 0]):
+        full = 0
+        got, done = nn._compared(a, limit, b, 4, metric, band)
+        assert np.array_equal(np.where(d <= kth, got, 0.0), np.where(d <= kth, d, 0.0))
+        if metric == "dtw" and band != 0:
+            assert full < 0.6 * done or done < 30 * 40
+
+
+def test_ranges_bound_alignments():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(20, 9)) + 1000, rng.normal(size=(15, 9)) * 3 + 1000
+    want = nn.outside(a, *nn.envelope(b, None), "dtw")
+    got = nn._outside_ranges(a, b)
+    assert (got <= want).all() and np.allclose(got, want, atol=1e-4)
