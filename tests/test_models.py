@@ -236,3 +236,13 @@ def test_ranges_bound_alignments():
     want = nn.outside(a, *nn.envelope(b, None), "dtw")
     got = nn._outside_ranges(a, b)
     assert (got <= want).all() and np.allclose(got, want, atol=1e-4)
+
+
+@pytest.mark.parametrize("band", [None, 2])
+def test_sums_over_ways_bound_soft_costs(band):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(40, 33)) / 8, rng.normal(size=(40, 33)) / 8
+    want = nn._alignment_costs(a, b, True, band)
+    x, y = (np.ascontiguousarray(v.T, np.float32) for v in (a, b))
+    assert np.allclose(nn._quick_sums(x, y, band, True), want, atol=1e-3)
+    assert (nn._quick_sums(x, y, band, False) <= want + 1e-3).all()
