@@ -144,3 +144,44 @@ def test_sides_that_grow_are_never_broadcast(spark, series):
         made.collect()
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["pos"] for r in mt._away(df, occ, [], 3).collect()) == [i for i in range(160) if abs(i - 78) > 3 and i > 6]
+
+
+@pytest.mark.parametrize("group_rows", [96, 1 << 18])
+def test_boxes_lose_no_partner(spark, group_rows, monkeypatch):
+    """Most pairs of short windows are left out, and every window still finds its nearest and first partner."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=150), np.zeros(20), np.tile([0.0, 1.0, 4.0, 2.0, 5.0, 3.0], 20), np.cumsum(rng.normal(size=110))]).round(2)
+    z = mt._Windows(x, M, x.mean())
+    at = np.flatnonzero(z.ok)
+    a = z.standard(at)
+    d = ((a[:, None] - a[None]) ** 2).sum(axis=2)
+    d[np.abs(at[:, None] - at[None, :]) <= mt.profile_zone(M)] = np.inf
+    monkeypatch.setattr(mt, "BOX", 8)
+    got = mt._nearest_boxed(a, at, a, at, mt.profile_zone(M))
+    assert np.array_equal(got, at[(d <= d.min(axis=1, keepdims=True) + 1e-10).argmax(axis=1)])
+    for name, value in (("GROUP_ROWS", group_rows), ("PLAIN", 0)):
+        monkeypatch.setattr(mt, name, value)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "pos long, x double")
+    rows = mt.matrix_profile(df, [], "pos", "x", M, tile_rows=32).toPandas().sort_values("pos")
+    assert np.array_equal(rows.pos, at) and np.allclose(rows.distance, np.sqrt(d.min(axis=1)), atol=1e-6)
+    assert np.allclose(d[np.arange(len(at)), np.searchsorted(at, rows.partner)], d.min(axis=1), atol=1e-10)
+
+
+def test_boxes_leave_out_most_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.tile(rng.normal(size=1500), 4)[: 4096 + M - 1] + rng.normal(size=4096 + M - 1) * 1e-3
+    z = mt._Windows(x, M, x.mean())
+    at, pairs = np.arange(4096), 0
+    a = z.standard(at)
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            nonlocal pairs
+            pairs += self.shape[0] * other.shape[-1] * (self.shape[1] == other.shape[0] == M != other.shape[-1])
+            return np.asarray(self) @ np.asarray(other)
+
+    got = mt._nearest_boxed(a.view(Counted), at, a.view(Counted), at, mt.profile_zone(M))
+    right, left = mt._nearest(z, z, mt.profile_zone(M) + 1, 4096)
+    one, two = (np.where(p >= 0, mt._distances(z, at, z, np.maximum(p, 0)), np.inf) for p in (right, left))
+    assert np.allclose(mt._distances(z, at, z, got), np.minimum(one, two))
+    assert 0 < pairs < 4096 * 4096 / 3
