@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strideline.functions import motifs as mt
@@ -185,3 +186,24 @@ def test_boxes_leave_out_most_pairs(monkeypatch):
     one, two = (np.where(p >= 0, mt._distances(z, at, z, np.maximum(p, 0)), np.inf) for p in (right, left))
     assert np.allclose(mt._distances(z, at, z, got), np.minimum(one, two))
     assert 0 < pairs < 4096 * 4096 / 3
+
+
+def test_slices_are_settled_together():
+    """Slices of several series in one table are decided as each of them alone."""
+    rng = np.random.default_rng(9)
+    parts = []
+    for key, at in ((None, 0), ("a", 0), ("a", 1), ("b", 5)):
+        pos = np.unique(rng.integers(at * 50 - 6, at * 50 + 56, 30))
+        parts.append(pa.table({
+            "k": pa.array([key] * len(pos), pa.string()), "_slice": np.full(len(pos), at), "pos": pos, "distance": rng.integers(0, 6, len(pos)) / 2,
+            "state": np.zeros(len(pos), np.int32), "_core": (pos >= at * 50) & (pos < at * 50 + 50)}))
+    whole = pa.concat_tables(parts).combine_chunks()
+    starts = mt._starts(whole, ["k", "_slice"])
+    assert starts.tolist() == np.cumsum([0, *(len(p) for p in parts[:-1])]).tolist()
+    kept, done = mt._settled_groups(whole, starts, 6, 50, 0)
+    want = []
+    for p in parts:
+        low = p["_slice"][0].as_py() * 50
+        want.append(mt._settle(p["pos"].to_numpy(), p["distance"].to_numpy(), p["state"].to_numpy(), low - 6, low + 49 + 6, 6))
+    assert np.array_equal(done, np.concatenate(want))
+    assert np.array_equal(kept, whole["_core"].to_numpy() & (done != mt.GONE))
