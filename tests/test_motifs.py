@@ -207,3 +207,29 @@ def test_slices_are_settled_together():
         want.append(mt._settle(p["pos"].to_numpy(), p["distance"].to_numpy(), p["state"].to_numpy(), low - 6, low + 49 + 6, 6))
     assert np.array_equal(done, np.concatenate(want))
     assert np.array_equal(kept, whole["_core"].to_numpy() & (done != mt.GONE))
+
+
+def test_windows_near_seeds_of_many_radii(spark):
+    """Radii with one seed and radii with seeds of their own, in slices with and without gaps."""
+    rng = np.random.default_rng(10)
+    rows = [(k, i, float(v)) for k in ("a", "b") for i, v in enumerate(rng.normal(size=60)) if k == "a" or i % 13]
+    df = spark.createDataFrame(rows, "k string, pos long, x double")
+    slices = mt.series_slices(df, ["k"], "pos", "x", M, 40)
+    seeds = [("a", 1.0, 3, 0.9), ("a", 2.0, 3, 0.9), ("a", 3.0, 44, 0.9), ("b", 1.0, 14, 0.9), ("b", 2.0, 2, 0.9), ("b", 3.0, 14, 1.1)]
+    got = mt.windows_near(slices, ["k"], spark.createDataFrame(seeds, "k string, radius double, pos long, distance double"), M, 40).collect()
+    want = set()
+    for k, radius, pos, distance in seeds:
+        x = {i: v for key, i, v in rows if key == k}
+        for i in x:
+            if all(i + j in x for j in range(M)):
+                gap = np.sqrt(((z(np.array([x[i + j] for j in range(M)])) - z(np.array([x[pos + j] for j in range(M)]))) ** 2).sum())
+                if gap <= radius * distance:
+                    want.add((k, radius, i, round(gap, 6)))
+    assert len(want) > len(seeds) and {(r["k"], r["radius"], r["pos"], round(r["distance"], 6)) for r in got} == want and len(got) == len(want)
+
+
+def test_distances_from_a_seed():
+    x = np.arange(20.0) % 7
+    whole, found = mt._seed_distances(x, x[3 : 3 + M], M)
+    assert found[whole == 3] == 0 and len(whole) == 20 - M + 1
+    assert not len(mt._seed_distances(x, np.ones(M), M)[0])
